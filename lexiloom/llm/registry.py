@@ -6,6 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lexiloom.llm.common import table
 from lexiloom.llm.exact_dedup import exact_duplicates
+from lexiloom.llm.token_counts import count_tokens
+from lexiloom.llm.vocabulary import vocabulary_path
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(vocabulary_path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        return count_tokens(table(spark, sf_dir, "documents"), f.read())
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,7 +20,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op10_exact_dedup": op10_exact_dedup}
+    return {
+        "op4_token_counts": op4_token_counts,
+        "op10_exact_dedup": op10_exact_dedup,
+    }
 
 
 _EXACT = r"""
