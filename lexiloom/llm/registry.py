@@ -4,10 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiloom.llm.common import table
+from lexiloom.llm.common import new_folder, table
 from lexiloom.llm.exact_dedup import exact_duplicates
 from lexiloom.llm.token_counts import count_tokens
 from lexiloom.llm.vocabulary import vocabulary_path
+from lexiloom.llm.warc import archive_round_trip
+
+
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = archive_round_trip(table(spark, sf_dir, "pages"), new_folder(spark, "warc"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +27,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_warc": op1_warc,
         "op4_token_counts": op4_token_counts,
         "op10_exact_dedup": op10_exact_dedup,
     }
@@ -38,5 +45,20 @@ from n
 """
 
 
+_WARC = """
+with p as (
+  select page_id, coalesce(html, '') as html from pages
+), q as (
+  select page_id, strlen(html) as payload_bytes, sha256(html) as payload_digest from p
+), r as (
+  select *, min(page_id) over (partition by payload_digest) as first from q
+)
+select page_id, payload_bytes, payload_digest,
+       case when payload_bytes >= 100 and page_id <> first then 'revisit' else 'response' end as record_type,
+       case when payload_bytes >= 100 and page_id <> first then first end as refers_to
+from r
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op10_exact_dedup": _EXACT}
+    return {"op1_warc": _WARC, "op10_exact_dedup": _EXACT}
