@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lexiloom.llm.common import new_folder, table
 from lexiloom.llm.exact_dedup import exact_duplicates
+from lexiloom.llm.secret_scan import find_secrets, train
 from lexiloom.llm.token_counts import count_tokens
 from lexiloom.llm.vocabulary import vocabulary_path
 from lexiloom.llm.warc import archive_round_trip
@@ -21,6 +22,11 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         return count_tokens(table(spark, sf_dir, "documents"), f.read())
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return find_secrets(docs, train(docs))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -29,6 +35,7 @@ def queries() -> dict:
     return {
         "op1_warc": op1_warc,
         "op4_token_counts": op4_token_counts,
+        "op9_secrets": op9_secrets,
         "op10_exact_dedup": op10_exact_dedup,
     }
 
