@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lexiloom.llm import secret_scan, toxicity
 from lexiloom.llm.common import new_folder, table
 from lexiloom.llm.exact_dedup import exact_duplicates
-from lexiloom.llm.secret_scan import find_secrets, train
 from lexiloom.llm.token_counts import count_tokens
 from lexiloom.llm.vocabulary import vocabulary_path
 from lexiloom.llm.warc import archive_round_trip
@@ -22,9 +22,14 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         return count_tokens(table(spark, sf_dir, "documents"), f.read())
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_toxicity(docs, toxicity.train(docs, table(spark, sf_dir, "labels"))).drop("offending")
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return find_secrets(docs, train(docs))
+    return secret_scan.find_secrets(docs, secret_scan.train(docs))
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +40,7 @@ def queries() -> dict:
     return {
         "op1_warc": op1_warc,
         "op4_token_counts": op4_token_counts,
+        "op8_toxicity": op8_toxicity,
         "op9_secrets": op9_secrets,
         "op10_exact_dedup": op10_exact_dedup,
     }
