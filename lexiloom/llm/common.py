@@ -55,7 +55,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     )
     if now.isEmpty():
         return now.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
-    before = None
+    state_of = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
+    before = state_of(now)
     for _ in range(rounds):
         # large star: each node hands its larger neighbours to the smallest of its neighbourhood
         both = now.union(now.select(F.col("lo").alias("hi"), F.col("hi").alias("lo")))
@@ -68,7 +69,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         small = large.join(low, large.hi == low.n).select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
         small = small.where("hi <> lo").union(low.select("n", "m")).distinct()
         now = cut(small)
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
+        state = state_of(now)
         if state == before:
             break
         before = state

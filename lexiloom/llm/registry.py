@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lexiloom.llm import secret_scan, toxicity
 from lexiloom.llm.common import new_folder, table
 from lexiloom.llm.exact_dedup import exact_duplicates
+from lexiloom.llm.simhash import near_duplicates
 from lexiloom.llm.token_counts import count_tokens
 from lexiloom.llm.vocabulary import vocabulary_path
 from lexiloom.llm.warc import archive_round_trip
@@ -17,6 +18,10 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     with open(vocabulary_path("byte_bpe_50k.json"), encoding="utf-8") as f:
         return count_tokens(table(spark, sf_dir, "documents"), f.read())
@@ -39,6 +44,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_warc": op1_warc,
+        "op2_simhash": op2_simhash,
         "op4_token_counts": op4_token_counts,
         "op8_toxicity": op8_toxicity,
         "op9_secrets": op9_secrets,
