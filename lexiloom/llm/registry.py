@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lexiloom.llm import secret_scan, toxicity
 from lexiloom.llm.common import new_folder, table
+from lexiloom.llm.decontaminate import contaminated
 from lexiloom.llm.exact_dedup import exact_duplicates
 from lexiloom.llm.simhash import near_duplicates
 from lexiloom.llm.token_counts import count_tokens
@@ -27,6 +28,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         return count_tokens(table(spark, sf_dir, "documents"), f.read())
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score_toxicity(docs, toxicity.train(docs, table(spark, sf_dir, "labels"))).drop("offending")
@@ -46,6 +51,7 @@ def queries() -> dict:
         "op1_warc": op1_warc,
         "op2_simhash": op2_simhash,
         "op4_token_counts": op4_token_counts,
+        "op7_decontamination": op7_decontamination,
         "op8_toxicity": op8_toxicity,
         "op9_secrets": op9_secrets,
         "op10_exact_dedup": op10_exact_dedup,
@@ -79,5 +85,26 @@ from r
 """
 
 
+_LEAKS = r"""
+with d as (
+  select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') as w from documents
+), b as (
+  select item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') as w from benchmark
+), ds as (
+  select distinct doc_id, array_to_string(w[i + 1:i + 5], ' ') as s
+  from (select doc_id, w, unnest(range(greatest(len(w) - 4, 1))) as i from d where len(w) > 0)
+), bs as (
+  select distinct item_id, array_to_string(w[i + 1:i + 5], ' ') as s
+  from (select item_id, w, unnest(range(greatest(len(w) - 4, 1))) as i from b where len(w) > 0)
+), n as (
+  select item_id, count(*) as n_item from bs group by 1
+), m as (
+  select doc_id, item_id, count(*) as n_shared from ds join bs using (s) group by 1, 2
+)
+select doc_id, item_id, n_shared, n_item, n_shared / n_item as containment
+from m join n using (item_id) where n_shared >= 0.8 * n_item
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": _WARC, "op10_exact_dedup": _EXACT}
+    return {"op1_warc": _WARC, "op7_decontamination": _LEAKS, "op10_exact_dedup": _EXACT}
