@@ -9,6 +9,7 @@ from lexiloom.llm.common import new_folder, table
 from lexiloom.llm.decontaminate import contaminated
 from lexiloom.llm.exact_dedup import exact_duplicates
 from lexiloom.llm.simhash import near_duplicates
+from lexiloom.llm.suffix_dedup import repeated_passages
 from lexiloom.llm.token_counts import count_tokens
 from lexiloom.llm.vocabulary import vocabulary_path
 from lexiloom.llm.warc import archive_round_trip
@@ -28,6 +29,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         return count_tokens(table(spark, sf_dir, "documents"), f.read())
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -51,6 +56,7 @@ def queries() -> dict:
         "op1_warc": op1_warc,
         "op2_simhash": op2_simhash,
         "op4_token_counts": op4_token_counts,
+        "op5_suffix_dedup": op5_suffix_dedup,
         "op7_decontamination": op7_decontamination,
         "op8_toxicity": op8_toxicity,
         "op9_secrets": op9_secrets,
