@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lexiloom.llm import secret_scan, toxicity
+from lexiloom.llm.chat_format import format_preferences, reply_swaps
 from lexiloom.llm.common import new_folder, table
 from lexiloom.llm.decontaminate import contaminated
 from lexiloom.llm.exact_dedup import exact_duplicates
+from lexiloom.llm.sentencepiece_dropout import Pieces, digest, encode_texts
 from lexiloom.llm.simhash import near_duplicates
 from lexiloom.llm.suffix_dedup import repeated_passages
 from lexiloom.llm.token_counts import count_tokens
@@ -24,6 +26,12 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = format_preferences(reply_swaps(table(spark, sf_dir, "conversations")))
+    spans = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["begin"].cast("string"), s["stop"].cast("string"))), ",")
+    return found.withColumns({c: spans(F.col(c)) for c in ("chosen_mask", "rejected_mask")})
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     with open(vocabulary_path("byte_bpe_50k.json"), encoding="utf-8") as f:
         return count_tokens(table(spark, sf_dir, "documents"), f.read())
@@ -33,6 +41,10 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(encode_texts(table(spark, sf_dir, "documents"), Pieces(vocabulary_path("piece_bpe_32k.model"))))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -55,8 +67,10 @@ def queries() -> dict:
     return {
         "op1_warc": op1_warc,
         "op2_simhash": op2_simhash,
+        "op3_chat_format": op3_chat_format,
         "op4_token_counts": op4_token_counts,
         "op5_suffix_dedup": op5_suffix_dedup,
+        "op6_sentencepiece": op6_sentencepiece,
         "op7_decontamination": op7_decontamination,
         "op8_toxicity": op8_toxicity,
         "op9_secrets": op9_secrets,
@@ -91,6 +105,34 @@ from r
 """
 
 
+_CHAT = """
+with t as (
+  select conv_id, coalesce(role, '') as role, coalesce(text, '') as raw,
+         replace(coalesce(text, ''), '<|', '< |') as txt, replace(coalesce(role, ''), '<|', '< |') as who,
+         row_number() over (partition by conv_id order by turn, coalesce(role, ''), coalesce(text, '')) as k
+  from conversations where conv_id is not null
+), last as (
+  select conv_id, max(k) as k from t where role = 'assistant' group by 1
+), reply as (
+  select conv_id, raw, txt from t join last using (conv_id, k)
+), prompt as (
+  select l.conv_id, count(*) filter (t.k < l.k) as n,
+         coalesce(string_agg('<|im_start|>' || who || chr(10) || txt || '<|im_end|>' || chr(10), '' order by t.k) filter (t.k < l.k), '') as prompt
+  from last l join t on t.conv_id = l.conv_id group by 1
+), joined as (
+  select p.*, a.txt as mine, coalesce(b.txt, '') as other, a.raw = coalesce(b.raw, '') as tie,
+         '<|im_start|>assistant' || chr(10) as head, '<|im_end|>' || chr(10) as tail
+  from prompt p join reply a using (conv_id) left join reply b on b.conv_id = xor(p.conv_id, 1)
+)
+select conv_id, (n + tie::int)::int as n_prompt_turns,
+       prompt || case when tie then head || mine || tail else '' end as prompt,
+       case when tie then '' else head || mine || tail end as chosen,
+       case when tie then '' else head || other || tail end as rejected,
+       case when tie then '' else '22-' || (32 + length(mine)) end as chosen_mask,
+       case when tie then '' else '22-' || (32 + length(other)) end as rejected_mask
+from joined
+"""
+
 _LEAKS = r"""
 with d as (
   select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') as w from documents
@@ -113,4 +155,4 @@ from m join n using (item_id) where n_shared >= 0.8 * n_item
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": _WARC, "op7_decontamination": _LEAKS, "op10_exact_dedup": _EXACT}
+    return {"op1_warc": _WARC, "op3_chat_format": _CHAT, "op7_decontamination": _LEAKS, "op10_exact_dedup": _EXACT}
