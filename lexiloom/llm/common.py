@@ -75,4 +75,5 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         before = state
     else:
         raise RuntimeError("components did not settle")
-    return now.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("component"))
+    # a settled graph is a star around each component's smallest node
+    return now.select(F.col("hi").alias("node"), F.col("lo").alias("component")).union(now.select("lo", "lo").distinct())
