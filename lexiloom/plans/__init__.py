@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from pyspark.sql import DataFrame, SparkSession
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from lexiloom.plans import relational
+from lexiloom.plans.registry import ORACLES, QUERIES, Query
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of each language: rows, characters, and the mean length."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.groupBy("lang").agg(F.count("*").alias("n_docs"), F.sum("n_chars").alias("n_chars"), F.avg("n_chars").alias("mean_chars"))
+    """Vocabulary lookup of every document's characters."""
+    return relational.vocab_lookup(spark, sf_dir)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
