@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiloom.plans import aggregates, relational, sequences
+from lexiloom.plans import aggregates, arrays, relational, sequences
 from lexiloom.plans.registry import ORACLES, QUERIES, Query
 
 
