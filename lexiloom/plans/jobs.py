@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lexiloom.operators import jobs as J
 from lexiloom.plans.registry import query, table
+from lexiloom.streaming.jobs import latest_states, stream_job_states, stream_table, work_folder
 
 _STATUS = "case event_type when 'signup' then 'queued' when 'view' then 'running' when 'click' then 'running' when 'purchase' then 'done' else 'error' end"
 _JOBS = f"e as (select event_id // 4 as job, ts, {_STATUS} as status from events)"
@@ -51,3 +52,19 @@ def job_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
 def segment_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", J.segment_settings(F.col("turn") == 1, F.col("text")).alias("s"))
     return turns.select("conv_id", "turn", "s.speed", "s.steps")
+
+
+@query(
+    f"""
+    with {_JOBS}, s as (select job, coalesce(arg_min(status, (ts, status)) filter (status in ('done', 'error')), arg_max(status, (ts, status))) as status, min(ts) as a, min(ts) filter (status in ('done', 'error')) as b from e group by 1)
+    select job, status, epoch_us(a) as created_us, epoch_us(b) as finished_us from s
+    """
+)
+def stream_job_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same states from Structured Streaming over the event files."""
+    events = stream_table(spark, sf_dir, "events")
+    jobs = events.select(F.floor(F.col("event_id") / 4).alias("job"), "ts", _status().alias("status"))
+    out = work_folder(spark, "job-states")
+    stream_job_states(jobs, out, work_folder(spark, "stream"))
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    return latest_states(spark, out).select("job", "status", micros("created_at").alias("created_us"), micros("finished_at").alias("finished_us"))
