@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +24,8 @@ STEPS, RATE, DECAY = 250, 0.2, 2e-4
 #: A text is toxic from this score on.
 THRESHOLD = 0.3
 PREFIXES = (4, 5, 6)
+#: Features are numbered by a hash below this.
+BUCKETS = 1 << 22
 REMEMBERED = 500_000
 HELD_OUT = 2
 
@@ -32,9 +33,9 @@ _SENTENCE = re.compile(r"[^.!?\n]+")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def features(word: str) -> list[str]:
-    """The word, and the beginnings shorter than it."""
-    return ["=" + word, *(word[:n] for n in PREFIXES if len(word) > n)]
+def features(word: str) -> list[int]:
+    """The word, and the beginnings shorter than it, hashed."""
+    return [zlib.crc32(f.encode("utf-8", "surrogatepass")) % BUCKETS for f in ("=" + word, *(word[:n] for n in PREFIXES if len(word) > n))]
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -52,7 +53,7 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 class Model:
     """Weights by feature, and the bias of a sentence that has any of them."""
 
-    def __init__(self, weights: dict[str, float], bias: float) -> None:
+    def __init__(self, weights: dict[int, float], bias: float) -> None:
         self.weights, self.bias = weights, bias
 
 
@@ -94,28 +95,38 @@ def fit(texts: list[str], labels: list[int]) -> Model:
 
     Without both kinds of label no feature is kept and every score is 0.
     """
-    bags = [[set(_WORD.findall(s)) for s in _SENTENCE.findall(t.lower())] for t in texts]
-    made: dict[str, list[str]] = {}
-    for bag in bags:
-        for s in bag:
-            for w in s:
-                if w not in made:
-                    made[w] = features(w)
+    numbers: dict[str, int] = {}
+    made: list[np.ndarray] = []
+    bags = []
+    for t in texts:
+        bag = []
+        for s in _SENTENCE.findall(t.lower()):
+            own = set(_WORD.findall(s))
+            for w in own:
+                if w not in numbers:
+                    numbers[w] = len(made)
+                    made.append(np.array(features(w), np.int32))
+            bag.append(np.fromiter(sorted(map(numbers.__getitem__, own)), np.int32, len(own)))
+        bags.append(bag)
+    del numbers
     y = np.array(labels, bool)
-    every, toxic = Counter(), Counter()
+    every, toxic = np.zeros(BUCKETS, np.int32), np.zeros(BUCKETS, np.int32)
     for bag, bad in zip(bags, y):
-        seen = {f for s in bag for w in s for f in made[w]}
-        every.update(seen)
+        seen = np.unique(np.concatenate([made[w] for s in bag for w in s] or [np.empty(0, np.int32)]))
+        every[seen] += 1
         if bad:
-            toxic.update(seen)
+            toxic[seen] += 1
     rate = y.mean() if len(y) else 0.0
-    lead = {f: (toxic[f] - n * rate) / np.sqrt(n * rate * (1 - rate) + 1e-9) for f, n in every.items() if n >= MIN_TEXTS} if 0 < rate < 1 else {}
-    chosen = sorted((f for f, z in lead.items() if z > SCREEN or z < -SCREEN), key=lambda f: (-abs(lead[f]), f))[:MAX_FEATURES]
-    index = {f: k for k, f in enumerate(chosen)}
+    chosen = np.flatnonzero(every >= MIN_TEXTS) if 0 < rate < 1 else np.empty(0, np.int64)
+    lead = np.abs((toxic[chosen] - every[chosen] * rate) / np.sqrt(every[chosen] * rate * (1 - rate) + 1e-9))
+    chosen = chosen[np.argsort(-lead, kind="stable")[: min(MAX_FEATURES, int((lead > SCREEN).sum()))]]
+    index = np.full(BUCKETS, -1, np.int32)
+    index[chosen] = np.arange(len(chosen))
+    of_word = [x[x >= 0] for x in (index[m] for m in made)]
     text_of, sent, feat = [], [], []
     for d, bag in enumerate(bags):
         for s in bag:
-            own = [index[f] for w in s for f in made[w] if f in index]
+            own = [f for w in s for f in of_word[w].tolist()]
             if own:
                 sent += [len(text_of)] * len(own)
                 feat += own
@@ -135,7 +146,7 @@ def fit(texts: list[str], labels: list[int]) -> Model:
             m += 0.1 * (slope - m)
             v += 0.01 * (slope * slope - v)
             x += RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-    return Model({f: float(w[k]) for f, k in index.items()}, float(bias[0]))
+    return Model(dict(zip(chosen.tolist(), w.tolist())), float(bias[0]))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS) -> Model:
