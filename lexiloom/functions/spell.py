@@ -113,11 +113,49 @@ def year_en(n: int) -> str:
     return f"{number_en(n // 100)} {'oh ' if low < 10 else ''}{number_en(low)}"
 
 
+_IRREGULAR = {"one": "first", "two": "second", "three": "third", "five": "fifth", "eight": "eighth", "nine": "ninth", "twelve": "twelfth"}
+
+
+def ordinal_en(n: int) -> str:
+    """The last word of the number in its ordinal form."""
+    head, sep, last = re.match(r"^(.*?)([ -]?)([a-z]+)$", number_en(n)).groups()
+    if last in _IRREGULAR:
+        last = _IRREGULAR[last]
+    else:
+        last = f"{last[:-1]}ieth" if last.endswith("y") else f"{last}th"
+    return f"{head}{sep}{last}"
+
+
+def fraction_en(above: int, below: int) -> str:
+    """Halves and quarters by name, others by the ordinal of what stands below."""
+    named = {2: ("half", "halves"), 4: ("quarter", "quarters")}
+    if below in named:
+        return f"{number_en(above)} {named[below][above != 1]}"
+    return f"{number_en(above)} {ordinal_en(below)}"
+
+
+_ROMAN = {"I": 1, "V": 5, "X": 10}
+#: Words after which I, V and X are a number.
+_BEFORE_ROMAN = ["thế kỷ", "thế kỉ", "chương", "phần", "kỳ", "khóa", "khoá", "quý", "hạng", "mục", "đại hội"]
+
+
+def roman(text: str) -> int:
+    """Value of a numeral of I, V and X; 0 where it is none that is written so."""
+    values = [_ROMAN[c] for c in text.upper()]
+    n = sum(-v if v < max(values[k + 1 :], default=0) else v for k, v in enumerate(values))
+    tens, ones = divmod(n, 10)
+    return n if 0 < n < 40 and text.upper() == "X" * tens + ["", "I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX"][ones] else 0
+
+
 # In this order: what an earlier pattern takes, a later one does not see as it was.
 _VI_RULES = [
     (re.compile(r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+"), lambda m: f" {address_vi(m[0])} "),
     (re.compile(r"(?:https?://|www\.)[^\s,;]+[^\s,;.!?]"), lambda m: f" {address_vi(m[0])} "),
     (re.compile(r"(?<!\d)(\d{1,2})[/.-](\d{1,2})[/.-](\d{4})(?!\d)"), lambda m: f" {date_vi(m[1], m[2], m[3])} "),
+    (re.compile(r"(?<!\d)(\d{4})\s?[-–]\s?(\d{4})(?!\d)"), lambda m: f" {number_vi(m[1])} đến {number_vi(m[2])} "),
+    (re.compile(r"(?<=\s)U[-.]?(\d\d)(?=[\s.,)])"), lambda m: f"U {m[1]}"),
+    (re.compile(r"(?<!\w)(\d+)\s*[x×]\s*(?=\d)"), lambda m: f"{m[1]} nhân "),
+    (re.compile(rf"(?i)\b({'|'.join(_BEFORE_ROMAN)})\s+([IVX]+)\b"), lambda m: f"{m[1]} {number_vi(str(n)) if (n := roman(m[2])) else m[2]}"),
     (re.compile(r"(?<!\d)(\d{1,2}):(\d{2})(?::(\d{2}))?(?!\d)"), lambda m: f" {time_vi(m[1], m[2], m[3])} "),
     (re.compile(r"(?<!\d)(\d{1,2})[hg](\d{2})(?!\d)"), lambda m: f" {time_vi(m[1], m[2])} "),
     (re.compile(r"(?<![\d.])\d{1,3}(?:\.\d{3})+(?![\d.])"), lambda m: f" {number_vi(m[0].replace('.', ''))} "),
@@ -142,8 +180,10 @@ _EN_RULES = [
     (re.compile(r"[0-9][0-9,]+[0-9]"), lambda m: m[0].replace(",", "")),
     (re.compile(r"£([0-9,]*[0-9]+)"), lambda m: f"{m[1]} pounds"),
     (re.compile(r"\$([0-9.,]*[0-9]+)"), lambda m: dollars_en(m[1])),
+    (re.compile(r"([0-9]+)/([0-9]+)"), lambda m: f" {fraction_en(int(m[1]), int(m[2]))} " if max(len(m[1]), len(m[2])) < 16 else m[0]),
     (re.compile(r"([0-9]+)\.([0-9]+)"), lambda m: f"{m[1]} point {m[2]}"),
     (re.compile(r"([0-9.,]*[0-9]+)%"), lambda m: f"{m[1]} percent "),
+    (re.compile(r"([0-9]{1,15})(?:st|nd|rd|th)\b"), lambda m: f" {ordinal_en(int(m[1]))} "),
     (re.compile(r"[0-9]+"), lambda m: f" {year_en(int(m[0])) if 1000 < int(m[0]) < 3000 else number_en(int(m[0])) if len(m[0]) < 16 else ' '.join(_ONES[int(c)] for c in m[0])} "),
 ]
 

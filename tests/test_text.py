@@ -81,3 +81,11 @@ def test_speakers(spark):
     frame = spark.createDataFrame([("7",), (None,)], "text string")
     assert [r[0] for r in frame.select(spell.speak(F.col("text"), "vi")).collect()] == ["bảy", None]
     assert [r[0] for r in spark.createDataFrame([("New York is new.",)], "text string").select(spell.replace_words(F.col("text"), [("new", "mới"), ("new york", "NY")])).collect()] == ["NY is mới."]
+
+
+def test_ordinals_fractions_and_numerals():
+    assert [spell.ordinal_en(n) for n in (1, 2, 3, 5, 12, 20, 21, 100)] == ["first", "second", "third", "fifth", "twelfth", "twentieth", "twenty-first", "one hundredth"]
+    assert [spell.fraction_en(*x) for x in ((1, 2), (3, 2), (1, 4), (3, 4), (2, 3))] == ["one half", "three halves", "one quarter", "three quarters", "two third"]
+    assert spell.speak_en("the 21st of 3/4 and 1987") == "the twenty-first of three quarters and nineteen eighty-seven"
+    assert [spell.roman(x) for x in ("I", "iv", "IX", "XIV", "XXXIX", "IIII", "VX")] == [1, 4, 9, 14, 39, 0, 0]
+    assert spell.speak_vi("thế kỷ XXI, 2 x 3 và 2020-2024, U23.") == "thế kỷ hai mươi mốt, hai nhân ba và hai nghìn không trăm hai mươi đến hai nghìn không trăm hai mươi bốn , U hai mươi ba ."
