@@ -21,8 +21,11 @@ from pyspark.sql import DataFrame, functions as F
 SPACE = "▁"
 DROPOUT, SEED, VARIANTS = 0.1, 17, 4
 #: Segmentations that a worker remembers, and characters of the longest word it does for.
-REMEMBERED, LONGEST = 400_000, 64
+REMEMBERED, LONGEST = 1_000_000, 64
 _MASK, _NONE = (1 << 64) - 1, float("-inf")
+_PRIMES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
+#: Words up to this long are segmented many at a time, and how many.
+SHORT, TOGETHER = 40, 4096
 _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
@@ -48,6 +51,28 @@ class Pieces:
                 self.ids[piece], self.scores[piece] = k, m.get_score(k)
                 self.plain[k] = piece.replace(SPACE, " ").encode()
 
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(symbol of each code point, keys, made, place, ids): the merges as sorted arrays.
+
+        Symbols are the pieces, the characters inside pieces, and one more for all other
+        characters. A key is ``left << 32 | right``; it makes a symbol whose score is the
+        ``place``-th best, equal scores sharing a place. Last come the ids of the symbols, -1
+        where one is no piece.
+        """
+        number = {p: k for k, p in enumerate(self.ids)}
+        for c in sorted({c for p in self.ids for c in p} - set(number)):
+            number[c] = len(number)
+        place = {s: k for k, s in enumerate(sorted(set(self.scores.values()), reverse=True))}
+        found = [(number[p[:k]] << 32 | number[p[k:]], number[p], place[self.scores[p]]) for p in self.ids for k in range(1, len(p)) if p[:k] in number and p[k:] in number]
+        keys, made, places = zip(*sorted(found))
+        ids = np.full(len(number) + 1, -1, np.int32)
+        ids[list(map(number.__getitem__, self.ids))] = list(self.ids.values())
+        points = np.full(0x110000, len(number), np.int32)
+        for c, k in number.items():
+            if len(c) == 1:
+                points[ord(c)] = k
+        return points, np.array(keys, np.int64), np.array(made, np.int32), np.array(places, np.int32), ids
+
     def decode(self, ids: list[int]) -> str:
         """The text, without the space that encoding puts before it."""
         return b"".join(map(self.plain.__getitem__, ids))[1:].decode()
@@ -58,23 +83,31 @@ class Encoder:
         self.pieces, self.seed, self.variants = pieces, seed, variants
         self.share = int(dropout * (1 << 64))
         self.known: list[dict[str, bytes]] = [{} for _ in range(variants)]
+        self.table: tuple | None = None
 
     def word(self, word: str, variant: int) -> bytes:
         """Ids (32-bit) of a word's pieces."""
         key = xxhash.xxh64_intdigest(word.encode(), self.seed + (variant << 32)) if self.share else 0
         parts = self._short(word, key) if len(word) <= LONGEST else self._long(word, key)
+        return self._ids(parts)
+
+    def _ids(self, parts: list[str]) -> bytes:
+        """Ids of pieces; what is none is spelt in bytes."""
         ids, out = self.pieces.ids, []
         for piece in parts:
             if (i := ids.get(piece)) is not None:
                 out.append(i)
             else:
-                out += [self.pieces.bytes[x] for x in piece.encode()]
+                out += self._spelt(piece)
         return np.array(out, np.int32).tobytes()
 
+    def _spelt(self, piece: str) -> list[int]:
+        return [self.pieces.bytes[x] for x in piece.encode()]
+
     def skips(self, key: int, start: int, end: int) -> bool:
         """Whether the merge that makes ``word[start:end]`` is dropped."""
-        x = (key ^ (start * 0x9E3779B97F4A7C15 + end * 0xC2B2AE3D27D4EB4F)) * 0xD6E8FEB86659FD93
-        return (x ^ x >> 29) * 0xA0761D6478BD642F & _MASK < self.share
+        x = (key ^ (start * _PRIMES[0] + end * _PRIMES[1] & _MASK)) * _PRIMES[2] & _MASK
+        return (x ^ x >> 29) * _PRIMES[3] & _MASK < self.share
 
     def _short(self, word: str, key: int) -> list[str]:
         """The agenda as a list: for a few characters looking through it is cheaper than keeping it in order."""
@@ -122,29 +155,115 @@ class Encoder:
             propose(a, right[a])
         return [word[k : ends[k]] for k in range(len(word)) if alive[k]]
 
-    def _remember(self, word: str, variant: int) -> bytes:
-        known = self.known[variant]
-        if len(known) > REMEMBERED // self.variants:
-            known.clear()
-        known[word] = out = self.word(word, variant)
-        return out
+    def _table(self) -> tuple:
+        if self.table is None:
+            self.table = self.pieces.pairs()
+        return self.table
 
-    def encode(self, text: str, key: int = 0) -> np.ndarray:
-        """Ids of a text; occurrences of a word take its variants in turn, from one that ``key`` gives.
+    def together(self, words: list[str], variants: list[int]) -> list[bytes]:
+        """Ids of words of one length.
 
-        A literal U+2581 is spelt in bytes, so that it does not come back as a space.
+        Each step takes the best pair of every word at once; it gives what ``word`` gives.
         """
-        if not text:
-            return np.empty(0, np.int32)
-        out = []
-        for n, part in enumerate((" " + text).split(SPACE)):
-            if n:
-                out.append(np.array([self.pieces.bytes[x] for x in SPACE.encode()], np.int32).tobytes())
+        points, keys, made, places, ids = self._table()
+        size, none = len(words[0]), np.int32((1 << 31) - 1)
+        sym = points[np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)].reshape(-1, size)
+        if self.share:
+            key = np.array([xxhash.xxh64_intdigest(w.encode(), self.seed + (v << 32)) for w, v in zip(words, variants)], np.uint64)
+        start = np.tile(np.arange(size + 1, dtype=np.int8), (len(words), 1))
+        column = np.arange(size + 1)
+
+        def look(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            want = a.astype(np.int64) << 32 | b
+            k = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
+            return k, keys[k] == want
+
+        agenda = np.full((len(words), size), none)
+        k, hit = look(sym[:, :-1], sym[:, 1:])
+        agenda[:, :-1][hit] = places[k[hit]]
+        count = np.full(len(words), size)
+        rows = np.arange(len(words))
+        p = [np.uint64(x) for x in _PRIMES]
+        while len(rows):
+            k = agenda[rows].argmin(1)
+            go = agenda[rows, k] != none
+            rows, k = rows[go], k[go]
+            r = rows
+            if self.share and len(rows):
+                x = (key[rows] ^ (start[rows, k].astype(np.uint64) * p[0] + start[rows, k + 2].astype(np.uint64) * p[1])) * p[2]
+                skip = (x ^ x >> np.uint64(29)) * p[3] < np.uint64(self.share)
+                agenda[rows[skip], k[skip]] = none
+                r, k = rows[~skip], k[~skip]
+            if not len(r):
+                continue
+            sym[r, k] = made[look(sym[r, k], sym[r, k + 1])[0]]
+            # what stands behind the merged pair moves up by one
+            after = column[None, :] > k[:, None]
+            for x, fill in ((sym, -1), (agenda, none), (start, 0)):
+                now = x[r]
+                behind = after[:, : x.shape[1]]
+                moved = np.full_like(now, fill)
+                moved[:, :-1] = now[:, 1:]
+                x[r] = np.where(behind, moved, now)
+            count[r] -= 1
+            for a in (k - 1, k):
+                ok = (a >= 0) & (a + 1 < count[r])
+                q, c = r[ok], a[ok]
+                found, hit = look(sym[q, c], sym[q, c + 1])
+                agenda[q, c] = np.where(hit, places[found], none)
+            last = count[r] - 1
+            agenda[r, last] = none
+        out = ids[np.maximum(sym, 0)]
+        spelt = ((out < 0) & (column[:-1] < count[:, None])).any(1).tolist()
+        found = []
+        for row, (n, odd) in enumerate(zip(count.tolist(), spelt)):
+            if odd:
+                edges = start[row].tolist()
+                found.append(self._ids([words[row][a:b] for a, b in zip(edges[:n], edges[1 : n + 1])]))
+            else:
+                found.append(out[row, :n].tobytes())
+        return found
+
+    def encode_many(self, texts: list[tuple[str, int]]) -> list[np.ndarray]:
+        """Ids of each (text, key); words that are not remembered are segmented together."""
+        if sum(map(len, self.known)) > REMEMBERED:
+            for known in self.known:
+                known.clear()
+        missing: dict[int, dict[tuple[str, int], list]] = {}
+        outs = []
+        for text, key in texts:
+            out: list[bytes] = []
+            for n, (v, words) in enumerate(self._words(text, key)):
+                if n:
+                    # a literal U+2581 must not come back as a space
+                    out.append(np.array(self._spelt(SPACE), np.int32).tobytes())
+                for w in words:
+                    v = v + 1 if v + 1 < self.variants else 0
+                    if (ids := self.known[v].get(w)) is None:
+                        missing.setdefault(len(w), {}).setdefault((w, v), []).append((out, len(out)))
+                    out.append(ids)
+            outs.append(out)
+        for size, group in missing.items():
+            asked = list(group)
+            for a in range(0, len(asked), TOGETHER):
+                part = asked[a : a + TOGETHER]
+                found = self.together(*map(list, zip(*part))) if size <= SHORT else [self.word(*x) for x in part]
+                for (w, v), ids in zip(part, found):
+                    if size <= LONGEST:
+                        self.known[v][w] = ids
+                    for out, place in group[w, v]:
+                        out[place] = ids
+        return [np.frombuffer(b"".join(out), np.int32) for out in outs]
+
+    def _words(self, text: str, key: int) -> Iterator[tuple[int, list[str]]]:
+        """Of each stretch between literal U+2581: the variant before its first word, and its words."""
+        for n, part in enumerate((" " + text).split(SPACE)) if text else ():
             v = xxhash.xxh64_intdigest(b"%d:%d" % (key, n), self.seed) % self.variants
-            for w in _WORD.findall(part.replace(" ", SPACE)):
-                v = v + 1 if v + 1 < self.variants else 0
-                out.append(self.known[v].get(w) or (self._remember(w, v) if len(w) <= LONGEST else self.word(w, v)))
-        return np.frombuffer(b"".join(out), np.int32)
+            yield v, _WORD.findall(part.replace(" ", SPACE))
+
+    def encode(self, text: str, key: int = 0) -> np.ndarray:
+        """Ids of a text; occurrences of a word take its variants in turn, from one that ``key`` gives."""
+        return self.encode_many([(text, key)])[0]
 
 
 def encode_texts(docs: DataFrame, pieces: Pieces, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -161,10 +280,9 @@ def encode_texts(docs: DataFrame, pieces: Pieces, dropout: float = DROPOUT, seed
         for batch in batches:
             for a in range(0, batch.num_rows, 1000):
                 part = batch.slice(a, 1000)
-                ids, good = [], []
-                for doc_id, text in zip(part["doc_id"].to_pylist(), part["text"].to_pylist()):
-                    ids.append(encoder.encode(text or "", -1 if doc_id is None else doc_id))
-                    good.append(encoder.pieces.decode(ids[-1].tolist()) == (text or ""))
+                texts = [(t or "", -1 if k is None else k) for k, t in zip(part["doc_id"].to_pylist(), part["text"].to_pylist())]
+                ids = encoder.encode_many(texts)
+                good = [encoder.pieces.decode(x.tolist()) == text for x, (text, _) in zip(ids, texts)]
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 flat = pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32), pa.int32())
                 yield pa.RecordBatch.from_arrays([part["doc_id"], pa.ListArray.from_arrays(pa.array(offsets), flat), pa.array(good, pa.bool_())], names=["doc_id", "ids", "lossless"])
