@@ -84,8 +84,14 @@ def pause_signs(text: Column) -> Column:
     return strip(F.translate(s, "".join(BLANKED), " " * len(BLANKED)))
 
 
+def once(text: Column, use) -> Column:
+    """``use`` of a text that it names several times; the text is made once, in an array of its own."""
+    return F.get(F.transform(F.array(text), use), F.lit(0))
+
+
 def ratios(text: Column) -> Column:
-    return strip(F.when(F.contains(F.lower(text), F.lit("tỉ lệ")), sub(text, r"(?U)\b(\d+):(\d+)\b", "$1 $2")).otherwise(text))
+    spoken = lambda t: F.when(F.contains(F.lower(t), F.lit("tỉ lệ")), sub(t, r"(?U)\b(\d+):(\d+)\b", "$1 $2")).otherwise(t)
+    return strip(once(text, spoken))
 
 
 def colons_to_points(text: Column) -> Column:
