@@ -10,12 +10,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiloom.llm import toxicity
+from lexiloom.llm import near_copies, toxicity
 from lexiloom.llm.common import new_folder, table
 from lexiloom.llm.decontaminate import drop_contaminated
 from lexiloom.llm.exact_dedup import drop_exact_duplicates
 from lexiloom.llm.sentencepiece_dropout import Pieces, digest, encode_texts
-from lexiloom.llm.simhash import drop_near_duplicates
 from lexiloom.llm.vocabulary import vocabulary_path
 
 
@@ -30,8 +29,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group that SimHash links, as op2 links them."""
-    return drop_near_duplicates(docs)
+    """The document with the smallest id of each group of texts that share 0.8 of their five-word shingles."""
+    return near_copies.drop_near_copies(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,190 @@
+"""Near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+
+Each set sends the keys of ``BANDS`` bands of ``ROWS`` MinHash values. Two sets of similarity s
+share no band with a chance of (1 - s ** ROWS) ** BANDS, which is 3 in a million at 0.8 and
+less above. What shares a band is a candidate, and every link is checked on the shingles
+themselves (as 64-bit hashes). A SimHash of 64 bits cannot find these pairs: at 0.8 its bits
+differ in about 10 places, give or take 3, and keys for so wide a radius hold a few bits only.
+
+In each band every set is first checked against one of it. What that joins needs no further
+check: the second round compares all pairs of a band that are not joined yet.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+from itertools import repeat
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, functions as F
+
+from lexiloom.llm.common import components, cut
+
+WORDS, LEVEL, SEED = 5, 0.8, 42
+BANDS, ROWS = 32, 5
+#: Shingles ranked at a time, and pairs sent at a time.
+BATCH, PAIRS = 1 << 13, 1 << 16
+_ODD = np.random.default_rng(20240301).integers(0, 1 << 31, (BANDS * ROWS, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+
+
+def shingle_hashes(text: str | None, words: int = WORDS) -> np.ndarray:
+    """Sorted distinct hashes of the shingles; white space is ASCII's, and only A-Z are lower-cased."""
+    toks = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not toks:
+        return np.empty(0, np.uint64)
+    n = max(1, len(toks) - words + 1)
+    flat = b" ".join(toks)
+    sizes = np.fromiter(map(len, toks), np.int64, len(toks)) + 1
+    ends = np.cumsum(sizes) - 1
+    starts = (ends - sizes + 1)[:n].tolist()
+    stops = ends[min(words, len(toks)) - 1 :].tolist()
+    shingles = (flat[i:j] for i, j in zip(starts, stops))
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64, n))
+
+
+def bands(hashes: np.ndarray) -> list[int]:
+    """Keys of the bands, signed; a set without shingles has none."""
+    if not len(hashes):
+        return []
+    least = np.full(len(_ODD), (1 << 32) - 1, np.uint32)
+    low = hashes.astype(np.uint32)
+    for a in range(0, len(low), BATCH):
+        np.minimum(least, (low[None, a : a + BATCH] * _ODD).min(1), out=least)
+    data, width = least.tobytes(), 4 * ROWS
+    keys = [xxhash.xxh64_intdigest(data[k * width : (k + 1) * width], k) for k in range(BANDS)]
+    return np.array(keys, np.uint64).view(np.int64).tolist()
+
+
+def alike(a: np.ndarray, b: np.ndarray, level: float = LEVEL) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= level * (len(a) + len(b) - both)
+
+
+def shingled(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, t, node, n, keys) of each row: hash of the text, code and size of its set, its bands."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_hashes(t) for t in batch["text"].to_pylist()]
+            nodes = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
+            rows = [batch["doc_id"], batch["t"], pa.array(nodes), pa.array([len(s) for s in sets], pa.int64()), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(rows, names=["doc_id", "t", "node", "n", "keys"])
+
+    text = F.col(text_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("t"), text.alias("text"))
+    return rows.mapInArrow(each, "doc_id bigint, t bigint, node bigint, n bigint, keys array<bigint>")
+
+
+def star(node: np.ndarray, n: np.ndarray, part: np.ndarray, level: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Each set of a band with the band's first."""
+    ok = (np.minimum(n, n[0]) >= level * np.maximum(n, n[0])) & (node != node[0])
+    yield node[ok], np.full(int(ok.sum()), node[0])
+
+
+def crossing(node: np.ndarray, n: np.ndarray, part: np.ndarray, level: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of a band that lie in different parts and have sizes near enough."""
+    if (part == part[0]).all():
+        return
+    order = np.argsort(n, kind="stable")
+    node, n, part = node[order], n[order], part[order]
+    stops = np.searchsorted(n, np.floor(n / level) + 1, "right")
+    for i, stop in enumerate(stops.tolist()):
+        far = node[i + 1 : stop][part[i + 1 : stop] != part[i]]
+        if len(far):
+            yield np.maximum(far, node[i]), np.minimum(far, node[i])
+
+
+def candidates(sent: DataFrame, pairs_of: Callable, level: float) -> DataFrame:
+    """(a, b) that ``pairs_of`` makes of the sets of each band of ``sent`` (key, node, n, part)."""
+    columns = ["key", "node", "n", "part"]
+
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = [np.empty(0, np.int64)] * 4
+        for batch in batches:
+            now = [np.concatenate([a, batch[c].to_numpy()]) for a, c in zip(kept, columns)]
+            ends = np.flatnonzero(np.diff(now[0])) + 1
+            # the last key may go on in the next batch
+            at = int(ends[-1]) if len(ends) else 0
+            kept = [a[at:] for a in now]
+            yield from emit([a[:at] for a in now], ends)
+        yield from emit(kept, np.array([len(kept[0])]))
+
+    def emit(cols: list[np.ndarray], stops: np.ndarray) -> Iterator[pa.RecordBatch]:
+        starts = np.concatenate([[0], stops])[:-1]
+        out, size = [], 0
+        for i, j in zip(starts[stops - starts > 1], stops[stops - starts > 1]):
+            for ab in pairs_of(*(c[i:j] for c in cols[1:]), level):
+                out.append(ab)
+                size += len(ab[0])
+                if size >= PAIRS:
+                    yield batch_of(out)
+                    out, size = [], 0
+        if size:
+            yield batch_of(out)
+
+    def batch_of(out: list) -> pa.RecordBatch:
+        ab = np.unique(np.stack([np.concatenate([o[k] for o in out]) for k in (0, 1)]), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in ab], names=["a", "b"])
+
+    width = int(sent.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = sent.repartition(width, "key").sortWithinPartitions("key", "node").select(columns)
+    return rows.mapInArrow(pair, "a bigint, b bigint").distinct()
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str, level: float) -> DataFrame:
+    """Of ``pairs`` those that are alike, by the texts of ``docs`` that stand for the ``nodes``."""
+    pairs = cut(pairs)
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "t"), "node")
+    texts = docs.select(F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text")).join(asked, "t")
+    texts = cut(texts.dropDuplicates(["node"]).select("node", "text"))
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a band's first text comes in many rows one after another
+        last = None, None
+        for batch in batches:
+            good = []
+            for b, x, y in zip(batch["b"].to_pylist(), batch["x"].to_pylist(), batch["y"].to_pylist()):
+                if last[0] != b:
+                    last = b, shingle_hashes(y)
+                good.append(alike(shingle_hashes(x), last[1], level))
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    rows = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
+    rows = rows.join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
+    return cut(rows.mapInArrow(check, "a bigint, b bigint"))
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", level: float = LEVEL) -> DataFrame:
+    """Per row of ``docs``: doc_id, t (hash of its text), component_id.
+
+    ``component_id`` is the smallest id reachable over links of similarity ``level`` or more.
+
+    Defined cases: null text is empty, and texts without words are alike; fewer words than a
+    shingle are one shingle; a null id is never a component's id unless the component has no
+    other; repeated rows give a row each; an empty table gives no rows; other columns are ignored.
+    """
+    of = cut(shingled(docs, id_col, text_col))
+    nodes = cut(of.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("t").alias("t"), F.first("n").alias("n"), F.first("keys").alias("keys")))
+    sent = nodes.select(F.explode("keys").alias("key"), "node", "n")
+    edges = verified(candidates(sent.withColumn("part", F.col("node")), star, level), nodes, docs, text_col, level)
+    parts = components(edges).withColumnRenamed("component", "part")
+    rest = sent.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
+    more = verified(candidates(rest, crossing, level), nodes, docs, text_col, level)
+    if not more.isEmpty():
+        parts = components(edges.union(more)).withColumnRenamed("component", "part")
+    label = nodes.join(parts, "node", "left").select("node", "least", F.coalesce("part", "node").alias("part"))
+    ids = label.groupBy("part").agg(F.min("least").alias("component_id"))
+    return of.join(label.join(ids, "part").select("node", "component_id"), "node").select("doc_id", "t", "component_id")
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The document with the smallest id of each group stays; rows with a null id stay.
+
+    Each row is decided by its id and text: of rows that share an id only those go whose own
+    text is a near copy, and all rows with a group's smallest id stay.
+    """
+    found = near_copies(docs, id_col, text_col)
+    gone = found.where(F.col("doc_id") > F.col("component_id")).select(F.col("doc_id").alias("__gone"), F.col("t").alias("__t"))
+    return docs.join(gone, (docs[id_col] == F.col("__gone")) & (F.xxhash64(docs[text_col]) == F.col("__t")), "left_anti")

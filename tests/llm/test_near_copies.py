@@ -1,0 +1,58 @@
+"""The pipeline's near-copy stage against brute force."""
+
+import itertools
+import random
+import re
+
+import corpus_pipeline
+from lexiloom.llm import near_copies
+
+from tests.llm.test_llm_operators import closure
+
+DATA = "/root/testdata/sf0.001"
+
+
+def brute_groups(texts):
+    sets = []
+    for t in texts:
+        w = re.findall(rb"[^\x20\x09-\x0d]+", (t or "").encode().lower())
+        sets.append({b" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    near = [(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    return closure(len(sets), near)
+
+
+def test_stage_drops_what_is_alike(spark):
+    """Copies with a few words changed lie within 0.8 of five-word shingles, not within 3 bits."""
+    rnd = random.Random(7)
+    words = [f"w{k}" for k in range(500)]
+    texts = []
+    for k in range(150):
+        base = texts[rnd.randrange(len(texts))].split() if k > 20 and k % 2 else [rnd.choice(words) for _ in range(rnd.randint(0, 300))]
+        for _ in range(len(base) * rnd.randint(0, 5) // 200):
+            base[rnd.randrange(len(base))] = "Edit"
+        texts.append(" ".join(base))
+    texts += ["", None, "One two", "one  TWO", "one two three"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    root = brute_groups(texts)
+    assert len(set(root)) < 110
+    got = corpus_pipeline.drop_near_copies(spark, docs, DATA)
+    assert got.columns == docs.columns and {r.doc_id for r in got.collect()} == set(root)
+
+
+def test_second_round_joins_what_the_first_of_a_band_does_not(spark, monkeypatch):
+    """One band for all: its first text is far from most, which are near one another."""
+    monkeypatch.setattr(near_copies, "bands", lambda h: [1])
+    rnd = random.Random(8)
+    bases = [[f"{k}x{i}" for i in range(rnd.randint(80, 120))] for k in range(4)]
+    texts = [" ".join(w if rnd.random() > 0.02 else "edit" for w in rnd.choice(bases)) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = near_copies.near_copies(docs).collect()
+    assert {r.doc_id: r.component_id for r in rows} == dict(enumerate(brute_groups(texts)))
+
+
+def test_rows_that_share_an_id(spark):
+    long = " ".join(f"w{k}" for k in range(100))
+    rows = [(3, long), (5, long + " more"), (5, "something else"), (None, long + " again"), (3, long)]
+    got = near_copies.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(str, got.collect())) == sorted(str(r) for r in spark.createDataFrame([rows[0], rows[2], rows[3], rows[4]], "doc_id long, text string").collect())
+    assert near_copies.drop_near_copies(got.limit(0)).count() == 0
