@@ -134,13 +134,14 @@ def _merged(doc: np.ndarray, pos: np.ndarray, n: np.ndarray) -> tuple[np.ndarray
 
 
 _COLUMNS = ["k", "f", "doc", "pos", "n"]
-_ROWS = "k bigint, f int, doc bigint, pos bigint, n int"
+_ROWS = "k bigint, f bigint, doc bigint, pos bigint, n int"
 #: ``f`` of rows that are known to be covered and only pass through; codes never take it.
-_THROUGH = np.int32(-(1 << 31))
+_THROUGH = np.int64(-(1 << 63))
 
 
-def _code32(x: np.ndarray) -> np.ndarray:
-    return np.maximum((x >> np.uint64(32)).astype(np.uint32).view(np.int32), _THROUGH + 1)
+def _signed(x: np.ndarray) -> np.ndarray:
+    """All 64 bits: among stretches of one representative ``f`` alone decides."""
+    return np.maximum(x.view(np.int64), _THROUGH + 1)
 
 
 def _send(k: np.ndarray, f: np.ndarray, doc: np.ndarray, pos: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -178,7 +179,7 @@ def send_stretches(length: int) -> Callable:
                 total = np.concatenate([[np.uint64(0)], np.cumsum(b.rank * power[: len(b.rank)])])
                 digits = (total[lo + n + length - b.half] - total[lo]) * inverse[lo]
                 shape = (rep[at] - lo).astype(np.uint64) * np.uint64(length) + n.astype(np.uint64)
-                yield from _send(b.rank[rep[at]], _code32(pair_code(digits, shape)), b.doc[at], b.pos[at], n)
+                yield from _send(b.rank[rep[at]], _signed(pair_code(digits, shape)), b.doc[at], b.pos[at], n)
 
     return each
 
@@ -190,7 +191,7 @@ def settle(more: bool) -> Callable:
     """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = [np.empty(0, t) for t in (np.int64, np.int32, np.int64, np.int64, np.int32)]
+        kept = [np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.int32)]
         for batch in batches:
             now = [np.concatenate([a, batch[c].to_numpy()]) for a, c in zip(kept, _COLUMNS)]
             ends = np.flatnonzero(np.diff(now[0])) + 1
@@ -244,7 +245,7 @@ def send_windows(length: int) -> Callable:
                     np.add.at(step, at + np.minimum(hi[near], n), -1)
                 take = np.cumsum(step[:-1]) > 0
                 rep = b.rank[b.representatives(length)[take]]
-                yield from _send(b.windows(length)[take], _code32(rep), b.doc[take], b.pos[take], np.ones(int(take.sum()), np.int64))
+                yield from _send(b.windows(length)[take], _signed(rep), b.doc[take], b.pos[take], np.ones(int(take.sum()), np.int64))
 
     return each
 
