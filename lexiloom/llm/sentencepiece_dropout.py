@@ -1,10 +1,13 @@
 """SentencePiece encoding with seeded merge dropout, and lossless decoding.
 
 Pieces of a merge-type model are built from characters by an agenda of neighbouring pairs,
-best score first. A pair that comes up is skipped for good where a keyed hash of its place
-falls under the dropout share, so a seed fixes every segmentation. No piece goes on over the
-beginning of a word, so words are independent; a word has ``VARIANTS`` segmentations,
-which its occurrences take in turn, and a worker remembers them.
+best score first. A pair that comes up is skipped for good with a chance of the dropout share.
+No piece goes on over the beginning of a word, so words are independent. Every occurrence of
+a word draws for itself, from a hash of the seed, the document's id and the word's place.
+
+What a draw decides is at which of the pairs that come up one is skipped. A worker remembers
+(bounded) the segmentation of a word for the skips that it has met, which does not depend on
+the draw, and segments what it does not remember thousands at a time.
 """
 
 from __future__ import annotations
@@ -12,6 +15,7 @@ from __future__ import annotations
 import heapq
 import re
 from collections.abc import Iterator
+from itertools import count, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -20,12 +24,14 @@ from pyspark.sql import DataFrame, functions as F
 
 SPACE = "▁"
 DROPOUT, SEED, VARIANTS = 0.1, 17, 4
-#: Segmentations that a worker remembers, and characters of the longest word it does for.
+#: Segmentations that a worker remembers, and characters from which on a heap is worth it.
 REMEMBERED, LONGEST = 1_000_000, 64
 _MASK, _NONE = (1 << 64) - 1, float("-inf")
 _PRIMES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 #: Words up to this long are segmented many at a time, and how many.
 SHORT, TOGETHER = 40, 4096
+#: More pairs than come up in a short word (each merge makes two at most), as bits too.
+FAR, FAR_BITS = 128, 7
 _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
@@ -79,15 +85,44 @@ class Pieces:
 
 
 class Encoder:
-    def __init__(self, pieces: Pieces, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS) -> None:
+    def __init__(self, pieces: Pieces, dropout: float = DROPOUT, seed: int = SEED, variants: int | None = VARIANTS) -> None:
+        """With ``variants`` a word has so many segmentations, taken in turn; with None each occurrence has its own."""
         self.pieces, self.seed, self.variants = pieces, seed, variants
         self.share = int(dropout * (1 << 64))
-        self.known: list[dict[str, bytes]] = [{} for _ in range(variants)]
+        #: rising; the skip comes after as many pairs as there are numbers above the drawn one
+        self.levels = np.array([min(_MASK, int((1 - dropout) ** k * (1 << 64))) for k in range(FAR, 0, -1)], np.uint64)
         self.table: tuple | None = None
-
-    def word(self, word: str, variant: int) -> bytes:
+        self._forget()
+
+    def _forget(self) -> None:
+        """Segmentations as a tree for each word: from one to that with another skip. The empty word is a literal U+2581."""
+        self.roots: dict[str, int] = {"": 0}
+        self.children: dict[int, int] = {}
+        #: of each node where it comes from, its ids, and how many pairs come up
+        self.origin, self.known = [-1], [np.array(self._spelt(SPACE), np.int32).tobytes()]
+        self.limit = np.zeros(1 << 16, np.int64)
+
+    def gaps(self, keys: np.ndarray, turn: int) -> np.ndarray:
+        """Pairs that come up before the next skip, ``FAR`` for that many and more."""
+        if not self.share:
+            return np.full(len(keys), FAR)
+        x = keys + np.uint64((turn + 1) * _PRIMES[0] & _MASK)
+        x = (x ^ x >> np.uint64(30)) * np.uint64(_PRIMES[1])
+        x = (x ^ x >> np.uint64(27)) * np.uint64(_PRIMES[2])
+        return FAR - np.searchsorted(self.levels, x ^ x >> np.uint64(31), "right")
+
+    def drops(self, key: int) -> Iterator[int]:
+        """At which of the pairs that come up one is skipped."""
+        at, keys = 0, np.array([key], np.uint64)
+        for turn in count() if self.share else ():
+            gap = int(self.gaps(keys, turn)[0])
+            at += gap
+            if gap < FAR:
+                yield at
+                at += 1
+
+    def word(self, word: str, key: int) -> bytes:
         """Ids (32-bit) of a word's pieces."""
-        key = xxhash.xxh64_intdigest(word.encode(), self.seed + (variant << 32)) if self.share else 0
         parts = self._short(word, key) if len(word) <= LONGEST else self._long(word, key)
         return self._ids(parts)
 
@@ -104,22 +139,20 @@ class Encoder:
     def _spelt(self, piece: str) -> list[int]:
         return [self.pieces.bytes[x] for x in piece.encode()]
 
-    def skips(self, key: int, start: int, end: int) -> bool:
-        """Whether the merge that makes ``word[start:end]`` is dropped."""
-        x = (key ^ (start * _PRIMES[0] + end * _PRIMES[1] & _MASK)) * _PRIMES[2] & _MASK
-        return (x ^ x >> 29) * _PRIMES[3] & _MASK < self.share
-
     def _short(self, word: str, key: int) -> list[str]:
         """The agenda as a list: for a few characters looking through it is cheaper than keeping it in order."""
-        score, parts, starts = self.pieces.scores.get, list(word), list(range(len(word) + 1))
+        score, parts = self.pieces.scores.get, list(word)
+        drops, turn = self.drops(key), -1
+        drop = next(drops, None)
         agenda = [score(a + b, _NONE) for a, b in zip(parts, parts[1:])]
         while agenda and (best := max(agenda)) != _NONE:
             k = agenda.index(best)
-            if self.share and self.skips(key, starts[k], starts[k + 2]):
-                agenda[k] = _NONE
+            turn += 1
+            if turn == drop:
+                agenda[k], drop = _NONE, next(drops)
                 continue
             parts[k] += parts.pop(k + 1)
-            del starts[k + 1], agenda[k]
+            del agenda[k]
             if k:
                 agenda[k - 1] = score(parts[k - 1] + parts[k], _NONE)
             if k < len(agenda):
@@ -133,6 +166,8 @@ class Encoder:
         ends = list(range(1, len(word) + 1))
         alive = [True] * len(word)
         agenda: list[tuple[float, int, int, int]] = []
+        drops, turn = self.drops(key), -1
+        drop = next(drops, None)
 
         def propose(a: int, b: int) -> None:
             if a >= 0 and b < len(word) and (s := scores.get(word[a : ends[b]])) is not None:
@@ -145,7 +180,9 @@ class Encoder:
             # one of the two has been merged since
             if not alive[a] or not alive[b] or right[a] != b or ends[b] != end:
                 continue
-            if self.share and self.skips(key, a, end):
+            turn += 1
+            if turn == drop:
+                drop = next(drops)
                 continue
             alive[b] = False
             ends[a], right[a] = end, right[b]
@@ -160,16 +197,17 @@ class Encoder:
             self.table = self.pieces.pairs()
         return self.table
 
-    def together(self, words: list[str], variants: list[int]) -> list[bytes]:
-        """Ids of words of one length.
+    def together(self, words: list[str], drops: list[list[int]]) -> tuple[list[bytes], np.ndarray]:
+        """Ids of words of one length whose skips are known, and how many pairs come up in each.
 
         Each step takes the best pair of every word at once; it gives what ``word`` gives.
         """
         points, keys, made, places, ids = self._table()
         size, none = len(words[0]), np.int32((1 << 31) - 1)
         sym = points[np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)].reshape(-1, size)
-        if self.share:
-            key = np.array([xxhash.xxh64_intdigest(w.encode(), self.seed + (v << 32)) for w, v in zip(words, variants)], np.uint64)
+        dropped = np.zeros((len(words), FAR), bool)
+        dropped[np.repeat(np.arange(len(words)), list(map(len, drops))), np.array([p for d in drops for p in d], np.int64)] = True
+        turn = np.zeros(len(words), np.int64)
         start = np.tile(np.arange(size + 1, dtype=np.int8), (len(words), 1))
         column = np.arange(size + 1)
 
@@ -183,17 +221,14 @@ class Encoder:
         agenda[:, :-1][hit] = places[k[hit]]
         count = np.full(len(words), size)
         rows = np.arange(len(words))
-        p = [np.uint64(x) for x in _PRIMES]
         while len(rows):
             k = agenda[rows].argmin(1)
             go = agenda[rows, k] != none
             rows, k = rows[go], k[go]
-            r = rows
-            if self.share and len(rows):
-                x = (key[rows] ^ (start[rows, k].astype(np.uint64) * p[0] + start[rows, k + 2].astype(np.uint64) * p[1])) * p[2]
-                skip = (x ^ x >> np.uint64(29)) * p[3] < np.uint64(self.share)
-                agenda[rows[skip], k[skip]] = none
-                r, k = rows[~skip], k[~skip]
+            skip = dropped[rows, turn[rows]]
+            turn[rows] += 1
+            agenda[rows[skip], k[skip]] = none
+            r, k = rows[~skip], k[~skip]
             if not len(r):
                 continue
             sym[r, k] = made[look(sym[r, k], sym[r, k + 1])[0]]
@@ -222,51 +257,95 @@ class Encoder:
                 found.append(self._ids([words[row][a:b] for a, b in zip(edges[:n], edges[1 : n + 1])]))
             else:
                 found.append(out[row, :n].tobytes())
-        return found
+        return found, turn
+
+    def _learn(self, asked: dict[str, str] | dict[int, str]) -> None:
+        """New nodes: of words (their root), or of (node, skip) codes, each with its word."""
+        sizes: dict[int, list] = {}
+        for code, word in asked.items():
+            sizes.setdefault(len(word), []).append((code, word))
+        for group in sizes.values():
+            for a in range(0, len(group), TOGETHER):
+                part = group[a : a + TOGETHER]
+                drops = []
+                for code, _ in part:
+                    drops.append([])
+                    while not isinstance(code, str) and code >= 0:
+                        drops[-1].append(code & FAR - 1)
+                        code = self.origin[code >> FAR_BITS]
+                ids, limit = self.together([w for _, w in part], drops)
+                first = len(self.known)
+                if first + len(part) > len(self.limit):
+                    self.limit = np.concatenate([self.limit, np.zeros(max(len(part), len(self.limit)), np.int64)])
+                self.limit[first : first + len(part)] = limit
+                self.known += ids
+                for k, (code, _) in enumerate(part, first):
+                    if isinstance(code, str):
+                        self.roots[code] = k
+                        self.origin.append(-1)
+                    else:
+                        self.children[code] = k
+                        self.origin.append(code)
+
+    def _find(self, where: dict, asked: list, words: list[str]) -> np.ndarray:
+        """Nodes of what is asked for, learnt where they are not known."""
+        node = np.fromiter(map(where.get, asked, repeat(-1)), np.int64, len(asked))
+        if len(new := np.flatnonzero(node < 0)):
+            self._learn({asked[k]: words[k] for k in new.tolist()})
+            node[new] = [where[asked[k]] for k in new.tolist()]
+        return node
 
     def encode_many(self, texts: list[tuple[str, int]]) -> list[np.ndarray]:
-        """Ids of each (text, key); words that are not remembered are segmented together."""
-        if sum(map(len, self.known)) > REMEMBERED:
-            for known in self.known:
-                known.clear()
-        missing: dict[int, dict[tuple[str, int], list]] = {}
-        outs = []
+        """Ids of each (text, key)."""
+        if len(self.known) > REMEMBERED:
+            self._forget()
+        words: list[str] = []
+        keys, stops = [np.empty(0, np.uint64)], [0]
         for text, key in texts:
-            out: list[bytes] = []
-            for n, (v, words) in enumerate(self._words(text, key)):
-                if n:
-                    # a literal U+2581 must not come back as a space
-                    out.append(np.array(self._spelt(SPACE), np.int32).tobytes())
-                for w in words:
-                    v = v + 1 if v + 1 < self.variants else 0
-                    if (ids := self.known[v].get(w)) is None:
-                        missing.setdefault(len(w), {}).setdefault((w, v), []).append((out, len(out)))
-                    out.append(ids)
-            outs.append(out)
-        for size, group in missing.items():
-            asked = list(group)
-            for a in range(0, len(asked), TOGETHER):
-                part = asked[a : a + TOGETHER]
-                found = self.together(*map(list, zip(*part))) if size <= SHORT else [self.word(*x) for x in part]
-                for (w, v), ids in zip(part, found):
-                    if size <= LONGEST:
-                        self.known[v][w] = ids
-                    for out, place in group[w, v]:
-                        out[place] = ids
-        return [np.frombuffer(b"".join(out), np.int32) for out in outs]
-
-    def _words(self, text: str, key: int) -> Iterator[tuple[int, list[str]]]:
-        """Of each stretch between literal U+2581: the variant before its first word, and its words."""
+            for own in self._words(text, key):
+                words += own[0]
+                keys.append(own[1])
+            stops.append(len(words))
+        key = np.concatenate(keys)
+        long = [k for k, w in enumerate(words) if len(w) > SHORT]
+        asked = words
+        if long:
+            asked = words.copy()
+            for k in long:
+                asked[k] = ""
+        node = self._find(self.roots, asked, words)
+        at = self.gaps(key, 0)
+        left = np.flatnonzero(at < self.limit[node])
+        turn = 1
+        while len(left):
+            codes = (node[left] << FAR_BITS | at[left]).tolist()
+            node[left] = self._find(self.children, codes, [words[k] for k in left.tolist()])
+            at[left] += 1 + self.gaps(key[left], turn)
+            left = left[at[left] < self.limit[node[left]]]
+            turn += 1
+        out = list(map(self.known.__getitem__, node.tolist()))
+        for k in long:
+            out[k] = self.word(words[k], int(key[k]))
+        return [np.frombuffer(b"".join(out[a:b]), np.int32) for a, b in zip(stops, stops[1:])]
+
+    def _words(self, text: str, key: int) -> Iterator[tuple[list[str], np.ndarray]]:
+        """Of each stretch between literal U+2581: its words and their keys; before all but the first the empty word."""
         for n, part in enumerate((" " + text).split(SPACE)) if text else ():
-            v = xxhash.xxh64_intdigest(b"%d:%d" % (key, n), self.seed) % self.variants
-            yield v, _WORD.findall(part.replace(" ", SPACE))
+            words = _WORD.findall(part.replace(" ", SPACE))
+            own = xxhash.xxh64_intdigest(b"%d:%d" % (key, n), self.seed)
+            if self.variants is None:
+                keys = np.uint64(own) ^ np.arange(1, len(words) + 1, dtype=np.uint64) * np.uint64(_PRIMES[3])
+            else:
+                keys = np.array([xxhash.xxh64_intdigest(w.encode(), self.seed + ((own + k) % self.variants << 32)) for k, w in enumerate(words)], np.uint64)
+            # a literal U+2581 must not come back as a space
+            yield ([""] + words, np.append(np.uint64(0), keys)) if n else (words, keys)
 
     def encode(self, text: str, key: int = 0) -> np.ndarray:
-        """Ids of a text; occurrences of a word take its variants in turn, from one that ``key`` gives."""
+        """Ids of a text; ``key`` tells it from other texts."""
         return self.encode_many([(text, key)])[0]
 
 
-def encode_texts(docs: DataFrame, pieces: Pieces, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_texts(docs: DataFrame, pieces: Pieces, dropout: float = DROPOUT, seed: int = SEED, variants: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: doc_id, ids (array of int), lossless (the ids decode to the text).
 
     Defined cases: null text is empty and has no ids; null ids are a key like any other, and
