@@ -17,19 +17,28 @@ of 100 bytes matter, and only positions whose rank is not unique go on. Spark so
    of each rank stays, later ones are repeats.
 
 Copies inside a block of texts fold before they are sent, so that a passage that very many
-texts share sends one row from each block.
+texts share sends one row from each block. A representative that stands in very many different
+stretches (a licence line in ever new surroundings) would still meet in one task: such ranks
+are looked for in a bounded sample, and their stretches are dealt by a code of the whole
+stretch instead. Whether a rank is in the sample moves rows between tasks and changes no result.
+
+Ranks are 64-bit codes under a number drawn for each run, so nobody can write texts that
+collide. Stretches are told apart by two of them (rank and code of all bytes; among the
+stretches of one rank, fewer than about one text in 500 has it, by the second alone), strings
+of 100 bytes by two as well.
 """
 
 from __future__ import annotations
 
 import hashlib
+import secrets
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from lexiloom.llm.common import cut, new_folder
+from lexiloom.llm.common import cut, kept
 
 LENGTH = 100
 #: Bytes of text that a task ranks at once, and windows of one piece of a long text.
@@ -37,7 +46,13 @@ BLOCK, PIECE = 2 << 20, 1 << 20
 COVERED, OPEN = 0, 1
 #: Multipliers of the codes (odd 64-bit constants).
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
-_BYTES = np.random.default_rng(20240229).integers(0, 1 << 64, 256, dtype=np.uint64)
+#: Texts of the sample that looks for hot ranks, and different stretches there that make one.
+SAMPLE, HOT = 4000, 8
+
+
+def byte_codes(seed: int) -> np.ndarray:
+    """The rank of each single byte."""
+    return np.random.default_rng(seed).integers(0, 1 << 64, 256, dtype=np.uint64)
 
 
 def pair_code(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -50,9 +65,9 @@ def pair_code(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(31)
 
 
-def prefix_codes(data: np.ndarray, length: int) -> np.ndarray:
+def prefix_codes(data: np.ndarray, length: int, codes: np.ndarray) -> np.ndarray:
     """Ranks of all strings of ``length`` bytes, by doubling from single bytes."""
-    code, h = _BYTES[data], 1
+    code, h = codes[data], 1
     while h < length:
         step = min(h, length - h)
         code = pair_code(code[:-step], code[step:])
@@ -69,7 +84,7 @@ def _runs(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Block:
     """Pieces of texts side by side. Windows are the starts of whole strings of ``length`` bytes."""
 
-    def __init__(self, pieces: list[tuple[int, int, bytes]], length: int) -> None:
+    def __init__(self, pieces: list[tuple[int, int, bytes]], length: int, codes: np.ndarray) -> None:
         self.half = -(-length // 2)
         sizes = np.array([len(b) for _, _, b in pieces])
         starts = np.cumsum(sizes) - sizes
@@ -79,7 +94,7 @@ class Block:
         self.at = np.repeat(starts, whole) + np.arange(whole.sum()) - np.repeat(np.cumsum(whole) - whole, whole)
         self.doc = np.repeat(np.array([d for d, _, _ in pieces], np.int64), whole)
         self.pos = self.at - np.repeat(starts, whole) + np.repeat(np.array([p for _, p, _ in pieces], np.int64), whole)
-        self.rank = prefix_codes(data, self.half) if len(data) >= length else np.empty(0, np.uint64)
+        self.rank = prefix_codes(data, self.half, codes) if len(data) >= length else np.empty(0, np.uint64)
 
     def windows(self, length: int) -> np.ndarray:
         """Ranks of the strings of full length: pairs of half ranks."""
@@ -144,27 +159,37 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return np.maximum(x.view(np.int64), _THROUGH + 1)
 
 
-def _send(k: np.ndarray, f: np.ndarray, doc: np.ndarray, pos: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """The first row of each (k, f), and what the others cover, under keys of their own."""
+def _send(k: np.ndarray, f: np.ndarray, doc: np.ndarray, pos: np.ndarray, n: np.ndarray, hot: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """The first row of each (k, f), and what the others cover, under keys of their own.
+
+    Rows of a ``hot`` k go to a key of k and f and have ``n`` negative.
+    """
     if not len(k):
         return
     order, same = _fold([k, f], doc, pos)
-    kept, gone = order[~same], order[same]
+    first, gone = order[~same], order[same]
     d, p, m = _merged(doc[gone], pos[gone], n[gone])
+    key, size = k[first], n[first]
+    if hot is not None and len(hot):
+        at = np.minimum(np.searchsorted(hot, key), len(hot) - 1)
+        is_hot = hot[at] == key
+        key = np.where(is_hot, pair_code(key, f[first].view(np.uint64)), key)
+        size = np.where(is_hot, -size, size)
     own = pair_code(d.view(np.uint64), p.view(np.uint64))
-    cols = [np.concatenate(x) for x in ((k[kept], own), (f[kept], np.full(len(d), _THROUGH)), (doc[kept], d), (pos[kept], p), (n[kept], m))]
+    cols = [np.concatenate(x) for x in ((key, own), (f[first], np.full(len(d), _THROUGH)), (doc[first], d), (pos[first], p), (size, m))]
     cols = [cols[0].view(np.int64), cols[1], cols[2], cols[3], cols[4].astype(np.int32)]
     yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=_COLUMNS)
 
 
-def send_stretches(length: int) -> Callable:
+def send_stretches(length: int, seed: int, hot: np.ndarray | None = None) -> Callable:
     """Round 1: stretches of windows by their representative's rank."""
+    codes = byte_codes(seed)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs = batch["doc"].to_pylist()
             for pieces, _ in blocks(docs, docs, batch["bytes"].to_pylist(), length):
-                b = Block(pieces, length)
+                b = Block(pieces, length, codes)
                 if not len(b.at):
                     continue
                 rep = b.representatives(length)
@@ -179,7 +204,7 @@ def send_stretches(length: int) -> Callable:
                 total = np.concatenate([[np.uint64(0)], np.cumsum(b.rank * power[: len(b.rank)])])
                 digits = (total[lo + n + length - b.half] - total[lo]) * inverse[lo]
                 shape = (rep[at] - lo).astype(np.uint64) * np.uint64(length) + n.astype(np.uint64)
-                yield from _send(b.rank[rep[at]], _signed(pair_code(digits, shape)), b.doc[at], b.pos[at], n)
+                yield from _send(b.rank[rep[at]], _signed(pair_code(digits, shape)), b.doc[at], b.pos[at], n, hot)
 
     return each
 
@@ -187,51 +212,64 @@ def send_stretches(length: int) -> Callable:
 def settle(more: bool) -> Callable:
     """Of rows sorted by (k, f, doc, pos): later rows of a (k, f) are covered.
 
-    With ``more``, the first rows of a k with several f are handed on as open.
+    With ``more``, the first rows of a k with several f, and of those that were dealt as hot,
+    are handed on as open. Between batches only the key of the last row stays in memory, and
+    the first row of its k while no second f has come.
     """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = [np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.int32)]
+        last: tuple | None = None
+        #: rows of the last k that are first of their f, and the only one of them
+        firsts, single = 0, None
         for batch in batches:
-            now = [np.concatenate([a, batch[c].to_numpy()]) for a, c in zip(kept, _COLUMNS)]
-            ends = np.flatnonzero(np.diff(now[0])) + 1
-            at = int(ends[-1]) if len(ends) else 0
-            kept = [a[at:] for a in now]
-            yield from out([a[:at] for a in now])
-        yield from out(kept)
-
-    def out(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        k, f, doc, pos, n = cols
-        if not len(k):
-            return
-        new_k, new_f = np.ones(len(k), bool), np.ones(len(k), bool)
-        new_k[1:] = np.diff(k) != 0
-        new_f[1:] = new_k[1:] | (f[1:] != f[:-1])
-        through = f == _THROUGH
-        covered = ~new_f | through
-        group = np.cumsum(new_k) - 1
-        several = np.bincount(group, new_f & ~through)[group] > 1
-        open_ = new_f & ~through & several if more else np.zeros(len(k), bool)
-        rows = []
-        if covered.any():
-            d, p, m = _merged(doc[covered], pos[covered], n[covered].astype(np.int64))
-            rows.append((d, p, m, np.full(len(d), COVERED)))
-        if open_.any():
-            rows.append((doc[open_], pos[open_], n[open_].astype(np.int64), np.full(int(open_.sum()), OPEN)))
-        if rows:
-            d, p, m, kind = (np.concatenate(x) for x in zip(*rows))
-            yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(p, pa.int64()), pa.array(m, pa.int64()), pa.array(kind, pa.int32())], names=["doc", "pos", "n", "kind"])
+            if not batch.num_rows:
+                continue
+            k, f, doc, pos, n = (batch[c].to_numpy() for c in _COLUMNS)
+            hot, n = n < 0, np.abs(n).astype(np.int64)
+            new_k, new_f = np.ones(len(k), bool), np.ones(len(k), bool)
+            new_k[1:] = k[1:] != k[:-1]
+            new_f[1:] = new_k[1:] | (f[1:] != f[:-1])
+            if last is not None:
+                new_k[0] = k[0] != last[0]
+                new_f[0] = new_k[0] or f[0] != last[1]
+            through = f == _THROUGH
+            covered, first = ~new_f | through, new_f & ~through
+            # group 0 is the k that the last batch ended with
+            group = np.cumsum(new_k)
+            counts = np.bincount(group, first, group[-1] + 1).astype(np.int64)
+            open_ = first & ((counts + np.where(np.arange(len(counts)) == 0, firsts, 0) > 1)[group] | hot)
+            rows = []
+            if covered.any():
+                d, p, m = _merged(doc[covered], pos[covered], n[covered])
+                rows.append((d, p, m, np.full(len(d), COVERED)))
+            if more:
+                if single is not None and counts[0]:
+                    rows.append((*single, np.full(1, OPEN)))
+                    single = None
+                if open_.any():
+                    rows.append((doc[open_], pos[open_], n[open_], np.full(int(open_.sum()), OPEN)))
+                if len(counts) > 1:
+                    firsts, single = 0, None
+                firsts += int(counts[-1])
+                if firsts == 1 and counts[-1]:
+                    k1 = int(np.flatnonzero(first)[-1])
+                    single = None if hot[k1] else (doc[k1 : k1 + 1], pos[k1 : k1 + 1], n[k1 : k1 + 1])
+            last = int(k[-1]), int(f[-1])
+            if rows:
+                d, p, m, kind = (np.concatenate(x) for x in zip(*rows))
+                yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(p, pa.int64()), pa.array(m, pa.int64()), pa.array(kind, pa.int32())], names=["doc", "pos", "n", "kind"])
 
     return each
 
 
-def send_windows(length: int) -> Callable:
+def send_windows(length: int, seed: int) -> Callable:
     """Round 2: the windows of open stretches by their full rank; f is their representative's."""
+    codes = byte_codes(seed)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for pieces, spans in blocks(batch["doc"].to_pylist(), batch["spans"].to_pylist(), batch["bytes"].to_pylist(), length):
-                b = Block(pieces, length)
+                b = Block(pieces, length, codes)
                 if not len(b.at):
                     continue
                 size = np.array([max(0, len(t) - length + 1) for _, _, t in pieces])
@@ -254,16 +292,6 @@ def _sorted(rows: DataFrame) -> DataFrame:
     return rows.repartition("k").sortWithinPartitions("k", "f", "doc", "pos")
 
 
-def _kept(df: DataFrame, kind: str) -> DataFrame:
-    """``df`` written to the shared folder, as columns, and read again."""
-    spark = df.sparkSession
-    folder = new_folder(spark, kind)
-    df.write.parquet(folder)
-    # what the rounds shuffled is no longer needed: let Spark drop those files now
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(folder)
-
-
 def with_order(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc, doc_id, bytes): ``doc`` is unique and in the order of the ids, null last.
 
@@ -277,13 +305,24 @@ def with_order(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return cut(rows.repartitionByRange(order, F.xxhash64("bytes")).sortWithinPartitions(order).select(F.monotonically_increasing_id().alias("doc"), "doc_id", "bytes"))
 
 
-def covered_windows(texts: DataFrame, length: int = LENGTH) -> DataFrame:
+def hot_ranks(texts: DataFrame, length: int, seed: int) -> np.ndarray:
+    """Sorted ranks that stand for ``HOT`` or more different stretches in a sample of about ``SAMPLE`` texts."""
+    rows = texts.count()
+    sample = texts.select("doc", "bytes").sample(min(1.0, SAMPLE / max(rows, 1)), seed=seed & 0x7FFFFFFF)
+    sent = sample.mapInArrow(send_stretches(length, seed), _ROWS).where(F.col("f") != int(_THROUGH))
+    found = sent.groupBy("k").agg(F.count_distinct("f").alias("n")).where(F.col("n") >= HOT).select("k")
+    return np.sort(np.array([r.k for r in found.collect()], np.int64).view(np.uint64))
+
+
+def covered_windows(texts: DataFrame, length: int = LENGTH, seed: int | None = None) -> DataFrame:
     """(doc, spans array<struct<pos, n>>) of the windows of ``texts`` (doc, bytes) that start earlier too."""
+    seed = secrets.randbits(63) if seed is None else seed
     table = "doc bigint, pos bigint, n bigint, kind int"
-    first = _kept(_sorted(texts.select("doc", "bytes").mapInArrow(send_stretches(length), _ROWS)).mapInArrow(settle(True), table), "stretches")
+    hot = hot_ranks(texts, length, seed)
+    first = kept(_sorted(texts.select("doc", "bytes").mapInArrow(send_stretches(length, seed, hot), _ROWS)).mapInArrow(settle(True), table), "stretches")
     by_doc = lambda rows: rows.groupBy("doc").agg(F.collect_list(F.struct("pos", "n")).alias("spans"))
     open_ = texts.select("doc", "bytes").join(by_doc(first.where(F.col("kind") == OPEN)), "doc")
-    second = _kept(_sorted(open_.mapInArrow(send_windows(length), _ROWS)).mapInArrow(settle(False), table), "windows")
+    second = kept(_sorted(open_.mapInArrow(send_windows(length, seed), _ROWS)).mapInArrow(settle(False), table), "windows")
     return by_doc(first.where(F.col("kind") == COVERED).unionByName(second))
 
 
@@ -320,11 +359,11 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             for data, own in zip(batch["bytes"].to_pylist(), batch["spans"].to_pylist()):
                 cuts = removed_spans(own, length)
                 edges = [0, *(x for c in cuts for x in c), len(data)]
-                kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2])) if cuts else data
-                rows.append((len(data), len(data) - len(kept), len(cuts), hashlib.sha256(kept).hexdigest(), kept))
-            n, gone, runs, digest, kept = zip(*rows) if rows else ((),) * 5
+                left = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2])) if cuts else data
+                rows.append((len(data), len(data) - len(left), len(cuts), hashlib.sha256(left).hexdigest(), left))
+            n, gone, runs, digest, left = zip(*rows) if rows else ((),) * 5
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(digest, pa.string()), pa.array(kept, pa.binary())],
+                [batch["doc_id"], pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(digest, pa.string()), pa.array(left, pa.binary())],
                 names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
             )
 

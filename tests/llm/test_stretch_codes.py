@@ -12,7 +12,7 @@ def test_different_stretches_have_different_codes():
     n = 250_000
     texts = [head + b"%08d" % k for k in range(n)]
     seen = set()
-    for batch in send_stretches(100)(iter([pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array(texts)], names=["doc", "bytes"])])):
+    for batch in send_stretches(100, 20240229)(iter([pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array(texts)], names=["doc", "bytes"])])):
         seen.update(zip(batch["k"].to_pylist(), batch["f"].to_pylist()))
     assert len({k for k, _ in seen}) < n // 2
     assert len(seen) == n
