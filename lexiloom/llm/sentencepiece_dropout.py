@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 SPACE = "▁"
-DROPOUT, SEED, VARIANTS = 0.1, 17, 4
+DROPOUT, SEED = 0.1, 17
 #: Segmentations that a worker remembers, and characters from which on a heap is worth it.
 REMEMBERED, LONGEST = 1_000_000, 64
 _MASK, _NONE = (1 << 64) - 1, float("-inf")
@@ -85,9 +85,8 @@ class Pieces:
 
 
 class Encoder:
-    def __init__(self, pieces: Pieces, dropout: float = DROPOUT, seed: int = SEED, variants: int | None = VARIANTS) -> None:
-        """With ``variants`` a word has so many segmentations, taken in turn; with None each occurrence has its own."""
-        self.pieces, self.seed, self.variants = pieces, seed, variants
+    def __init__(self, pieces: Pieces, dropout: float = DROPOUT, seed: int = SEED) -> None:
+        self.pieces, self.seed = pieces, seed
         self.share = int(dropout * (1 << 64))
         #: rising; the skip comes after as many pairs as there are numbers above the drawn one
         self.levels = np.array([min(_MASK, int((1 - dropout) ** k * (1 << 64))) for k in range(FAR, 0, -1)], np.uint64)
@@ -99,7 +98,7 @@ class Encoder:
         self.roots: dict[str, int] = {"": 0}
         self.children: dict[int, int] = {}
         #: of each node where it comes from, its ids, and how many pairs come up
-        self.origin, self.known = [-1], [np.array(self._spelt(SPACE), np.int32).tobytes()]
+        self.origin, self.known = np.full(1 << 16, -1, np.int64), [np.array(self._spelt(SPACE), np.int32).tobytes()]
         self.limit = np.zeros(1 << 16, np.int64)
 
     def gaps(self, keys: np.ndarray, turn: int) -> np.ndarray:
@@ -197,33 +196,35 @@ class Encoder:
             self.table = self.pieces.pairs()
         return self.table
 
-    def together(self, words: list[str], drops: list[list[int]]) -> tuple[list[bytes], np.ndarray]:
-        """Ids of words of one length whose skips are known, and how many pairs come up in each.
+    def together(self, words: list[str], dropped: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+        """Ids of words of one length, and how many pairs come up in each; ``dropped`` tells which of these are skipped.
 
-        Each step takes the best pair of every word at once; it gives what ``word`` gives.
+        Each step takes the best pair of every word at once; it gives what ``word`` gives. A
+        merged part stays at its first character and knows its neighbours.
         """
         points, keys, made, places, ids = self._table()
         size, none = len(words[0]), np.int32((1 << 31) - 1)
-        sym = points[np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)].reshape(-1, size)
-        dropped = np.zeros((len(words), FAR), bool)
-        dropped[np.repeat(np.arange(len(words)), list(map(len, drops))), np.array([p for d in drops for p in d], np.int64)] = True
+        # behind the last character stands a part without pairs
+        sym = np.full((len(words), size + 1), -1, np.int32)
+        sym[:, :size] = points[np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)].reshape(-1, size)
+        after = np.tile(np.arange(1, size + 2, dtype=np.int8), (len(words), 1))
+        before = np.tile(np.arange(-1, size, dtype=np.int8), (len(words), 1))
+        alive = np.ones((len(words), size), bool)
         turn = np.zeros(len(words), np.int64)
-        start = np.tile(np.arange(size + 1, dtype=np.int8), (len(words), 1))
-        column = np.arange(size + 1)
+        agenda = np.full((len(words), size), none)
 
-        def look(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            want = a.astype(np.int64) << 32 | b
+        def propose(rows: np.ndarray, left: np.ndarray, right: np.ndarray) -> None:
+            want = sym[rows, left].astype(np.int64) << 32 | sym[rows, right]
             k = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
-            return k, keys[k] == want
+            agenda[rows, left] = np.where(keys[k] == want, places[k], none)
 
-        agenda = np.full((len(words), size), none)
-        k, hit = look(sym[:, :-1], sym[:, 1:])
-        agenda[:, :-1][hit] = places[k[hit]]
-        count = np.full(len(words), size)
-        rows = np.arange(len(words))
+        every = np.arange(len(words))
+        propose(np.repeat(every, size), np.tile(np.arange(size), len(words)), np.tile(np.arange(1, size + 1), len(words)))
+        rows = every
         while len(rows):
-            k = agenda[rows].argmin(1)
-            go = agenda[rows, k] != none
+            now = agenda if len(rows) == len(words) else agenda[rows]
+            k = now.argmin(1)
+            go = now[np.arange(len(rows)), k] != none
             rows, k = rows[go], k[go]
             skip = dropped[rows, turn[rows]]
             turn[rows] += 1
@@ -231,67 +232,60 @@ class Encoder:
             r, k = rows[~skip], k[~skip]
             if not len(r):
                 continue
-            sym[r, k] = made[look(sym[r, k], sym[r, k + 1])[0]]
-            # what stands behind the merged pair moves up by one
-            after = column[None, :] > k[:, None]
-            for x, fill in ((sym, -1), (agenda, none), (start, 0)):
-                now = x[r]
-                behind = after[:, : x.shape[1]]
-                moved = np.full_like(now, fill)
-                moved[:, :-1] = now[:, 1:]
-                x[r] = np.where(behind, moved, now)
-            count[r] -= 1
-            for a in (k - 1, k):
-                ok = (a >= 0) & (a + 1 < count[r])
-                q, c = r[ok], a[ok]
-                found, hit = look(sym[q, c], sym[q, c + 1])
-                agenda[q, c] = np.where(hit, places[found], none)
-            last = count[r] - 1
-            agenda[r, last] = none
-        out = ids[np.maximum(sym, 0)]
-        spelt = ((out < 0) & (column[:-1] < count[:, None])).any(1).tolist()
-        found = []
-        for row, (n, odd) in enumerate(zip(count.tolist(), spelt)):
-            if odd:
-                edges = start[row].tolist()
-                found.append(self._ids([words[row][a:b] for a, b in zip(edges[:n], edges[1 : n + 1])]))
-            else:
-                found.append(out[row, :n].tobytes())
+            gone = after[r, k]
+            want = sym[r, k].astype(np.int64) << 32 | sym[r, gone]
+            sym[r, k] = made[np.searchsorted(keys, want)]
+            alive[r, gone] = False
+            agenda[r, gone] = none
+            behind = after[r, gone]
+            after[r, k] = behind
+            before[r, behind] = k
+            propose(r, k, behind)
+            ahead = before[r, k]
+            ok = ahead >= 0
+            propose(r[ok], ahead[ok], k[ok])
+        out = ids[np.maximum(sym[:, :size], 0)]
+        odd = ((out < 0) & alive).any(1)
+        stops = np.cumsum(4 * alive.sum(1)).tolist()
+        flat = out[alive].tobytes()
+        found = [flat[a:b] for a, b in zip([0, *stops], stops)]
+        for row in np.flatnonzero(odd).tolist():
+            edges = [*np.flatnonzero(alive[row]).tolist(), size]
+            found[row] = self._ids([words[row][a:b] for a, b in zip(edges, edges[1:])])
         return found, turn
 
-    def _learn(self, asked: dict[str, str] | dict[int, str]) -> None:
+    def _learn(self, asked: list[str] | list[int], words: list[str]) -> None:
         """New nodes: of words (their root), or of (node, skip) codes, each with its word."""
-        sizes: dict[int, list] = {}
-        for code, word in asked.items():
-            sizes.setdefault(len(word), []).append((code, word))
-        for group in sizes.values():
-            for a in range(0, len(group), TOGETHER):
-                part = group[a : a + TOGETHER]
-                drops = []
-                for code, _ in part:
-                    drops.append([])
-                    while not isinstance(code, str) and code >= 0:
-                        drops[-1].append(code & FAR - 1)
-                        code = self.origin[code >> FAR_BITS]
-                ids, limit = self.together([w for _, w in part], drops)
+        root = isinstance(asked[0], str)
+        codes = np.full(len(asked), -1, np.int64) if root else np.array(asked, np.int64)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(sizes, kind="stable")
+        for part in np.split(order, np.flatnonzero(np.diff(sizes[order])) + 1):
+            for a in range(0, len(part), TOGETHER):
+                at = part[a : a + TOGETHER]
+                dropped = np.zeros((len(at), FAR), bool)
+                rows, code = np.arange(len(at)), codes[at]
+                while len(rows := rows[code >= 0]):
+                    code = code[code >= 0]
+                    dropped[rows, code & FAR - 1] = True
+                    code = self.origin[code >> FAR_BITS]
+                ids, limit = self.together([words[k] for k in at.tolist()], dropped)
                 first = len(self.known)
-                if first + len(part) > len(self.limit):
-                    self.limit = np.concatenate([self.limit, np.zeros(max(len(part), len(self.limit)), np.int64)])
-                self.limit[first : first + len(part)] = limit
+                if first + len(at) > len(self.limit):
+                    more = max(len(at), len(self.limit))
+                    self.limit = np.concatenate([self.limit, np.zeros(more, np.int64)])
+                    self.origin = np.concatenate([self.origin, np.full(more, -1, np.int64)])
+                self.limit[first : first + len(at)] = limit
+                self.origin[first : first + len(at)] = codes[at]
                 self.known += ids
-                for k, (code, _) in enumerate(part, first):
-                    if isinstance(code, str):
-                        self.roots[code] = k
-                        self.origin.append(-1)
-                    else:
-                        self.children[code] = k
-                        self.origin.append(code)
+                (self.roots if root else self.children).update(zip([asked[k] for k in at.tolist()], range(first, first + len(at))))
 
     def _find(self, where: dict, asked: list, words: list[str]) -> np.ndarray:
         """Nodes of what is asked for, learnt where they are not known."""
         node = np.fromiter(map(where.get, asked, repeat(-1)), np.int64, len(asked))
         if len(new := np.flatnonzero(node < 0)):
-            self._learn({asked[k]: words[k] for k in new.tolist()})
+            once = {asked[k]: words[k] for k in new.tolist()}
+            self._learn(list(once), list(once.values()))
             node[new] = [where[asked[k]] for k in new.tolist()]
         return node
 
@@ -333,10 +327,7 @@ class Encoder:
         for n, part in enumerate((" " + text).split(SPACE)) if text else ():
             words = _WORD.findall(part.replace(" ", SPACE))
             own = xxhash.xxh64_intdigest(b"%d:%d" % (key, n), self.seed)
-            if self.variants is None:
-                keys = np.uint64(own) ^ np.arange(1, len(words) + 1, dtype=np.uint64) * np.uint64(_PRIMES[3])
-            else:
-                keys = np.array([xxhash.xxh64_intdigest(w.encode(), self.seed + ((own + k) % self.variants << 32)) for k, w in enumerate(words)], np.uint64)
+            keys = np.uint64(own) ^ np.arange(1, len(words) + 1, dtype=np.uint64) * np.uint64(_PRIMES[3])
             # a literal U+2581 must not come back as a space
             yield ([""] + words, np.append(np.uint64(0), keys)) if n else (words, keys)
 
@@ -345,7 +336,7 @@ class Encoder:
         return self.encode_many([(text, key)])[0]
 
 
-def encode_texts(docs: DataFrame, pieces: Pieces, dropout: float = DROPOUT, seed: int = SEED, variants: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_texts(docs: DataFrame, pieces: Pieces, dropout: float = DROPOUT, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: doc_id, ids (array of int), lossless (the ids decode to the text).
 
     Defined cases: null text is empty and has no ids; null ids are a key like any other, and
@@ -355,7 +346,7 @@ def encode_texts(docs: DataFrame, pieces: Pieces, dropout: float = DROPOUT, seed
     shared = docs.sparkSession.sparkContext.broadcast(pieces)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value, dropout, seed, variants)
+        encoder = Encoder(shared.value, dropout, seed)
         for batch in batches:
             for a in range(0, batch.num_rows, 1000):
                 part = batch.slice(a, 1000)

@@ -300,7 +300,7 @@ def test_sentencepiece(spark, odd, none, pieces):
         w = "▁" + "".join(rnd.choice("theinrsaogt") for _ in range(rnd.randint(1, 40)))
         assert varied._short(w, 5) == varied._long(w, 5)
     several = {tuple(varied.encode("segmentations", k)) for k in range(40)}
-    assert 1 < len(several) <= sentencepiece_dropout.VARIANTS
+    assert len(several) > 8
     assert (sentencepiece_dropout.Encoder(pieces, 0.4).encode("varied segmentations", 1) == varied.encode("varied segmentations", 1)).all()
     encoded = sentencepiece_dropout.encode_texts(odd, pieces)
     got = encoded.collect()
