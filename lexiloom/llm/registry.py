@@ -138,19 +138,21 @@ with d as (
   select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') as w from documents
 ), b as (
   select item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') as w from benchmark
+), m as (
+  select distinct least(len(w), 5) as m from b where len(w) > 0
 ), ds as (
-  select distinct doc_id, array_to_string(w[i + 1:i + 5], ' ') as s
-  from (select doc_id, w, unnest(range(greatest(len(w) - 4, 1))) as i from d where len(w) > 0)
+  select distinct doc_id, array_to_string(w[i + 1:i + m], ' ') as s
+  from (select doc_id, w, m, unnest(range(len(w) - m + 1)) as i from d, m where len(w) >= m)
 ), bs as (
   select distinct item_id, array_to_string(w[i + 1:i + 5], ' ') as s
   from (select item_id, w, unnest(range(greatest(len(w) - 4, 1))) as i from b where len(w) > 0)
 ), n as (
   select item_id, count(*) as n_item from bs group by 1
-), m as (
+), met as (
   select doc_id, item_id, count(*) as n_shared from ds join bs using (s) group by 1, 2
 )
 select doc_id, item_id, n_shared, n_item, n_shared / n_item as containment
-from m join n using (item_id) where n_shared >= 0.8 * n_item
+from met join n using (item_id) where n_shared >= 0.8 * n_item
 """
 
 
