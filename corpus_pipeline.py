@@ -10,11 +10,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiloom.llm import near_copies, toxicity
-from lexiloom.llm.common import new_folder, table
+from lexiloom.llm import simhash_similar, toxicity
+from lexiloom.llm.common import new_folder, remove_folder, table
 from lexiloom.llm.decontaminate import drop_contaminated
 from lexiloom.llm.exact_dedup import drop_exact_duplicates
-from lexiloom.llm.sentencepiece_dropout import Pieces, digest, encode_texts
+from lexiloom.llm.sentencepiece_dropout import Pieces, encode_texts
 from lexiloom.llm.vocabulary import vocabulary_path
 
 
@@ -30,7 +30,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of texts that share 0.8 of their five-word shingles."""
-    return near_copies.drop_near_copies(docs)
+    return simhash_similar.drop_similar(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,8 +39,8 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, told by their number and digest."""
-    return digest(encode_texts(docs, Pieces(vocabulary_path("piece_bpe_32k.model"))))
+    """doc_id, ids (the token ids of the text), lossless (they decode to it): what training reads."""
+    return encode_texts(docs, Pieces(vocabulary_path("piece_bpe_32k.model")))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -56,10 +56,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared folder before the next."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``, each written to the shared folder before the next.
+
+    A stage's folder goes when the next one is written. Rows with null or repeated ids pass as
+    rows of their own, and further columns pass through to the last stage; an empty table
+    gives no rows.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         folder = new_folder(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(folder)
         docs = spark.read.parquet(folder)
+        if before:
+            remove_folder(spark, before)
+        before = folder
     return docs

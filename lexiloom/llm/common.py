@@ -15,13 +15,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session has none (a local test) a temporary folder takes its place.
+    Only where a local session has none (a test) a temporary folder takes its place; on a
+    cluster that would be a folder of one machine, so there its absence is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if not folder:
         folder = context.getCheckpointDir()
     if not folder:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="lexiloom-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
@@ -33,6 +36,12 @@ def new_folder(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder that ``new_folder`` named, through its own file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared folder, so that a lost executor loses nothing."""
     shared_dir(df.sparkSession)
@@ -56,6 +65,29 @@ def kept(df: DataFrame, kind: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores put before them until no column of ``df`` has one."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows whose id and text (its xxhash64) are in ``gone`` (doc_id, t).
+
+    Rows are decided one by one: another row with the same id and another text stays. Rows
+    with a null id stay. Columns keep their names, whatever they are.
+    """
+    a, b = free_names(docs, "gone_id", "gone_text")
+    marked = docs.withColumns({a: F.col(f"`{id_col}`").cast("long"), b: F.xxhash64(f"`{text_col}`")})
+    return marked.join(gone.distinct().toDF(a, b), [a, b], "left_anti").drop(a, b)
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of ``edges`` (a, b: long) as (node, component), component the smallest node.
 

@@ -178,10 +178,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ids = label.groupBy("component").agg(F.min("least").alias("component_id"))
     known = label.join(ids, "component").select("fp", "component_id")
     return of.join(known, "fp").select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
-
-
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The document with the smallest id of each group stays; rows with a null id stay."""
-    found = near_duplicates(docs)
-    gone = found.where(F.col("doc_id") > F.col("component_id")).select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs.doc_id == F.col("__gone"), "left_anti")

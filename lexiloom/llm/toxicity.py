@@ -39,6 +39,7 @@ def features(word: str) -> list[int]:
 
 
 def held_out(doc_id: int | None) -> bool:
+    """Whether a row is outside what labels are learnt from; a null id counts as the word None."""
     return zlib.crc32(str(doc_id).encode()) % 4 == HELD_OUT
 
 

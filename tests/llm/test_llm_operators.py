@@ -314,34 +314,35 @@ def test_sentencepiece(spark, odd, none, pieces):
 
 
 def brute_leaks(docs, items, level=0.8):
-    def shingles(text):
-        w = re.findall(r"[^\W_]+", (text or "").lower())
-        return {" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
-
+    words = lambda text: re.findall(r"[^\W_]+", (text or "").lower())
+    shingles = lambda w, n: {" ".join(w[k : k + n]) for k in range(len(w) - n + 1)}
+    docs = [(d, w, shingles(w, 5)) for d, w in ((d, words(t)) for d, t in docs) if d is not None]
     out = set()
     for i, t in items:
-        own = shingles(t)
-        for d, text in docs:
-            if own and d is not None and i is not None and len(own & shingles(text)) >= level * len(own):
-                out.add((d, i, len(own & shingles(text)), len(own)))
+        n = min(5, len(words(t)))
+        own = shingles(words(t), n) if n and i is not None else set()
+        for d, w, five in docs:
+            shared = len(own & (five if n == 5 else shingles(w, n)))
+            if own and shared >= level * len(own):
+                out.add((d, i, shared, len(own)))
     return out
 
 
-@pytest.mark.parametrize("rows", [100_000, 0])
-def test_decontamination_matches_brute_force(spark, rows):
+@pytest.mark.parametrize("rows,hashes", [(100_000, 0), (0, 100_000), (0, 0)])
+def test_decontamination_matches_brute_force(spark, rows, hashes):
     rnd = random.Random(4)
     words = [f"w{k}" for k in range(300)]
-    items = [(k, " ".join(rnd.choice(words) for _ in range(rnd.randint(1, 60)))) for k in range(30)] + [(30, None), (31, "..."), (None, "w1 w2"), (32, "Short One")]
+    items = [(k, " ".join(rnd.choice(words) for _ in range(rnd.randint(1, 60)))) for k in range(30)] + [(30, None), (31, "..."), (None, "w1 w2"), (32, "Short One"), (33, "what is gravity"), (34, "w5"), (35, "w7 w8")]
     docs = [(k, " ".join(rnd.choice(words) for _ in range(rnd.randint(0, 900)))) for k in range(40)]
     for k in range(0, 40, 2):
         part = (items[rnd.randrange(30)][1]).split()
         if k % 4 == 0:
             part[-rnd.randint(1, min(6, len(part))) :] = ["gone"]
         docs[k] = (k, docs[k][1] + ". " + ", ".join(part).upper() + " " + docs[k][1])
-    docs += [(None, items[0][1]), (50, None), (51, ""), (52, "short, one!")]
-    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string").withColumn("h", F.lit(1)), spark.createDataFrame(items, "item_id long, text string"), broadcast_rows=rows)
+    docs += [(None, items[0][1]), (50, None), (51, ""), (52, "short, one!"), (53, "intro words here, what is Gravity exactly"), (54, "short one " * 9)]
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string").withColumn("h", F.lit(1)), spark.createDataFrame(items, "item_id long, text string"), broadcast_rows=rows, filter_rows=hashes)
     want = brute_leaks(docs, items)
-    assert {(r.doc_id, r.item_id, r.n_shared, r.n_item) for r in got.collect()} == want and len(want) > 10
+    assert {(r.doc_id, r.item_id, r.n_shared, r.n_item) for r in got.collect()} == want and len(want) > 10 and {(53, 33, 1, 1), (54, 32, 1, 1)} < want
 
 
 def test_decontamination_empty(spark, odd, none):
@@ -350,7 +351,7 @@ def test_decontamination_empty(spark, odd, none):
     assert decontaminate.contaminated(none, items).count() == 0
     assert decontaminate.contaminated(odd, items.limit(0)).count() == 0
     left = decontaminate.drop_contaminated(odd, items)
-    assert left.columns == odd.columns and sorted(str(r.doc_id) for r in left.collect()) == ["1", "2", "8", "None"]
+    assert left.columns == odd.columns and sorted(str(r.doc_id) for r in left.collect()) == ["1", "2", "8"]
 
 
 # toxicity

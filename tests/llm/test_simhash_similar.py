@@ -5,7 +5,8 @@ import random
 import re
 
 import corpus_pipeline
-from lexiloom.llm import near_copies
+from pyspark.sql import functions as F
+from lexiloom.llm import simhash_similar
 
 from tests.llm.test_llm_operators import closure
 
@@ -41,18 +42,18 @@ def test_stage_drops_what_is_alike(spark):
 
 def test_second_round_joins_what_the_first_of_a_band_does_not(spark, monkeypatch):
     """One band for all: its first text is far from most, which are near one another."""
-    monkeypatch.setattr(near_copies, "bands", lambda h: [1])
+    monkeypatch.setattr(simhash_similar, "band_keys", lambda hi, lo, bits, bands: F.array(F.lit(1).cast("long")))
     rnd = random.Random(8)
     bases = [[f"{k}x{i}" for i in range(rnd.randint(80, 120))] for k in range(4)]
     texts = [" ".join(w if rnd.random() > 0.02 else "edit" for w in rnd.choice(bases)) for _ in range(60)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    rows = near_copies.near_copies(docs).collect()
+    rows = simhash_similar.similar_groups(docs).collect()
     assert {r.doc_id: r.component_id for r in rows} == dict(enumerate(brute_groups(texts)))
 
 
 def test_rows_that_share_an_id(spark):
     long = " ".join(f"w{k}" for k in range(100))
     rows = [(3, long), (5, long + " more"), (5, "something else"), (None, long + " again"), (3, long)]
-    got = near_copies.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = simhash_similar.drop_similar(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(map(str, got.collect())) == sorted(str(r) for r in spark.createDataFrame([rows[0], rows[2], rows[3], rows[4]], "doc_id long, text string").collect())
-    assert near_copies.drop_near_copies(got.limit(0)).count() == 0
+    assert simhash_similar.drop_similar(got.limit(0)).count() == 0
