@@ -1,8 +1,8 @@
 """SimHash near-dedup at a Jaccard similarity: texts that share 0.8 of their five-word shingles.
 
-The fingerprint is wider than the contract's of ``simhash``: 128 bits over the set of
+The fingerprint is wider than the contract's of ``simhash``: 256 bits over the set of
 shingles. Two sets of Jaccard similarity s have vectors with cosine 2 s / (1 + s), so each
-bit differs with the chance angle / pi, 0.15 at 0.8: about 19 of 128 bits. No choice of equal
+bit differs with the chance angle / pi, 0.15 at 0.8: 39 of 256 bits, give or take 6. No choice of equal
 blocks holds for every pair within so wide a radius, so candidates share all bits of one of
 many random bit samples ("bands"), as many as leave at most ``MISS`` of the pairs at the level
 itself unfound (fewer above it). A band samples about as many bits as the number of texts has,
@@ -12,8 +12,10 @@ Inside a band the ring filter prunes: over the ring of segments some chain of co
 must keep its cumulative difference within its share of the radius at every length. Then
 comes the full count, and at last the shingles themselves decide on each link.
 
-In each band every set is first checked against one of it. What that joins needs no further
-check: the second round compares all pairs of a band that are not joined yet.
+In each band every set is first compared with one of it, and of the many that a set meets so
+in its bands it is checked against the ``NEAREST`` closest ones: a set of a large group of copies
+is checked a few times, not once a band. What that joins needs no further check: the last
+round compares all pairs of a band that are not joined yet.
 """
 
 from __future__ import annotations
@@ -26,17 +28,25 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.window import Window
 
 from lexiloom.llm.common import components, kept, without
 
 WORDS, LEVEL, SEED = 5, 0.8, 42
-BITS, RADIUS, SEGMENTS = 128, 31, 8
+BITS, RADIUS, SEGMENTS = 256, 44, 16
 #: Share of the pairs at the level itself that no band may find; fewest bits of a band, and
 #: bits fewer than the number of texts has (64 unrelated texts a band).
 MISS, LEAST_BITS, FEWER = 0.005, 16, 6
+#: Sets that each set is checked against in a round before the last, and such rounds.
+NEAREST, ROUNDS = 4, 1
 #: Shingles counted at a time, and pairs compared and sent at a time.
 BATCH, PAIRS = 1 << 13, 1 << 18
+#: Hashes that a task which checks links remembers.
+REMEMBERED = 1 << 22
 _MASK = (1 << 64) - 1
+#: The fingerprint's words.
+_FP = [f"w{k}" for k in range(BITS // 64)]
+_TWINS = [(2 * k + 1) * 0x9E3779B97F4A7C15 & _MASK for k in range(1, len(_FP))]
 
 
 def shingle_hashes(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -54,17 +64,18 @@ def shingle_hashes(text: str | None, words: int = WORDS) -> np.ndarray:
     return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64, n))
 
 
-def wide_fingerprint(hashes: np.ndarray) -> tuple[int, int]:
-    """128 bits as two signed numbers: each bit set in more than half of the hashes and of their scrambled twins."""
+def wide_fingerprint(hashes: np.ndarray) -> list[int]:
+    """The bits as signed 64-bit numbers: each set in more than half of the hashes and of their scrambled twins."""
     ones = np.zeros(BITS, np.int64)
     for a in range(0, len(hashes), BATCH):
         h = hashes[a : a + BATCH]
-        twin = h * np.uint64(0x9E3779B97F4A7C15)
-        twin = (twin ^ twin >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
-        both = np.stack([h, twin ^ twin >> np.uint64(32)], 1)
-        ones += np.unpackbits(both.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    hi, lo = np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64).tolist()
-    return hi, lo
+        every = [h]
+        for factor in _TWINS:
+            twin = h * np.uint64(factor)
+            twin = (twin ^ twin >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+            every.append(twin ^ twin >> np.uint64(32))
+        ones += np.unpackbits(np.stack(every, 1).view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64).tolist()
 
 
 def band_plan(rows: int, level: float = LEVEL) -> tuple[int, int]:
@@ -74,22 +85,23 @@ def band_plan(rows: int, level: float = LEVEL) -> tuple[int, int]:
     return bits, math.ceil(math.log(MISS) / math.log1p(-(same**bits)))
 
 
-def band_keys(hi: Column, lo: Column, bits: int, bands: int) -> Column:
+def band_keys(words: list[Column], bits: int, bands: int) -> Column:
     """The keys of a fingerprint: for each band a hash of its sampled bits."""
     rng = np.random.default_rng(SEED)
     keys = []
     for k in range(bands):
         mask = sum(1 << int(b) for b in rng.choice(BITS, bits, replace=False))
-        part = [m - (1 << 64) if m >> 63 else m for m in (mask & _MASK, mask >> 64)]
-        keys.append(F.xxhash64(F.lit(k), hi.bitwiseAND(F.lit(part[0])), lo.bitwiseAND(F.lit(part[1]))))
+        part = [mask >> 64 * i & _MASK for i in range(len(words))]
+        part = [m - (1 << 64) if m >> 63 else m for m in part]
+        keys.append(F.xxhash64(F.lit(k), *(w.bitwiseAND(F.lit(m)) for w, m in zip(words, part) if m)))
     return F.array(*keys)
 
 
-def ring_close(hi: np.ndarray, lo: np.ndarray, radius: int = RADIUS) -> np.ndarray:
-    """Of XORs of pairs, a mask of those within ``radius`` bits; the ring filter comes before the count."""
-    width = np.uint64(2 * 64 // SEGMENTS)
-    counts = [np.bitwise_count(x >> np.uint64(s) & np.uint64((1 << int(width)) - 1)).astype(np.int16) for x in (hi, lo) for s in range(0, 64, int(width))]
-    passed = np.zeros(len(hi), bool)
+def ring_close(x: list[np.ndarray], radius: int = RADIUS) -> np.ndarray:
+    """Of XORs of pairs (word by word), a mask of those within ``radius`` bits; the ring filter comes before the count."""
+    width = 64 * len(x) // SEGMENTS
+    counts = [np.bitwise_count(w >> np.uint64(s) & np.uint64((1 << width) - 1)).astype(np.int16) for w in x for s in range(0, 64, width)]
+    passed = np.zeros(len(x[0]), bool)
     for start in range(SEGMENTS):
         left = np.flatnonzero(~passed)
         total = np.zeros(len(left), np.int16)
@@ -99,7 +111,7 @@ def ring_close(hi: np.ndarray, lo: np.ndarray, radius: int = RADIUS) -> np.ndarr
             left, total = left[ok], total[ok]
         passed[left] = True
     at = np.flatnonzero(passed)
-    passed[at] = np.bitwise_count(hi[at]).astype(np.int16) + np.bitwise_count(lo[at]) <= radius
+    passed[at] = sum(np.bitwise_count(w[at]).astype(np.int16) for w in x) <= radius
     return passed
 
 
@@ -109,7 +121,7 @@ def alike(a: np.ndarray, b: np.ndarray, level: float = LEVEL) -> bool:
 
 
 def shingled(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, t, node, n, hi, lo) of each row: hash of the text, code and size of its set, its fingerprint."""
+    """(doc_id, t, node, n) of each row, hash of the text, code and size of its set, and the words of its fingerprint."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,28 +129,30 @@ def shingled(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             for text in batch["text"].to_pylist():
                 s = shingle_hashes(text)
                 rows.append((xxhash.xxh64_intdigest(s.tobytes(), SEED), len(s), *wide_fingerprint(s)))
-            node, n, hi, lo = zip(*rows) if rows else ((),) * 4
-            cols = [batch["doc_id"], batch["t"], pa.array(np.array(node, np.uint64).view(np.int64)), *(pa.array(c, pa.int64()) for c in (n, hi, lo))]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "t", "node", "n", "hi", "lo"])
+            node, *rest = zip(*rows) if rows else ((),) * (2 + len(_FP))
+            cols = [batch["doc_id"], batch["t"], pa.array(np.array(node, np.uint64).view(np.int64)), *(pa.array(c, pa.int64()) for c in rest)]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "t", "node", "n", *_FP])
 
     text = F.col(text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("t"), text.alias("text"))
-    return rows.mapInArrow(each, "doc_id bigint, t bigint, node bigint, n bigint, hi bigint, lo bigint")
+    return rows.mapInArrow(each, ", ".join(f"{c} bigint" for c in ("doc_id", "t", "node", "n", *_FP)))
 
 
-_COLUMNS = ["key", "node", "n", "hi", "lo", "part"]
+_COLUMNS = ["key", "node", "n", "part", *_FP]
 
 
 def near(a: list[np.ndarray], b: list[np.ndarray], level: float) -> Iterator[pa.RecordBatch]:
     """Candidate pairs of rows in ``_COLUMNS``: sizes that allow the level, different parts, fingerprints within the radius."""
-    _, node_a, n_a, hi_a, lo_a, part_a = a
-    _, node_b, n_b, hi_b, lo_b, part_b = b
+    _, node_a, n_a, part_a, *words_a = a
+    _, node_b, n_b, part_b, *words_b = b
     ok = (np.minimum(n_a, n_b) >= level * np.maximum(n_a, n_b)) & (part_a != part_b)
     at = np.flatnonzero(ok)
-    at = at[ring_close((hi_a[at] ^ hi_b[at]).view(np.uint64), (lo_a[at] ^ lo_b[at]).view(np.uint64))]
-    if len(at):
+    x = [(p[at] ^ q[at]).view(np.uint64) for p, q in zip(words_a, words_b)]
+    if (close := ring_close(x)).any():
+        at, x = at[close], [w[close] for w in x]
         ends = node_a[at], node_b[at]
-        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(*ends)), pa.array(np.minimum(*ends))], names=["a", "b"])
+        bits = sum(np.bitwise_count(w).astype(np.int32) for w in x)
+        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(*ends)), pa.array(np.minimum(*ends)), pa.array(bits)], names=["a", "b", "bits"])
 
 
 def star(level: float) -> Callable:
@@ -186,7 +200,7 @@ def crossing(level: float) -> Callable:
 
     def pairs(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         """Rows sorted by key; those of keys with one part are left out first."""
-        key, part = rows[0], rows[-1]
+        key, part = rows[0], rows[3]
         new = np.ones(len(key), bool)
         new[1:] = key[1:] != key[:-1]
         group = np.cumsum(new) - 1
@@ -210,9 +224,9 @@ def crossing(level: float) -> Callable:
 
 
 def candidates(sent: DataFrame, pairs_of: Callable) -> DataFrame:
-    """(a, b) that ``pairs_of`` makes of the sets of each band of ``sent``."""
+    """(a, b, bits) that ``pairs_of`` makes of the sets of each band of ``sent``; bits is how many differ."""
     rows = sent.repartition("key").sortWithinPartitions("key", "node").select(_COLUMNS)
-    return rows.mapInArrow(pairs_of, "a bigint, b bigint").distinct()
+    return rows.mapInArrow(pairs_of, "a bigint, b bigint, bits int").distinct()
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str, level: float) -> DataFrame:
@@ -223,14 +237,18 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str,
     texts = kept(texts.dropDuplicates(["node"]).select("node", "text"), "asked")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # a band's first text comes in many rows one after another
-        last = None, None
+        known: dict[int, np.ndarray] = {}
+        size = 0
         for batch in batches:
             good = []
-            for b, x, y in zip(batch["b"].to_pylist(), batch["x"].to_pylist(), batch["y"].to_pylist()):
-                if last[0] != b:
-                    last = b, shingle_hashes(y)
-                good.append(alike(shingle_hashes(x), last[1], level))
+            for a, b, x, y in zip(*(batch[c].to_pylist() for c in "abxy")):
+                for node, text in ((a, x), (b, y)):
+                    if node not in known:
+                        known[node] = shingle_hashes(text)
+                        size += len(known[node])
+                good.append(alike(known[a], known[b], level))
+                if size > REMEMBERED:
+                    known, size = {}, 0
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     rows = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
@@ -251,16 +269,23 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     of = kept(shingled(docs, id_col, text_col), "shingled")
     least = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "t"))).alias("least")
-    nodes = kept(of.groupBy("node").agg(least, F.min("t").alias("t"), *(F.first(c).alias(c) for c in ("n", "hi", "lo"))), "nodes")
-    keys = band_keys(F.col("hi"), F.col("lo"), *band_plan(nodes.count(), level))
-    sent = nodes.select(F.explode(keys).alias("key"), "node", "n", "hi", "lo")
-    edges = verified(candidates(sent.withColumn("part", F.col("node")), star(level)), nodes, docs, text_col, level)
-    parts = components(edges).withColumnRenamed("component", "part")
-    rest = nodes.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
-    rest = rest.select(F.explode(keys).alias("key"), "node", "n", "hi", "lo", "part")
-    more = verified(candidates(rest, crossing(level)), nodes, docs, text_col, level)
-    if not more.isEmpty():
-        parts = components(edges.union(more)).withColumnRenamed("component", "part")
+    nodes = kept(of.groupBy("node").agg(least, F.min("t").alias("t"), *(F.first(c).alias(c) for c in ("n", *_FP))), "nodes")
+    keys = band_keys([F.col(c) for c in _FP], *band_plan(nodes.count(), level))
+    edges, parts = None, None
+    for turn in range(ROUNDS + 1):
+        now = nodes.withColumn("part", F.col("node"))
+        if parts is not None:
+            now = nodes.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
+        sent = now.select(F.explode(keys).alias("key"), "node", "n", "part", *_FP)
+        if turn < ROUNDS:
+            place = F.row_number().over(Window.partitionBy("a").orderBy("bits", "b"))
+            pairs = candidates(sent, star(level)).withColumn("place", place).where(F.col("place") <= NEAREST)
+        else:
+            pairs = candidates(sent, crossing(level))
+        more = verified(pairs.select("a", "b"), nodes, docs, text_col, level)
+        edges = more if edges is None else edges.unionByName(more)
+        if parts is None or not more.isEmpty():
+            parts = components(edges).withColumnRenamed("component", "part")
     label = nodes.join(parts, "node", "left").select("node", "least", F.coalesce("part", "node").alias("part"))
     ids = label.groupBy("part").agg(F.min("least").alias("of"))
     known = label.join(ids, "part").select("node", "of")
