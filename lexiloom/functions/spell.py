@@ -91,14 +91,15 @@ _TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
 _BIG = [(10**12, "trillion"), (10**9, "billion"), (10**6, "million"), (1000, "thousand"), (100, "hundred")]
 
 
-def number_en(n: int) -> str:
+def number_en(n: int, link: str = " ") -> str:
+    """A whole number in words; ordinals and fractions have " and " as the ``link`` behind hundreds."""
     if n < 20:
         return _ONES[n]
     if n < 100:
         return _TENS[n // 10 - 2] + (f"-{_ONES[n % 10]}" if n % 10 else "")
     size, name = next(x for x in _BIG if n >= x[0])
     rest = n % size
-    return f"{number_en(n // size)} {name}" + ("" if not rest else f" and {number_en(rest)}" if size == 100 else f" {number_en(rest)}")
+    return f"{number_en(n // size, link)} {name}" + (f"{link if size == 100 else ' '}{number_en(rest, link)}" if rest else "")
 
 
 def year_en(n: int) -> str:
@@ -118,7 +119,7 @@ _IRREGULAR = {"one": "first", "two": "second", "three": "third", "five": "fifth"
 
 def ordinal_en(n: int) -> str:
     """The last word of the number in its ordinal form."""
-    head, sep, last = re.match(r"^(.*?)([ -]?)([a-z]+)$", number_en(n)).groups()
+    head, sep, last = re.match(r"^(.*?)([ -]?)([a-z]+)$", number_en(n, " and ")).groups()
     if last in _IRREGULAR:
         last = _IRREGULAR[last]
     else:
@@ -130,8 +131,8 @@ def fraction_en(above: int, below: int) -> str:
     """Halves and quarters by name, others by the ordinal of what stands below."""
     named = {2: ("half", "halves"), 4: ("quarter", "quarters")}
     if below in named:
-        return f"{number_en(above)} {named[below][above != 1]}"
-    return f"{number_en(above)} {ordinal_en(below)}"
+        return f"{number_en(above, " and ")} {named[below][above != 1]}"
+    return f"{number_en(above, " and ")} {ordinal_en(below)}"
 
 
 _ROMAN = {"I": 1, "V": 5, "X": 10}

@@ -110,8 +110,8 @@ def loose_dashes(text: Column) -> Column:
 
 
 def speakable(text: Column) -> Column:
-    """Only word characters, blanks and sentence signs."""
-    return sub(text, r"(?U)[^\w\s,.?!;-]", "")
+    """Only word characters, blanks and sentence signs; each other character becomes a blank."""
+    return sub(text, r"(?U)[^\w\s,.?!;-]", " ")
 
 
 def single_spaces(text: Column) -> Column:

@@ -111,11 +111,14 @@ def words(text: Column) -> Column:
 
 
 def chunk_pieces(text: Column, cap: int) -> Column:
-    """Pieces that a chunk is filled with: paragraphs, or their sentences, or those sentences' words, where longer than ``cap``."""
+    """Pieces that a chunk is filled with: paragraphs, or their sentences, or those sentences' words, where longer than ``cap``.
+
+    What lies between two of them (line ends, a mark with blanks, blanks) is a piece of its own.
+    """
     finer = lambda parts, cut: F.flatten(F.transform(parts, lambda p: F.when(F.char_length(p) <= cap, F.array(p)).otherwise(cut(p))))
-    paragraphs = F.regexp_extract_all(text, F.lit(r"(?s).+?(?:\n\n+|$)"), F.lit(0))
-    by_sentence = finer(paragraphs, lambda p: F.regexp_extract_all(p, F.lit(r"(?s).+?(?:[.!?]+\s+|$)"), F.lit(0)))
-    return finer(by_sentence, lambda p: F.regexp_extract_all(p, F.lit(r"(?s)\S*\s+|\S+"), F.lit(0)))
+    paragraphs = F.regexp_extract_all(text, F.lit(r"\n+|[^\n]+"), F.lit(0))
+    by_sentence = finer(paragraphs, lambda p: F.regexp_extract_all(p, F.lit(r"(?sU)[.?!;:]\s+|(?:(?![.?!;:]\s).)+"), F.lit(0)))
+    return finer(by_sentence, lambda p: F.regexp_extract_all(p, F.lit(r"(?U)\s+|\S+"), F.lit(0)))
 
 
 def buckets(x: Column, bounds: list[float]) -> Column:

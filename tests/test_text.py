@@ -77,7 +77,8 @@ def test_speakers(spark):
     )
     assert spell.dollars_en("5.5") == " 5 dollars, 5 cents " and spell.dollars_en("1") == " 1 dollar "
     assert [spell.year_en(n) for n in (2000, 2005, 1900, 1905, 1987)] == ["two thousand", "two thousand five", "nineteen hundred", "nineteen oh five", "nineteen eighty-seven"]
-    assert spell.number_en(1_002_115) == "one million two thousand one hundred and fifteen"
+    assert spell.ordinal_en(115) == "one hundred and fifteenth" and spell.fraction_en(115, 7) == "one hundred and fifteen seventh"
+    assert spell.number_en(1_002_115) == "one million two thousand one hundred fifteen"
     frame = spark.createDataFrame([("7",), (None,)], "text string")
     assert [r[0] for r in frame.select(spell.speak(F.col("text"), "vi")).collect()] == ["bảy", None]
     assert [r[0] for r in spark.createDataFrame([("New York is new.",)], "text string").select(spell.replace_words(F.col("text"), [("new", "mới"), ("new york", "NY")])).collect()] == ["NY is mới."]
