@@ -15,7 +15,8 @@ comes the full count, and at last the shingles themselves decide on each link.
 In each band every set is first compared with one of it, and of the many that a set meets so
 in its bands it is checked against the ``NEAREST`` closest ones: a set of a large group of copies
 is checked a few times, not once a band. What that joins needs no further check: the last
-round compares all pairs of a band that are not joined yet.
+round compares all pairs of a band that are not joined yet, and proposes a pair once only, in
+the first band that it shares.
 """
 
 from __future__ import annotations
@@ -85,16 +86,30 @@ def band_plan(rows: int, level: float = LEVEL) -> tuple[int, int]:
     return bits, math.ceil(math.log(MISS) / math.log1p(-(same**bits)))
 
 
-def band_keys(words: list[Column], bits: int, bands: int) -> Column:
-    """The keys of a fingerprint: for each band a hash of its sampled bits."""
+def band_masks(bits: int, bands: int) -> np.ndarray:
+    """A row for each band: its sampled bits, as a mask of each word of a fingerprint."""
     rng = np.random.default_rng(SEED)
-    keys = []
-    for k in range(bands):
-        mask = sum(1 << int(b) for b in rng.choice(BITS, bits, replace=False))
-        part = [mask >> 64 * i & _MASK for i in range(len(words))]
-        part = [m - (1 << 64) if m >> 63 else m for m in part]
-        keys.append(F.xxhash64(F.lit(k), *(w.bitwiseAND(F.lit(m)) for w, m in zip(words, part) if m)))
-    return F.array(*keys)
+    sampled = np.zeros((bands, BITS), np.uint8)
+    for row in sampled:
+        row[rng.choice(BITS, bits, replace=False)] = 1
+    return np.packbits(sampled, axis=1, bitorder="little").view("<u8")
+
+
+def band_keys(words: list[Column], masks: np.ndarray) -> Column:
+    """The keys of a fingerprint: for each band a hash of its sampled bits."""
+    parts = masks.view(np.int64).tolist()
+    return F.array(*(F.xxhash64(F.lit(k), *(w.bitwiseAND(F.lit(m)) for w, m in zip(words, part) if m)) for k, part in enumerate(parts)))
+
+
+def first_shared(x: list[np.ndarray], masks: np.ndarray) -> np.ndarray:
+    """Of XORs of pairs, the first band whose sampled bits all agree; the number of bands where there is none."""
+    found = []
+    for a in range(0, len(x[0]), BATCH):
+        differ = np.zeros((len(x[0][a : a + BATCH]), len(masks)), bool)
+        for w, m in zip(x, masks.T):
+            differ |= (w[a : a + BATCH, None] & m) != 0
+        found.append(np.where(differ.all(1), len(masks), differ.argmin(1)))
+    return np.concatenate(found) if found else np.empty(0, np.int64)
 
 
 def ring_close(x: list[np.ndarray], radius: int = RADIUS) -> np.ndarray:
@@ -138,17 +153,23 @@ def shingled(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.mapInArrow(each, ", ".join(f"{c} bigint" for c in ("doc_id", "t", "node", "n", *_FP)))
 
 
-_COLUMNS = ["key", "node", "n", "part", *_FP]
+_COLUMNS = ["key", "band", "node", "n", "part", *_FP]
 
 
-def near(a: list[np.ndarray], b: list[np.ndarray], level: float) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of rows in ``_COLUMNS``: sizes that allow the level, different parts, fingerprints within the radius."""
-    _, node_a, n_a, part_a, *words_a = a
-    _, node_b, n_b, part_b, *words_b = b
+def near(a: list[np.ndarray], b: list[np.ndarray], level: float, masks: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """Candidate pairs of rows in ``_COLUMNS``: sizes that allow the level, different parts, fingerprints within the radius.
+
+    With ``masks`` only those whose first shared band this is.
+    """
+    _, band, node_a, n_a, part_a, *words_a = a
+    _, _, node_b, n_b, part_b, *words_b = b
     ok = (np.minimum(n_a, n_b) >= level * np.maximum(n_a, n_b)) & (part_a != part_b)
     at = np.flatnonzero(ok)
     x = [(p[at] ^ q[at]).view(np.uint64) for p, q in zip(words_a, words_b)]
-    if (close := ring_close(x)).any():
+    close = np.flatnonzero(ring_close(x))
+    if masks is not None and len(close):
+        close = close[first_shared([w[close] for w in x], masks) == band[at[close]]]
+    if len(close):
         at, x = at[close], [w[close] for w in x]
         ends = node_a[at], node_b[at]
         bits = sum(np.bitwise_count(w).astype(np.int32) for w in x)
@@ -176,8 +197,8 @@ def star(level: float) -> Callable:
     return each
 
 
-def crossing(level: float) -> Callable:
-    """All pairs of a band that lie in different parts."""
+def crossing(level: float, masks: np.ndarray) -> Callable:
+    """All pairs of a band that lie in different parts, each in the first band that it shares."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[list[np.ndarray]] = []
@@ -200,7 +221,7 @@ def crossing(level: float) -> Callable:
 
     def pairs(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         """Rows sorted by key; those of keys with one part are left out first."""
-        key, part = rows[0], rows[3]
+        key, part = rows[0], rows[_COLUMNS.index("part")]
         new = np.ones(len(key), bool)
         new[1:] = key[1:] != key[:-1]
         group = np.cumsum(new) - 1
@@ -217,7 +238,7 @@ def crossing(level: float) -> Callable:
         for a in range(0, len(new), PAIRS):
             own, step = np.arange(a, min(a + PAIRS, len(new))), 1
             while len(own := own[left[own] >= step]):
-                yield from near([x[own] for x in rows], [x[own + step] for x in rows], level)
+                yield from near([x[own] for x in rows], [x[own + step] for x in rows], level, masks)
                 step += 1
 
     return each
@@ -226,7 +247,7 @@ def crossing(level: float) -> Callable:
 def candidates(sent: DataFrame, pairs_of: Callable) -> DataFrame:
     """(a, b, bits) that ``pairs_of`` makes of the sets of each band of ``sent``; bits is how many differ."""
     rows = sent.repartition("key").sortWithinPartitions("key", "node").select(_COLUMNS)
-    return rows.mapInArrow(pairs_of, "a bigint, b bigint, bits int").distinct()
+    return rows.mapInArrow(pairs_of, "a bigint, b bigint, bits int")
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str, level: float) -> DataFrame:
@@ -270,18 +291,19 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     of = kept(shingled(docs, id_col, text_col), "shingled")
     least = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "t"))).alias("least")
     nodes = kept(of.groupBy("node").agg(least, F.min("t").alias("t"), *(F.first(c).alias(c) for c in ("n", *_FP))), "nodes")
-    keys = band_keys([F.col(c) for c in _FP], *band_plan(nodes.count(), level))
+    masks = band_masks(*band_plan(nodes.count(), level))
+    keys = band_keys([F.col(c) for c in _FP], masks)
     edges, parts = None, None
     for turn in range(ROUNDS + 1):
         now = nodes.withColumn("part", F.col("node"))
         if parts is not None:
             now = nodes.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
-        sent = now.select(F.explode(keys).alias("key"), "node", "n", "part", *_FP)
+        sent = now.select(F.posexplode(keys).alias("band", "key"), "node", "n", "part", *_FP)
         if turn < ROUNDS:
             place = F.row_number().over(Window.partitionBy("a").orderBy("bits", "b"))
-            pairs = candidates(sent, star(level)).withColumn("place", place).where(F.col("place") <= NEAREST)
+            pairs = candidates(sent, star(level)).distinct().withColumn("place", place).where(F.col("place") <= NEAREST)
         else:
-            pairs = candidates(sent, crossing(level))
+            pairs = candidates(sent, crossing(level, masks))
         more = verified(pairs.select("a", "b"), nodes, docs, text_col, level)
         edges = more if edges is None else edges.unionByName(more)
         if parts is None or not more.isEmpty():

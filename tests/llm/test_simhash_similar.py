@@ -6,7 +6,6 @@ import re
 
 import corpus_pipeline
 import numpy as np
-from pyspark.sql import functions as F
 from lexiloom.llm import simhash_similar
 
 from tests.llm.test_llm_operators import closure
@@ -43,7 +42,7 @@ def test_stage_drops_what_is_alike(spark):
 
 def test_second_round_joins_what_the_first_of_a_band_does_not(spark, monkeypatch):
     """One band for all: its first text is far from most, which are near one another."""
-    monkeypatch.setattr(simhash_similar, "band_keys", lambda words, bits, bands: F.array(F.lit(1).cast("long")))
+    monkeypatch.setattr(simhash_similar, "band_masks", lambda bits, bands: np.zeros((1, 4), np.uint64))
     rnd = random.Random(8)
     bases = [[f"{k}x{i}" for i in range(rnd.randint(80, 120))] for k in range(4)]
     texts = [" ".join(w if rnd.random() > 0.006 else "edit" for w in rnd.choice(bases)) for _ in range(60)]
@@ -79,3 +78,14 @@ def test_recall_and_ring_filter():
         total += 1
         found += differ.bit_count() <= simhash_similar.RADIUS and any(not differ & m for m in masks)
     assert found > 0.95 * total
+
+
+def test_a_pair_belongs_to_its_first_shared_band():
+    rng = np.random.default_rng(10)
+    masks = simhash_similar.band_masks(12, 30)
+    x = [rng.integers(0, 1 << 63, 20_000, dtype=np.uint64) & rng.integers(0, 1 << 63, 20_000, dtype=np.uint64) for _ in range(4)]
+    whole = [sum(int(w[i]) << 64 * k for k, w in enumerate(x)) for i in range(len(x[0]))]
+    bands = [sum(int(w) << 64 * k for k, w in enumerate(row)) for row in masks]
+    assert {m.bit_count() for m in bands} == {12}
+    want = [next((k for k, m in enumerate(bands) if not differ & m), len(bands)) for differ in whole]
+    assert len(set(want)) == 31 and simhash_similar.first_shared(x, masks).tolist() == want
