@@ -26,6 +26,8 @@ LETTERS = {
     "N": "en", "O": "âu", "P": "pi", "Q": "kiu", "R": "ah", "S": "ét", "T": "ti", "U": "iu", "V": "vi", "W": "đắp liu", "X": "éch", "Y": "oai", "Z": "zi",
 }
 DIGITS = {"0": "không", "1": "một", "2": "hai", "3": "ba", "4": "bốn", "5": "năm", "6": "sáu", "7": "bảy", "8": "tám", "9": "chín"}
+# A marked word, what may part the marked words of a run, its marks, and the words of a text that a run takes in.
+MARKED, PARTING, PARTING_MARKS, TAKEN_IN = "【([a-zA-ZÀ-ỹ][^】]{0,49})】", "[\\s,.、，]*", "[,.、，]", 2
 # End of the fixed values.
 
 
@@ -245,3 +247,39 @@ def native_normalize(text: Column) -> Column:
     for step in NATIVE_STEPS:
         text = step(text)
     return text
+
+
+def marked_segments(text: Column) -> Column:
+    """Array of (text, is_bracket): runs of words marked 【so】, and the text around them.
+
+    Marked words that only blanks, commas and points part are one run: its words, joined by
+    blanks, with the last of those marks behind. Other brackets go; empty segments do too.
+    White space is ASCII's. Null gives an empty array.
+    """
+    run = f"{MARKED}(?:{PARTING}{MARKED})*"
+    text = F.coalesce(text, F.lit(""))
+    runs = F.regexp_extract_all(text, F.lit(run), F.lit(0))
+    strip = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    plain = F.transform(F.split(text, run), lambda t: F.struct(strip(F.regexp_replace(t, "[【】]", "")).alias("text"), F.lit(False).alias("is_bracket")))
+
+    def said(r: Column) -> Column:
+        partings = F.filter(F.split(r, MARKED), lambda p: p.rlike(PARTING_MARKS))
+        behind = F.regexp_extract(F.array_join(F.slice(partings, -1, 1), ""), PARTING_MARKS, 0)
+        return F.concat(F.array_join(F.regexp_extract_all(r, F.lit(MARKED), F.lit(1)), " "), behind)
+
+    marked = F.transform(runs, lambda r: F.struct(said(r).alias("text"), F.lit(True).alias("is_bracket")))
+    both = F.flatten(F.transform(F.arrays_zip(plain.alias("plain"), marked.alias("marked")), lambda z: F.array(z["plain"], z["marked"])))
+    return F.filter(both, lambda s: s["text"] != "")
+
+
+def merged_segments(segments: Column) -> Column:
+    """Segments with a text of at most two words between two runs taken in by them, and neighbouring texts made one."""
+    at = lambda k: F.get(segments, k)
+    is_run = lambda k: F.coalesce(at(k)["is_bracket"], F.lit(False))
+    short = lambda k: ~is_run(k) & (F.size(F.split(F.trim(at(k)["text"]), r"\s+")) <= TAKEN_IN) & is_run(k - 1) & is_run(k + 1)
+    texts = lambda k: (k > 0) & ~is_run(k) & ~is_run(k - 1)
+    every = F.transform(segments, lambda _, k: k)
+    begins = F.filter(every, lambda k: ~(short(k) | (is_run(k) & (k > 0) & short(k - 1)) | texts(k)))
+    stop = lambda i: F.coalesce(F.get(begins, i + 1), F.size(segments))
+    words = F.transform(segments, lambda s: s["text"])
+    return F.transform(begins, lambda b, i: F.struct(F.array_join(F.slice(words, b + 1, stop(i) - b), " ").alias("text"), is_run(b).alias("is_bracket")))

@@ -73,6 +73,31 @@ def word_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.select("conv_id", "turn", "e.*", "words", F.round((F.col("e.substitutions") + F.col("e.deletions") + F.col("e.insertions")) / F.col("words"), 6).alias("rate"))
 
 
+_DIALOGUES = f"{_TURNS}, d as (select conv_id, turn, len(list_filter(string_split(r || ' ' || h, ' '), lambda w: w in ('and', 'the'))) as errors, len(string_split(regexp_replace('[S1] ' || trim(h) || ' [S2] ' || trim(r), ' +', ' ', 'g'), ' ')) - 2 as words from t where turn % 2 = 0)"
+
+
+def _dialogues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two turns as a dialogue; its hypothesis lacks two words throughout, and every other one has the speakers swapped."""
+    turns = _turns(spark, sf_dir).where(F.col("turn") % 2 == 0)
+    less = lambda c: F.regexp_replace(c, r"\b(and|the)\b", "")
+    marked = lambda a, b: F.concat(F.lit("[S1] "), a, F.lit(" [S2] "), b)
+    said = F.when(F.col("conv_id") % 2 == 0, marked(less("r"), less("h"))).otherwise(marked(less("h"), less("r")))
+    return turns.select("conv_id", "turn", M.cp_word_errors(marked(F.col("r"), F.col("h")), said).alias("e"))
+
+
+@query(f"with {_DIALOGUES} select conv_id, turn, errors::bigint as errors, words::bigint as words, round(errors / words, 6) as rate from d")
+def cp_word_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The removed words are the errors under the right order of speakers, and no order has fewer."""
+    out = _dialogues(spark, sf_dir).select("conv_id", "turn", F.col("e.errors").cast("long").alias("errors"), F.col("e.words").cast("long").alias("words"))
+    return out.withColumn("rate", F.round(F.col("errors") / F.col("words"), 6))
+
+
+@query(f"with {_DIALOGUES} select round(sum(errors) / sum(words) * 100, 2) as rate, sum(errors)::bigint as errors, sum(words)::bigint as words from d")
+def cp_corpus_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    errors, words = F.sum("e.errors"), F.sum("e.words")
+    return _dialogues(spark, sf_dir).agg(F.round(errors / words * 100, 2).alias("rate"), errors.alias("errors"), words.alias("words"))
+
+
 @query(f"with {_VECS}, r as (select vec_id, x, sqrt(list_sum(list_transform(x, lambda v: v * v)) / 64) as l from v) select vec_id, round(l, 6) as level, round(sqrt(list_sum(list_transform(x, lambda v: pow(v * case when l < 0.125 then 0.125 / l else 1 end, 2))) / 64), 6) as raised, round(list_max(list_transform(x, lambda v: v * case when l < 0.125 then 0.125 / l else 1 end)), 6) as peak from r")
 def rms_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = _vecs(spark, sf_dir).select("vec_id", X.rms(F.col("x")).alias("level"), X.raise_level(F.col("x"), 0.125).alias("y"))

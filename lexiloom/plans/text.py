@@ -151,3 +151,38 @@ def sentence_case(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def double_punctuation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir, X.double_marks(F.col("text")))
+
+
+_RUN = f"{X.MARKED}(?:{X.PARTING}{X.MARKED})*"
+_SEGMENTS = (
+    "m as (select doc_id, regexp_replace(regexp_replace(text, ' ([a-z]{2,3})([ ,.])', ' 【\\1】\\2', 'g'), ' ([a-z]{2,3})([ ,.])', ' 【\\1】\\2', 'g') as t from documents), "
+    f"p as (select doc_id, regexp_extract_all(t, '{_RUN}', 0) as runs, regexp_split_to_array(t, '{_RUN}') as plain from m), "
+    "u as (select doc_id, unnest(plain) as plain, unnest(runs) as run, generate_subscripts(plain, 1) as k from p), "
+    "e as (select doc_id, 2 * k as k, regexp_replace(regexp_replace(plain, '[【】]', '', 'g'), '^\\s+|\\s+$', '', 'g') as s, false as b from u union all "
+    f"select doc_id, 2 * k + 1, array_to_string(regexp_extract_all(run, '{X.MARKED}', 1), ' ') || coalesce(regexp_extract(list_filter(regexp_split_to_array(run, '{X.MARKED}'), lambda x: regexp_matches(x, '{X.PARTING_MARKS}'))[-1], '{X.PARTING_MARKS}'), ''), true from u where run is not null), "
+    "g as (select *, row_number() over w as place, lag(b) over w as before, lead(b) over w as after from e where s <> '' window w as (partition by doc_id order by k))"
+)
+
+
+@query(f"with {_SEGMENTS} select doc_id, place::int - 1 as place, s as segment, b as is_bracket from g")
+def bracket_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Short words stand for marked ones."""
+    return _segments(spark, sf_dir, X.marked_segments(F.col("t")))
+
+
+@query(
+    f"with {_SEGMENTS}, h as (select *, not b and before and after and len(regexp_split_to_array(s, '\\s+')) <= 2 as short from g), "
+    "i as (select *, coalesce(short, false) or coalesce(b and lag(short) over w, false) or coalesce(not b and not before, false) as joined from h window w as (partition by doc_id order by place)), "
+    "j as (select *, sum(case when joined then 0 else 1 end) over (partition by doc_id order by place rows unbounded preceding) as n from i) "
+    "select doc_id, n::int - 1 as place, string_agg(s, ' ' order by place) as segment, arg_min(b, place) as is_bracket from j group by doc_id, n"
+)
+def segment_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _segments(spark, sf_dir, X.merged_segments(F.col("s")))
+
+
+def _segments(spark: SparkSession, sf_dir: str, made: Column) -> DataFrame:
+    """Twice, as neighbouring words share a blank."""
+    mark = lambda c: F.regexp_replace(c, " ([a-z]{2,3})([ ,.])", " 【$1】$2")
+    docs = table(spark, sf_dir, "documents").withColumn("t", mark(mark("text")))
+    parts = docs.withColumn("s", X.marked_segments(F.col("t"))).select("doc_id", F.posexplode(made).alias("place", "p"))
+    return parts.select("doc_id", "place", F.col("p.text").alias("segment"), F.col("p.is_bracket").alias("is_bracket"))
