@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, functions as F
 
@@ -45,6 +47,11 @@ def char_error_rate(reference: Column, hypothesis: Column) -> Column:
     return F.try_divide(F.levenshtein(reference, hypothesis), F.char_length(reference))
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def word_distance(reference: Column, hypothesis: Column) -> Column:
     """Fewest word edits between two texts, without Python: each distinct word of a row becomes one code point.
 
@@ -52,10 +59,10 @@ def word_distance(reference: Column, hypothesis: Column) -> Column:
     distinct words.
     """
     words = lambda c: F.filter(F.split(F.coalesce(c, F.lit("")), r"\s+"), lambda w: w != "")
-    both = F.array_distinct(F.concat(words(reference), words(hypothesis)))
-    point = lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(both, w) + 0xFFFF), 8, "0")), "UTF-32")
-    coded = lambda c: F.array_join(F.transform(words(c), point), "")
-    return F.levenshtein(coded(reference), coded(hypothesis))
+    point = lambda w, every: F.decode(F.unhex(F.lpad(F.hex(F.array_position(every, w) + 0xFFFF), 8, "0")), "UTF-32")
+    coded = lambda c, every: F.array_join(F.transform(c, lambda w: point(w, every)), "")
+    parts = F.struct(words(reference).alias("r"), words(hypothesis).alias("h"))
+    return _once(parts, lambda p: _once(F.array_distinct(F.concat(p["r"], p["h"])), lambda every: F.levenshtein(coded(p["r"], every), coded(p["h"], every))))
 
 
 def speakers(dialogue: Column) -> Column:
@@ -72,18 +79,25 @@ def cp_word_errors(reference: Column, hypothesis: Column) -> Column:
     swapped. ``words`` counts as the marked reference is split at single spaces; the two
     texts are joined speaker after speaker, for ``word_errors`` to tell the kinds of errors.
     """
-    r, h = speakers(reference), speakers(hypothesis)
-    joined = lambda c, a, b: F.concat_ws(" ", c[a], c[b])
-    straight, crossed = word_distance(joined(r, 0, 1), joined(h, 0, 1)), word_distance(joined(r, 0, 1), joined(h, 1, 0))
-    marked = F.regexp_replace(F.concat(F.lit("[S1] "), r[0], F.lit(" [S2] "), r[1]), r"\s+", " ")
-    swapped = chosen_order(straight, crossed) == "crossed"
-    return F.struct(
-        F.least(straight, crossed).alias("errors"),
-        (F.size(F.split(marked, " ")) - 2).alias("words"),
-        swapped.alias("swapped"),
-        joined(r, 0, 1).alias("reference"),
-        F.when(swapped, joined(h, 1, 0)).otherwise(joined(h, 0, 1)).alias("hypothesis"),
-    )
+
+    def counted(said: Column) -> Column:
+        r = said["r"]
+        marked = F.regexp_replace(F.concat(F.lit("[S1] "), r[0], F.lit(" [S2] "), r[1]), r"\s+", " ")
+        whole, straight, crossed = F.concat_ws(" ", r[0], r[1]), F.concat_ws(" ", said["h"][0], said["h"][1]), F.concat_ws(" ", said["h"][1], said["h"][0])
+
+        def better(d: Column) -> Column:
+            swapped = chosen_order(d[0], d[1]) == "crossed"
+            return F.struct(
+                F.least(d[0], d[1]).alias("errors"),
+                (F.size(F.split(marked, " ")) - 2).alias("words"),
+                swapped.alias("swapped"),
+                whole.alias("reference"),
+                F.when(swapped, crossed).otherwise(straight).alias("hypothesis"),
+            )
+
+        return _once(F.array(word_distance(whole, straight), word_distance(whole, crossed)), better)
+
+    return _once(F.struct(speakers(reference).alias("r"), speakers(hypothesis).alias("h")), counted)
 
 
 def best_permutation(straight: Column, crossed: Column) -> Column:

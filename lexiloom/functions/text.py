@@ -274,12 +274,21 @@ def marked_segments(text: Column) -> Column:
 
 def merged_segments(segments: Column) -> Column:
     """Segments with a text of at most two words between two runs taken in by them, and neighbouring texts made one."""
-    at = lambda k: F.get(segments, k)
-    is_run = lambda k: F.coalesce(at(k)["is_bracket"], F.lit(False))
-    short = lambda k: ~is_run(k) & (F.size(F.split(F.trim(at(k)["text"]), r"\s+")) <= TAKEN_IN) & is_run(k - 1) & is_run(k + 1)
-    texts = lambda k: (k > 0) & ~is_run(k) & ~is_run(k - 1)
-    every = F.transform(segments, lambda _, k: k)
-    begins = F.filter(every, lambda k: ~(short(k) | (is_run(k) & (k > 0) & short(k - 1)) | texts(k)))
-    stop = lambda i: F.coalesce(F.get(begins, i + 1), F.size(segments))
-    words = F.transform(segments, lambda s: s["text"])
-    return F.transform(begins, lambda b, i: F.struct(F.array_join(F.slice(words, b + 1, stop(i) - b), " ").alias("text"), is_run(b).alias("is_bracket")))
+    once = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))  # noqa: E731  computed once, used often
+
+    def merged(of: Column) -> Column:
+        at = lambda k: F.get(of, k)
+        is_run = lambda k: F.coalesce(at(k)["is_bracket"], F.lit(False))
+        short = lambda k: ~is_run(k) & (F.size(F.split(F.trim(at(k)["text"]), r"\s+")) <= TAKEN_IN) & is_run(k - 1) & is_run(k + 1)
+        texts = lambda k: (k > 0) & ~is_run(k) & ~is_run(k - 1)
+        begins = F.filter(F.transform(of, lambda _, k: k), lambda k: ~(short(k) | (is_run(k) & (k > 0) & short(k - 1)) | texts(k)))
+        words = F.transform(of, lambda s: s["text"])
+
+        def groups(b: Column) -> Column:
+            stop = lambda i: F.coalesce(F.get(b["begins"], i + 1), F.size(of))
+            part = lambda k, i: F.array_join(F.slice(b["words"], k + 1, stop(i) - k), " ")
+            return F.transform(b["begins"], lambda k, i: F.struct(part(k, i).alias("text"), is_run(k).alias("is_bracket")))
+
+        return once(F.struct(begins.alias("begins"), words.alias("words")), groups)
+
+    return once(segments, merged)
