@@ -10,7 +10,10 @@ so unrelated texts seldom meet, however many there are.
 
 Inside a band the ring filter prunes: over the ring of segments some chain of consecutive ones
 must keep its cumulative difference within its share of the radius at every length. Then
-comes the full count, and at last the shingles themselves decide on each link.
+comes the full count. A bound that no link breaks follows: sets alike at level s differ in at
+most (1 - s) / (1 + s) of their two sizes, and the parities of their hashes, counted in
+``PARITIES`` buckets, differ in no more buckets than the sets differ in elements. At last the shingles
+themselves decide on each link.
 
 In each band every set is first compared with one of it, and of the many that a set meets so
 in its bands it is checked against the ``NEAREST`` closest ones: a set of a large group of copies
@@ -35,6 +38,8 @@ from lexiloom.llm.common import components, kept, without
 
 WORDS, LEVEL, SEED = 5, 0.8, 42
 BITS, RADIUS, SEGMENTS = 256, 44, 16
+#: Buckets (a power of two) whose parities bound how many elements two sets differ in.
+PARITIES = 256
 #: Share of the pairs at the level itself that no band may find; fewest bits of a band, and
 #: bits fewer than the number of texts has (64 unrelated texts a band).
 MISS, LEAST_BITS, FEWER = 0.005, 16, 6
@@ -47,6 +52,7 @@ REMEMBERED = 1 << 22
 _MASK = (1 << 64) - 1
 #: The fingerprint's words.
 _FP = [f"w{k}" for k in range(BITS // 64)]
+_ODD = [f"odd{k}" for k in range(PARITIES // 64)]
 _TWINS = [(2 * k + 1) * 0x9E3779B97F4A7C15 & _MASK for k in range(1, len(_FP))]
 
 
@@ -79,6 +85,18 @@ def wide_fingerprint(hashes: np.ndarray) -> list[int]:
     return np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64).tolist()
 
 
+def parities(hashes: np.ndarray) -> list[int]:
+    """A bit for each bucket, as signed 64-bit numbers: set where it holds an odd number of the hashes."""
+    counts = np.bincount((hashes % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").view(np.int64).tolist()
+
+
+def may_be_alike(odd: list[np.ndarray], sizes: np.ndarray, level: float = LEVEL) -> np.ndarray:
+    """Of XORs of the parities of pairs and the sums of their sizes, a mask that holds all pairs of ``level`` or more."""
+    apart = sum(np.bitwise_count(w).astype(np.int32) for w in odd)
+    return (1 + level) * apart <= (1 - level) * sizes + 1e-6
+
+
 def band_plan(rows: int, level: float = LEVEL) -> tuple[int, int]:
     """(bits of a band, number of bands) for so many sets."""
     bits = max(LEAST_BITS, math.ceil(math.log2(rows + 1)) - FEWER)
@@ -136,28 +154,28 @@ def alike(a: np.ndarray, b: np.ndarray, level: float = LEVEL) -> bool:
 
 
 def shingled(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, t, node, n) of each row, hash of the text, code and size of its set, and the words of its fingerprint."""
+    """(doc_id, t, node, n) of each row, hash of the text, code and size of its set, and the words of its fingerprint and parities."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for text in batch["text"].to_pylist():
                 s = shingle_hashes(text)
-                rows.append((xxhash.xxh64_intdigest(s.tobytes(), SEED), len(s), *wide_fingerprint(s)))
-            node, *rest = zip(*rows) if rows else ((),) * (2 + len(_FP))
+                rows.append((xxhash.xxh64_intdigest(s.tobytes(), SEED), len(s), *wide_fingerprint(s), *parities(s)))
+            node, *rest = zip(*rows) if rows else ((),) * (2 + len(_FP + _ODD))
             cols = [batch["doc_id"], batch["t"], pa.array(np.array(node, np.uint64).view(np.int64)), *(pa.array(c, pa.int64()) for c in rest)]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "t", "node", "n", *_FP])
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "t", "node", "n", *_FP, *_ODD])
 
     text = F.col(text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("t"), text.alias("text"))
-    return rows.mapInArrow(each, ", ".join(f"{c} bigint" for c in ("doc_id", "t", "node", "n", *_FP)))
+    return rows.mapInArrow(each, ", ".join(f"{c} bigint" for c in ("doc_id", "t", "node", "n", *_FP, *_ODD)))
 
 
-_COLUMNS = ["key", "band", "node", "n", "part", *_FP]
+_COLUMNS = ["key", "band", "node", "n", "part", *_FP, *_ODD]
 
 
 def near(a: list[np.ndarray], b: list[np.ndarray], level: float, masks: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of rows in ``_COLUMNS``: sizes that allow the level, different parts, fingerprints within the radius.
+    """Candidate pairs of rows in ``_COLUMNS``: sizes and parities that allow the level, different parts, fingerprints within the radius.
 
     With ``masks`` only those whose first shared band this is.
     """
@@ -165,8 +183,11 @@ def near(a: list[np.ndarray], b: list[np.ndarray], level: float, masks: np.ndarr
     _, _, node_b, n_b, part_b, *words_b = b
     ok = (np.minimum(n_a, n_b) >= level * np.maximum(n_a, n_b)) & (part_a != part_b)
     at = np.flatnonzero(ok)
-    x = [(p[at] ^ q[at]).view(np.uint64) for p, q in zip(words_a, words_b)]
+    x = [(p[at] ^ q[at]).view(np.uint64) for p, q in zip(words_a[: len(_FP)], words_b)]
     close = np.flatnonzero(ring_close(x))
+    left = at[close]
+    odd = [(p[left] ^ q[left]).view(np.uint64) for p, q in zip(words_a[len(_FP) :], words_b[len(_FP) :])]
+    close = close[may_be_alike(odd, n_a[left] + n_b[left], level)]
     if masks is not None and len(close):
         close = close[first_shared([w[close] for w in x], masks) == band[at[close]]]
     if len(close):
@@ -290,7 +311,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     of = kept(shingled(docs, id_col, text_col), "shingled")
     least = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "t"))).alias("least")
-    nodes = kept(of.groupBy("node").agg(least, F.min("t").alias("t"), *(F.first(c).alias(c) for c in ("n", *_FP))), "nodes")
+    nodes = kept(of.groupBy("node").agg(least, F.min("t").alias("t"), *(F.first(c).alias(c) for c in ("n", *_FP, *_ODD))), "nodes")
     masks = band_masks(*band_plan(nodes.count(), level))
     keys = band_keys([F.col(c) for c in _FP], masks)
     edges, parts = None, None
@@ -298,7 +319,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         now = nodes.withColumn("part", F.col("node"))
         if parts is not None:
             now = nodes.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
-        sent = now.select(F.posexplode(keys).alias("band", "key"), "node", "n", "part", *_FP)
+        sent = now.select(F.posexplode(keys).alias("band", "key"), "node", "n", "part", *_FP, *_ODD)
         if turn < ROUNDS:
             place = F.row_number().over(Window.partitionBy("a").orderBy("bits", "b"))
             pairs = candidates(sent, star(level)).distinct().withColumn("place", place).where(F.col("place") <= NEAREST)

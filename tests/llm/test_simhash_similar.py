@@ -89,3 +89,24 @@ def test_a_pair_belongs_to_its_first_shared_band():
     assert {m.bit_count() for m in bands} == {12}
     want = [next((k for k, m in enumerate(bands) if not differ & m), len(bands)) for differ in whole]
     assert len(set(want)) == 31 and simhash_similar.first_shared(x, masks).tolist() == want
+
+
+def test_parities_never_part_sets_that_are_alike():
+    """Pairs around the level: none that is alike is lost, sets just below it mostly are; empty sets pass."""
+    rng = np.random.default_rng(11)
+    lost = kept_below = below = alike = 0
+    for k in range(3000):
+        n = int(rng.integers(1, 400))
+        own = [int(rng.integers(0, n // 5 + 2)) for _ in range(2)]
+        both = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        a, b = (np.unique(np.concatenate([both, rng.integers(0, 1 << 63, o, dtype=np.uint64)])) for o in own)
+        odd = [np.array([p ^ q]).view(np.uint64) for p, q in zip(simhash_similar.parities(a), simhash_similar.parities(b))]
+        passed = simhash_similar.may_be_alike(odd, np.array([len(a) + len(b)]))[0]
+        similar = simhash_similar.alike(a, b)
+        alike += similar
+        lost += similar and not passed
+        far = len(np.intersect1d(a, b)) < 0.75 * len(np.union1d(a, b)) and 80 < n < 200
+        below, kept_below = below + far, kept_below + (far and passed)
+    assert alike > 500 and lost == 0 and below > 50 and kept_below < below / 2
+    none = np.empty(0, np.uint64)
+    assert simhash_similar.may_be_alike([np.zeros(1, np.uint64)] * 4, np.array([0]))[0] and simhash_similar.parities(none) == [0] * 4
