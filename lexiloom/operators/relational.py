@@ -8,6 +8,9 @@ from pyspark.sql.window import Window
 #: Unicode white space, as a class that Java and RE2 read alike.
 BLANK = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
+# Fixed value: what holds nothing to speak, besides white space.
+UNSPOKEN = r""".,;:!?…—–\-'"()\[\]{}"""
+
 
 def duration_range(df: DataFrame, duration: str, low: float = 1.0, high: float = 30.0) -> DataFrame:
     """Rows whose duration is within both bounds, bounds included."""
@@ -104,3 +107,20 @@ def repeat(df: DataFrame, times: int) -> DataFrame:
 def seeded_order(key: Column, seed: int, epoch: int) -> Column:
     """A shuffle key that only depends on the row's key, the seed and the epoch."""
     return F.md5(F.concat_ws(":", key.cast("string"), F.lit(str(seed)), F.lit(str(epoch))))
+
+
+def speakable_segment(text: Column) -> Column:
+    """Whether a segment holds more than white space and punctuation; null holds nothing."""
+    return F.coalesce(F.regexp_replace(text, f"[{BLANK[1:-1]}{UNSPOKEN}]", "") != "", F.lit(False))
+
+
+def single_supervision(df: DataFrame, supervisions: str) -> DataFrame:
+    """``df``; the job fails at a row whose array does not hold exactly one supervision."""
+    single = F.assert_true(F.coalesce(F.size(supervisions), F.lit(-1)) == 1, F.lit("only cuts with a single supervision are supported"))
+    return df.where(single.isNull())
+
+
+def fixed_batches(items: Column, size: int = 30) -> Column:
+    """Array of arrays of ``size`` items in their order, the last with what is left; no items, no batches."""
+    starts = F.when(F.size(items) > 0, F.sequence(F.lit(1), F.size(items), F.lit(size))).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda at: F.slice(items, at, size))

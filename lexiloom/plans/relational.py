@@ -158,3 +158,22 @@ def parameter_average(spark: SparkSession, sf_dir: str) -> DataFrame:
     side = lambda k, name: cells.where(F.col("vec_id") % 2 == k).groupBy("label", "dim").agg(F.avg("x").alias(name))
     both = side(0, "a").join(side(1, "b"), ["label", "dim"])
     return both.select("label", F.col("dim").cast("long").alias("dim"), F.round(F.col("a") * 0.75 + F.col("b") * 0.25, 6).alias("value"))
+
+
+_UNSPOKEN = f"[{R.BLANK[1:-1]}{R.UNSPOKEN}]".replace("'", "''")
+
+
+@query(f"with s as (select doc_id, regexp_split_to_array(text, '[a-z]+') as s from documents) select doc_id, len(s) as n_segments, len(list_filter(s, lambda x: regexp_replace(x, '{_UNSPOKEN}', '', 'g') <> '')) as n_kept from s")
+def speakable_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stands between runs of small letters as segments: most hold blanks and marks only."""
+    parts = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "[a-z]+").alias("s"))
+    return parts.select("doc_id", F.size("s").cast("long").alias("n_segments"), F.size(F.filter("s", R.speakable_segment)).cast("long").alias("n_kept"))
+
+
+@query(
+    "with w as (select doc_id, unnest(w) as word, generate_subscripts(w, 1) - 1 as k from (select doc_id, string_split(text, ' ') as w from documents)) "
+    "select doc_id, (k // 30)::int as batch, count(*) as n_words, md5(string_agg(word, ' ' order by k)) as words_md5 from w group by 1, 2"
+)
+def batches_of_thirty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    batches = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(R.fixed_batches(F.split("text", " "))).alias("batch", "w"))
+    return batches.select("doc_id", "batch", F.size("w").cast("long").alias("n_words"), F.md5(F.array_join("w", " ")).alias("words_md5"))

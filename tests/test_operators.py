@@ -108,3 +108,23 @@ def test_insert_if_absent_keeps_the_first(spark):
     known = spark.createDataFrame([("a", 0)], "k string, v int")
     new = spark.createDataFrame([("B ", 2), ("b", 1), ("A", 9)], "k string, v int")
     assert sorted(map(tuple, R.insert_if_absent(known, new, "k", "v").collect())) == [("a", 0), ("b", 1)]
+
+
+def test_fixed_batches(spark):
+    df = spark.createDataFrame([(list(range(7)),), ([],), (None,), ([1, 2, 3],)], "s array<int>")
+    got = [r[0] for r in df.select(R.fixed_batches(F.col("s"), 3)).collect()]
+    assert got == [[[0, 1, 2], [3, 4, 5], [6]], [], [], [[1, 2, 3]]]
+
+
+def test_speakable_segment(spark):
+    texts = ["", None, " .,;:!?…—–-'\"()[]{}\u3000\n", "a.", "(5)", "【", "%"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(R.speakable_segment(F.col("t"))).collect()] == [False, False, False, True, True, True, True]
+
+
+def test_single_supervision(spark):
+    good = spark.createDataFrame([(1, ["a"]), (2, [None])], "id int, s array<string>")
+    assert R.single_supervision(good, "s").count() == 2
+    for bad in ([], None, ["a", "b"]):
+        with pytest.raises(Exception, match="single supervision"):
+            R.single_supervision(spark.createDataFrame([(1, bad)], "id int, s array<string>"), "s").collect()
