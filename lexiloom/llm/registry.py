@@ -8,6 +8,7 @@ from lexiloom.llm import secret_scan, toxicity
 from lexiloom.llm.chat_format import format_preferences, reply_swaps
 from lexiloom.llm.common import new_folder, table
 from lexiloom.llm.decontaminate import contaminated
+from lexiloom.llm.embedding_join import near_vectors
 from lexiloom.llm.exact_dedup import exact_duplicates
 from lexiloom.llm.sentencepiece_dropout import Pieces, digest, encode_texts
 from lexiloom.llm.simhash import near_duplicates
@@ -63,6 +64,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
     return {
         "op1_warc": op1_warc,
@@ -75,6 +80,7 @@ def queries() -> dict:
         "op8_toxicity": op8_toxicity,
         "op9_secrets": op9_secrets,
         "op10_exact_dedup": op10_exact_dedup,
+        "op11_embedding_dedup": op11_embedding_dedup,
     }
 
 
@@ -156,5 +162,35 @@ from met join n using (item_id) where n_shared >= 0.8 * n_item
 """
 
 
+_NEAR_VECTORS = """
+with recursive v as (
+  select vec_id, list_transform(embedding, x -> x::double) as e from embeddings
+), ok as (
+  select vec_id, e from v
+  where e is not null and len(list_filter(e, x -> x is null or not isfinite(x))) = 0 and len(list_filter(e, x -> x <> 0)) > 0
+), links as (
+  select a.vec_id as a, b.vec_id as b from ok a join ok b on a.vec_id <> b.vec_id
+  where list_cosine_similarity(a.e, b.e) >= 0.9
+), reach as (
+  select distinct a, a as b from links
+  union
+  select r.a, l.b from reach r join links l on r.b = l.a
+), c as (
+  select a as vec_id, min(b) as component_id from reach group by 1
+), n as (
+  select a as vec_id, count(*) as n_links from links group by 1
+)
+select vec_id, coalesce(n_links, 0) as n_links, coalesce(component_id, vec_id) as component_id,
+       coalesce(component_id, vec_id) = vec_id as kept
+from v left join n using (vec_id) left join c using (vec_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": _WARC, "op3_chat_format": _CHAT, "op7_decontamination": _LEAKS, "op10_exact_dedup": _EXACT}
+    return {
+        "op1_warc": _WARC,
+        "op3_chat_format": _CHAT,
+        "op7_decontamination": _LEAKS,
+        "op10_exact_dedup": _EXACT,
+        "op11_embedding_dedup": _NEAR_VECTORS,
+    }
