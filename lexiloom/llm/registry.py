@@ -15,6 +15,7 @@ from lexiloom.llm.simhash import near_duplicates
 from lexiloom.llm.suffix_dedup import repeated_passages
 from lexiloom.llm.token_counts import count_tokens
 from lexiloom.llm.vocabulary import vocabulary_path
+from lexiloom.llm.vector_codes import encode_vectors
 from lexiloom.llm.warc import archive_round_trip
 
 
@@ -68,6 +69,10 @@ def op11_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
     return {
         "op1_warc": op1_warc,
@@ -81,6 +86,7 @@ def queries() -> dict:
         "op9_secrets": op9_secrets,
         "op10_exact_dedup": op10_exact_dedup,
         "op11_embedding_dedup": op11_embedding_dedup,
+        "op12_vector_codes": op12_vector_codes,
     }
 
 
@@ -164,10 +170,10 @@ from met join n using (item_id) where n_shared >= 0.8 * n_item
 
 _NEAR_VECTORS = """
 with recursive v as (
-  select vec_id, list_transform(embedding, x -> x::double) as e from embeddings
+  select vec_id, list_transform(embedding, lambda x: x::double) as e from embeddings
 ), ok as (
   select vec_id, e from v
-  where e is not null and len(list_filter(e, x -> x is null or not isfinite(x))) = 0 and len(list_filter(e, x -> x <> 0)) > 0
+  where e is not null and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(e, lambda x: x <> 0)) > 0
 ), links as (
   select a.vec_id as a, b.vec_id as b from ok a join ok b on a.vec_id <> b.vec_id
   where list_cosine_similarity(a.e, b.e) >= 0.9
@@ -186,6 +192,32 @@ from v left join n using (vec_id) left join c using (vec_id)
 """
 
 
+def _vector_codes(rounds: int = 6) -> str:
+    """Parts of eight components; the least of far * 16 + k is the nearest entry, ties to the lower."""
+    near = "select vec_id, p, min(far * 16 + k) as m from (select vec_id, p, k, sum((x - c) * (x - c)) as far from x join b{0} using (p, d) group by 1, 2, 3) group by 1, 2"
+    books = ", ".join(
+        f"a{r} as materialized ({near.format(r)}), b{r + 1} as materialized ("
+        f"select p, k, d, coalesce(s, c) as c from b{r} left join "
+        f"(select p, m % 16 as k, d, floor(sum(x) / count(*))::bigint as s from x join a{r} using (vec_id, p) group by 1, 2, 3) using (p, k, d))"
+        for r in range(rounds)
+    )
+    return f"""
+with v as materialized (
+  select vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::double)::bigint) as e from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), x as materialized (
+  select vec_id, p.range as p, d.range as d, e[p.range * 8 + d.range + 1] as x from v, range(8) p, range(8) d
+), b0 as materialized (
+  select p, k, d, x as c from x join (select vec_id, row_number() over (order by vec_id) - 1 as k from v) using (vec_id) where k < 16
+), {books}, a as ({near.format(rounds)}), coded as (
+  select vec_id, string_agg(printf('%02x', (m % 16)::int), '' order by p) as code, sum(m // 16)::bigint as error from a group by 1
+)
+select vec_id, code, error, sum(error) over (partition by label)::bigint as label_error,
+       (select sha256(string_agg(c::varchar, ',' order by p, k, d)) from b{rounds}) as codebooks_sha256
+from coded join v using (vec_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_warc": _WARC,
@@ -193,4 +225,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_decontamination": _LEAKS,
         "op10_exact_dedup": _EXACT,
         "op11_embedding_dedup": _NEAR_VECTORS,
+        "op12_vector_codes": _vector_codes(),
     }
