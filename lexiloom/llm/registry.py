@@ -10,6 +10,7 @@ from lexiloom.llm.common import new_folder, table
 from lexiloom.llm.decontaminate import contaminated
 from lexiloom.llm.embedding_join import near_vectors
 from lexiloom.llm.exact_dedup import exact_duplicates
+from lexiloom.llm.ranked_search import ranked
 from lexiloom.llm.sentencepiece_dropout import Pieces, digest, encode_texts
 from lexiloom.llm.simhash import near_duplicates
 from lexiloom.llm.suffix_dedup import repeated_passages
@@ -73,6 +74,10 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
     return {
         "op1_warc": op1_warc,
@@ -87,6 +92,7 @@ def queries() -> dict:
         "op10_exact_dedup": op10_exact_dedup,
         "op11_embedding_dedup": op11_embedding_dedup,
         "op12_vector_codes": op12_vector_codes,
+        "op13_ranked_search": op13_ranked_search,
     }
 
 
@@ -218,6 +224,29 @@ from coded join v using (vec_id)
 """
 
 
+_RANKED = r"""
+with d as materialized (
+  select row_number() over () as r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as w
+  from documents
+), q as materialized (
+  select item_id, unnest(list_distinct(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))) as t
+  from benchmark
+), s as materialized (
+  select count(*)::bigint as n_docs, sum(len(w))::bigint as length from d where len(w) > 0
+), p as materialized (
+  select r, t, count(*)::bigint as tf from (select r, unnest(w) as t from d) where t in (select t from q) group by 1, 2
+), f as (
+  select t, floor(1000 * ln((2 * n_docs + 2)::double / (2 * count(*) + 1)::double))::bigint as weight from p, s group by t, n_docs
+), scored as (
+  select item_id, d.doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * len(w) * n_docs) // length))))::bigint as score
+  from q join p using (t) join f using (t) join d using (r), s group by item_id, d.doc_id, r
+)
+select item_id, rank::int as rank, doc_id, score
+from (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from scored where score > 0) where rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_warc": _WARC,
@@ -226,4 +255,5 @@ def oracle_sql() -> dict[str, str]:
         "op10_exact_dedup": _EXACT,
         "op11_embedding_dedup": _NEAR_VECTORS,
         "op12_vector_codes": _vector_codes(),
+        "op13_ranked_search": _RANKED,
     }
