@@ -124,3 +124,13 @@ def fixed_batches(items: Column, size: int = 30) -> Column:
     """Array of arrays of ``size`` items in their order, the last with what is left; no items, no batches."""
     starts = F.when(F.size(items) > 0, F.sequence(F.lit(1), F.size(items), F.lit(size))).otherwise(F.array().cast("array<int>"))
     return F.transform(starts, lambda at: F.slice(items, at, size))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over as many partitions as the session has cores, where it has fewer.
+
+    A small file is one partition and would keep one core busy; large inputs, which have more
+    partitions than cores, are left as they are and not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lexiloom.functions import spell as N, text as X
+from lexiloom.functions import normalizer, spell as N, text as X
 from lexiloom.operators.jobs import voice_gender, voice_region
+from lexiloom.operators.relational import spread
 from lexiloom.plans.registry import query, table
 
 
@@ -15,6 +16,10 @@ def _docs(spark: SparkSession, sf_dir: str, made: Column, kept: str = "out") ->
     return docs.select("doc_id", F.char_length(kept).cast("long").alias("n_out"), F.md5(kept).alias("out_md5"))
 
 
+def _digest(made: DataFrame) -> DataFrame:
+    return made.select("doc_id", F.char_length("out").cast("long").alias("n_out"), F.md5("out").alias("out_md5"))
+
+
 def _sql(made: str) -> str:
     return f"select doc_id, length(o) as n_out, md5(o) as out_md5 from (select doc_id, {made} as o from documents)"
 
@@ -127,14 +132,28 @@ def voice_case(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def native_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The steps without callbacks; their patterns look around, which DuckDB's do not. Goldens are in the tests."""
-    return _docs(spark, sf_dir, X.native_normalize(F.col("text")))
+    """The steps without callbacks; their patterns look around, which DuckDB's do not. A plain twin is in the tests."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return _digest(docs.select("doc_id", X.native_normalize(F.col("text")).alias("out")))
+
+
+#: Abbreviations of the query; users bring their own table.
+ABBREVIATED = {"HTX": "hợp tác xã", "BS": "bác sĩ", "BXH": "bảng xếp hạng", "KT-XH": "kinh tế xã hội"}
 
 
 @query()
 def normalize_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbers, dates, times and addresses as Vietnamese words, then the native steps. Goldens are in the tests."""
-    return _docs(spark, sf_dir, X.native_normalize(N.speak(F.col("text"), "vi")))
+    """All steps in their order: what is spoken is claimed span by span, then signs and blanks. A plain twin is in the tests."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return _digest(normalizer.normalized(docs, "text", "out", ABBREVIATED).select("doc_id", "out"))
+
+
+@query()
+def spoken_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each kind of rule speaks in each document, and over how many characters. A plain twin is in the tests."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    spans = docs.select("doc_id", F.explode(normalizer.claim_spans(F.col("text"), normalizer.steps(ABBREVIATED))).alias("s"))
+    return spans.groupBy("doc_id", F.col("s.kind").alias("kind")).agg(F.count("*").alias("n_claims"), F.sum(F.col("s.end") - F.col("s.start")).alias("n_chars"))
 
 
 @query()
