@@ -90,8 +90,8 @@ EMAIL, URL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}", r"(?:https?|ft
 REDUNDANT = [("ngày", "ngày"), ("mùng", "ngày"), ("tháng", "tháng")]
 # End of the fixed values.
 
-#: Stands inside a claimed span while later rules read: a letter that no rule names.
-CLOSED = "ʘ"
+#: Stand in a claimed span while later rules read: a letter that no rule names, and a blank at its ends.
+CLOSED, EDGE = "ʘ", "\u2003"
 SPANS = "array<struct<start:int,end:int,kind:string,said:string>>"
 #: The claim of a part of a match: its place and what is said.
 Part = tuple[int, int, str]
@@ -310,7 +310,7 @@ _REST = [
     ),
     rule("math", f"[{''.join(MATH)}]", whole(lambda m: MATH[m[0]]), "".join(MATH)),
     rule("minus", r"(?<=\s)(-)(?=[0-9]*,*[0-9]+\s)", whole(lambda m: "âm", 1), "-"),
-    rule("dash", r"(?<=\d)\s?[-–—]\s?(?=\d)", whole(lambda m: "đến"), "-–—"),
+    rule("dash", r"\d(\s?[-–—]\s?)\d", whole(lambda m: "đến", 1), "-–—"),
     rule("dash", r"(?<=[a-zA-ZÀ-ỹ])\s*-\s*(?=[a-zA-ZÀ-ỹ])|(?<!\w)-(?!\w)|(?<=\s)-(?=\s)", lambda m: [(m.start(), m.end(), " ")], "-"),
     rule("number", r"\b\d{1,3}(?:\.\d{3})*,\d+\b", whole(lambda m: decimal(*m[0].split(","))), ","),
     rule("number", r"(?<=[\s|(])\d{1,3}(?:\.\d{3})+(?!\d)", whole(lambda m: plain_number(m[0].replace(".", ""))), "."),
@@ -354,8 +354,9 @@ def abbreviations(table: dict[str, str]) -> list[Rule]:
     if not table:
         return []
     edge = r"[,.)}\]!?/\-:;]"
-    first = rule("abbreviation", rf"(?<!\S)({_ALTERNATION(table)})(?={edge}?(?:\s|$))", whole(lambda m: table[m[1]].strip().lower(), 1))
-    return [first, rule("abbreviation", rf"(?<![^\s,.)}}\]!?/\-])({_ALTERNATION(table)})(?=[\s,.)}}\]!?/\-]|$)", whole(lambda m: table[m[1]].strip(), 1))]
+    low, plain = (lambda m: [(m.start(), m.end(), table[m[0]].strip().lower())], lambda m: [(m.start(), m.end(), table[m[0]].strip())])
+    first = rule("abbreviation", rf"(?<!\S)(?:{_ALTERNATION(table)})(?={edge}?(?:\s|$))", low)
+    return [first, rule("abbreviation", rf"(?<![^\s,.)}}\]!?/\-])(?:{_ALTERNATION(table)})(?=[\s,.)}}\]!?/\-]|$)", plain)]
 
 
 def ascii_digits(text: str) -> str:
@@ -365,7 +366,17 @@ def ascii_digits(text: str) -> str:
 
 def closed(n: int) -> str:
     """What later rules see in the place of a claimed span: blanks at its ends, letters between."""
-    return f" {CLOSED * (n - 2)} " if n > 2 else f"{CLOSED} "[-n:]
+    return f"{EDGE}{CLOSED * (n - 2)}{EDGE}" if n > 2 else f"{CLOSED}{EDGE}"[2 - n :]
+
+
+def open_part(seen: str, a: int, b: int) -> tuple[int, int]:
+    """The span without closed places: what surrounds its first sign that is not blank."""
+    part = seen[a:b]
+    if EDGE not in part:
+        return a, b
+    core = a + len(part) - len(part.lstrip())
+    left, right = seen.rfind(EDGE, a, core) + 1, seen.find(EDGE, core, b)
+    return max(a, left), b if right < 0 else right
 
 
 def claims(text: str, rules: list[Rule | Callable[[str], str]]) -> list[tuple[int, int, str, str]]:
@@ -393,7 +404,8 @@ def claims(text: str, rules: list[Rule | Callable[[str], str]]) -> list[tuple[in
         out, at = [], 0
         for m in r.pattern.finditer(seen, begin):
             for a, b, said in r.say(m):
-                out += [seen[at:a], closed(b - a) if b > a and said.strip() else " " * (b - a)]
+                a, b = open_part(seen, a, b)
+                out += [seen[at:a], closed(b - a) if said.strip() else EDGE * (b - a)]
                 at = b
                 # the blanks around the text are not its own
                 found.append((max(a - 1, 0), min(b - 1, len(text)), r.kind, said))

@@ -77,28 +77,37 @@ def rolling_rank(value: str, group: str, order: list[str], width: int) -> Column
     return F.element_at(kept, F.floor(F.size(kept) / 2).cast("int") + 1)
 
 
-def _next_fit(sizes: list[int], cap: int) -> list[int]:
-    out, group, filled = [], 0, 0
+def _next_fit(sizes: list[int], cap: int, blank: list[bool] | None = None) -> list[int]:
+    out, group, filled, some = [], 0, 0, False
     for k, s in enumerate(sizes):
-        if k and filled + s > cap:
-            group, filled = group + 1, 0
+        if some and filled + s > cap:
+            group, filled, some = group + 1, 0, False
         filled += s
+        some = some or blank is None or not blank[k]
         out.append(group)
     return out
 
 
-def next_fit(sizes: Column, cap: int) -> Column:
+def next_fit(sizes: Column, cap: int, blank: Column | None = None) -> Column:
     """Group numbers of a sequence of sizes: a group is closed when the next would overflow it.
 
-    An item larger than ``cap`` stands alone. The running sum starts again at each overflow,
+    An item larger than ``cap`` stands alone. Where ``blank`` tells items without content, a
+    group that has only those stays open. The running sum starts again at each overflow,
     which no window frame expresses.
     """
+    if blank is None:
+
+        @F.pandas_udf("array<int>")
+        def fold(arrays: pd.Series) -> pd.Series:
+            return arrays.map(lambda a: None if a is None else _next_fit(list(a), cap))
+
+        return fold(sizes)
 
     @F.pandas_udf("array<int>")
-    def fold(arrays: pd.Series) -> pd.Series:
-        return arrays.map(lambda a: None if a is None else _next_fit(list(a), cap))
+    def fold_some(arrays: pd.Series, blanks: pd.Series) -> pd.Series:
+        return pd.Series([None if a is None else _next_fit(list(a), cap, list(b)) for a, b in zip(arrays, blanks)])
 
-    return fold(sizes)
+    return fold_some(sizes, blank)
 
 
 def sentences(text: Column) -> Column:

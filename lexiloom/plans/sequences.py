@@ -136,12 +136,14 @@ def progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def text_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks of at most 500 characters, by paragraph, sentence and word; checked against a plain loop in the tests."""
+    """Chunks of at most 500 characters, by paragraph, sentence and word; a blank chunk stays open. A plain twin is in the tests."""
     docs = table(spark, sf_dir, "documents").select("doc_id", S.chunk_pieces(F.col("text"), 500).alias("p"))
-    sized = docs.withColumn("n", F.transform("p", F.char_length))
-    each = sized.select("doc_id", F.posexplode(F.arrays_zip(F.col("p").alias("p"), S.next_fit(F.col("n"), 500).alias("chunk"))).alias("pos", "s"))
+    sized = docs.withColumns({"n": F.transform("p", F.char_length), "blank": F.transform("p", lambda p: ~p.rlike(r"(?U)\S"))})
+    each = sized.select("doc_id", F.posexplode(F.arrays_zip(F.col("p").alias("p"), S.next_fit(F.col("n"), 500, F.col("blank")).alias("chunk"))).alias("pos", "s"))
     joined = each.groupBy("doc_id", F.col("s.chunk").alias("chunk")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "s.p"))), lambda x: x["p"]), "").alias("text"))
-    return joined.where("trim(text) <> ''").select("doc_id", "chunk", F.char_length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
+    # only a text that fits whole may be blank
+    whole = (F.col("chunk") == 0) & (F.char_length("text") <= 500)
+    return joined.where(whole | F.col("text").rlike(r"(?U)\S")).select("doc_id", "chunk", F.char_length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
 @query("select user_id, event_id, rank from (select user_id, event_id, row_number() over (partition by user_id order by ts desc, event_id desc) as rank from events) where rank <= 3")
