@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lexiloom.functions import text as X
 from lexiloom.functions.spell import digits_vi, number_vi
+from lexiloom.operators.relational import settled
 
 # Word lists, units and signs whose content must be as it is for right results.
 LENGTHS = {
@@ -455,8 +456,8 @@ def normalized(df: DataFrame, text_col: str = "text", out: str = "said", table:
     """
     spans, made = "_spans", "_made"
     claimed = df.withColumn(spans, claim_spans(F.col(text_col), steps(table, strict)))
-    written = claimed.withColumn(made, rebuilt(F.col(text_col), F.col(spans)))
+    written = settled(claimed.withColumn(made, rebuilt(F.col(text_col), F.col(spans))), made)
     said = F.col(made)
     for step in (X.end_marks, X.remove_emoji, X.pause_signs, X.colons_to_points, X.speakable, spaced, without_repeats):
         said = step(said)
-    return written.withColumn(out, said).drop(spans, made)
+    return settled(written.withColumn(out, said), out).drop(spans, made)

@@ -28,6 +28,7 @@ LETTERS = {
 DIGITS = {"0": "không", "1": "một", "2": "hai", "3": "ba", "4": "bốn", "5": "năm", "6": "sáu", "7": "bảy", "8": "tám", "9": "chín"}
 # A marked word, what may part the marked words of a run, its marks, and the words of a text that a run takes in.
 MARKED, PARTING, PARTING_MARKS, TAKEN_IN = "【([a-zA-ZÀ-ỹ][^】]{0,49})】", "[\\s,.、，]*", "[,.、，]", 2
+SPELL_MARKER = r"\{\{SPELL\}\}([A-Za-z0-9]+(?:\s+[A-Za-z0-9]+)*)\{\{/SPELL\}\}"
 # End of the fixed values.
 
 
@@ -223,6 +224,20 @@ def spell_split(word: Column) -> Column:
     return F.struct(spell_letters(head).alias("letters"), spell_letters(sub(tail, "[^0-9]", "")).alias("digits"))
 
 
+def bracketed(word: Column) -> Column:
+    """Letters as they are said, in brackets, and behind them the digits."""
+    said = spell_split(word)
+    digits = F.when(said["digits"] == "", "").otherwise(F.concat(F.lit(" "), said["digits"]))
+    return F.when(said["letters"] == "", said["digits"]).otherwise(F.concat(F.lit("【"), said["letters"], F.lit("】"), digits))
+
+
+def spelled_markers(text: Column) -> Column:
+    """``{{SPELL}}TTS{{/SPELL}}`` is spelled in brackets; words of a marker are spelled one after another."""
+    words = F.regexp_extract_all(text, F.lit(SPELL_MARKER), F.lit(1))
+    parts = F.split(text, SPELL_MARKER.replace("(", "(?:", 1), -1)
+    return F.array_join(F.flatten(F.transform(F.arrays_zip(parts.alias("p"), words.alias("w")), lambda z: F.array(z["p"], F.coalesce(bracketed(z["w"]), F.lit(""))))), "")
+
+
 def is_pinyin(part: Column) -> Column:
     return part.rlike(r"^<[a-zü]+[1-5]>$")
 

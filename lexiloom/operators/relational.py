@@ -134,3 +134,12 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def settled(df: DataFrame, column: str) -> DataFrame:
+    """``df`` with the column's value computed where it stands.
+
+    Steps that name their input several times would otherwise be merged into one expression
+    that repeats all earlier steps; a generator of one row is not merged.
+    """
+    return df.withColumn(column, F.explode(F.array(F.col(column))))

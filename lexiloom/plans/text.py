@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lexiloom.functions import normalizer, spell as N, text as X
+from lexiloom.functions import lexicon, normalizer, spell as N, text as X
+from lexiloom.functions.special_tokens import special_tokens as tokens_of
+from lexiloom.operators import vietnamese
 from lexiloom.operators.jobs import voice_gender, voice_region
 from lexiloom.operators.relational import spread
 from lexiloom.plans.registry import query, table
@@ -205,3 +207,37 @@ def _segments(spark: SparkSession, sf_dir: str, made: Column) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("t", mark(mark("text")))
     parts = docs.withColumn("s", X.marked_segments(F.col("t"))).select("doc_id", F.posexplode(made).alias("place", "p"))
     return parts.select("doc_id", "place", F.col("p.text").alias("segment"), F.col("p.is_bracket").alias("is_bracket"))
+
+
+@query()
+def special_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens that need a reading of their own, with their places. A plain twin is in the tests."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", F.explode(tokens_of(F.col("text"))).alias("t")).select("doc_id", "t.token", "t.kind", "t.start", "t.end")
+
+
+def phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(key, said, cased): the words and word pairs of the benchmark; capitalised ones only as they stand."""
+    words = table(spark, sf_dir, "benchmark").select(F.regexp_extract_all("text", F.lit(r"(?U)\w+"), F.lit(0)).alias("w"))
+    pairs = F.transform(F.slice("w", 1, F.size("w") - 1), lambda x, i: F.concat_ws(" ", x, F.get("w", i + 1)))
+    keys = words.where(F.size("w") > 1).select(F.explode(F.concat("w", pairs)).alias("key")).where("char_length(key) > 4").distinct()
+    return keys.select("key", F.substring(F.md5("key"), 1, 6).alias("said"), F.col("key").rlike("^[A-Z]").alias("cased"))
+
+
+@query()
+def longest_replacement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dictionary of words and word pairs replaced in every text, leftmost and longest. A plain twin is in the tests."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return _digest(lexicon.replaced(docs, phrases(spark, sf_dir), "text", "out").select("doc_id", "out"))
+
+
+@query()
+def vietnamese_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From the written text to the one read aloud; acronyms and pairs stand in for a model's findings. A plain twin is in the tests."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    first = F.regexp_extract("text", "[a-z]{4,}", 0)
+    found = docs.withColumns({"acronyms": F.array_distinct(F.regexp_extract_all("text", F.lit(r"\b[A-Z]{2,4}\b"), F.lit(0))), "pairs": F.array(F.struct(first.alias("word"), F.upper(first).alias("said")))})
+    words = phrases(spark, sf_dir).where("not cased")
+    spelled = spark.createDataFrame([("AI",), ("TTS",), ("URL",)], "key string")
+    learned = words.select("said", F.concat("said", F.lit(" x")).alias("again")).toDF("key", "said")
+    return _digest(vietnamese.spoken(found, words, learned, spelled, "text", "out", "pairs", "acronyms", ABBREVIATED).select("doc_id", "out"))

@@ -5,6 +5,7 @@ import re
 import unicodedata
 
 from lexiloom.functions import normalizer, spell, text as X
+from lexiloom.functions.special_tokens import FAMILIES
 from lexiloom.plans.text import ABBREVIATED
 
 
@@ -197,11 +198,16 @@ def english(text):
 
 
 def cased(text):
-    s = re.sub(r"\s+([.,;:!?])", r"\1", text.lower())
+    return finished(text.lower())
+
+
+def finished(text):
+    s = re.sub(r"\s+([.,;:!?])", r"\1", text)
     s = re.sub(r"\.[,;:]+", ".", re.sub(r"[,;:]+\.", ".", s))
     s = re.sub(r"\.{2,}", ".", re.sub(",{2,}", ",", s))
     s = re.sub(r"\s{2,}", " ", re.sub(r"([.,;:!?])(?=[a-zA-ZÀ-ỹ【])", r"\1 ", s)).strip()
     s = s[:1].upper() + s[1:]
+    # a letter behind a sentence's end
     return re.sub(r"([.!?]\s+)([a-z])", lambda m: m[1] + m[2].upper(), s)
 
 
@@ -209,10 +215,96 @@ def doubled(text):
     return re.sub(r"(?<!,),(?!,)", ",,", re.sub(r"(?<!\.)\.(?!\.)", "..", text))
 
 
+def special_tokens(rows):
+    """Which characters a family covers, and the maximal runs of them."""
+    out = []
+    for r in rows:
+        text, cover = r["text"] or "", {}
+        for place, (kind, pattern) in enumerate(FAMILIES):
+            for m in pattern.finditer(text):
+                if kind != "expression" or re.search("[²³⁴⁰¹⁵⁶⁷⁸⁹√±∓×÷≠≈≡≤≥Δ∑∏=]", m[0]):
+                    for k in range(*m.span()):
+                        cover.setdefault(k, set()).add(place)
+        for k in sorted(cover):
+            if k - 1 in cover:
+                continue
+            stop = k
+            kinds = set()
+            while stop in cover:
+                kinds |= cover[stop]
+                stop += 1
+            out.append((r["doc_id"], stop, "+".join(FAMILIES[p][0] for p in sorted(kinds)), k, text[k:stop]))
+    return {"columns": ["doc_id", "end", "kind", "start", "token"], "rows": out}
+
+
+def word_at(text, k):
+    return 0 <= k < len(text) and (text[k].isalnum() or text[k] == "_")
+
+
+def longest(text, entries):
+    """At each place in turn, the longest entry that stands there as whole words; (key, said, cased)."""
+    cased = {k: s for k, s, c in entries if c}
+    plain = {k.lower(): s for k, s, c in entries if not c}
+    sizes = sorted({len(k) for k in (*cased, *plain)}, reverse=True)
+    low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+    out, at = [], 0
+    while at < len(text):
+        for n in sizes if word_at(text, at - 1) != word_at(text, at) else ():
+            if at + n <= len(text) and word_at(text, at + n - 1) != word_at(text, at + n):
+                said = cased.get(text[at : at + n], plain.get(low[at : at + n]))
+                if said is not None:
+                    out.append(said)
+                    at += n
+                    break
+        else:
+            out.append(text[at])
+            at += 1
+    return "".join(out)
+
+
+def phrase_entries():
+    import duckdb
+
+    keys = set()
+    for (text,) in duckdb.sql("select text from '/root/testdata/sf0.001/benchmark.parquet'").fetchall():
+        w = re.findall(r"\w+", text)
+        keys |= {k for k in [*w, *(f"{a} {b}" for a, b in zip(w, w[1:]))] if len(k) > 4 and len(w) > 1}
+    return [(k, hashlib.md5(k.encode()).hexdigest()[:6], bool(re.match("[A-Z]", k))) for k in sorted(keys)]
+
+
+def longest_replacement(rows):
+    entries = phrase_entries()
+    return _digest(rows, lambda t: longest(t, entries))
+
+
+def spelled(word):
+    return " ".join({**X.LETTERS, **X.DIGITS}[c] for c in word.upper())
+
+
+def vietnamese_text(rows):
+    words = [(k, s, False) for k, s, c in phrase_entries() if not c]
+    learned = [(s, f"{s} x", False) for _, s, _ in words]
+
+    def made(text):
+        said = re.sub(r"\.{2,}\s*", ". ", re.sub(r"\s+", " ", normalized(text)))
+        said = longest(longest(said, words), learned)
+        first = re.search("[a-z]{4,}", text)
+        own = [(first[0], first[0].upper(), False)] if first else []
+        own += [(a, f"【{spelled(a)}】,", True) for a in dict.fromkeys(re.findall(r"\b[A-Z]{2,4}\b", text, re.A))]
+        said = longest(said, own)
+        said = longest(said, [(a, f"【{spelled(a)}】", True) for a in ("AI", "TTS", "URL")])
+        return finished(said)
+
+    return _digest(rows, made)
+
+
 TWINS = {
     "normalize_full": ("documents", lambda rows: _digest(rows, normalized)),
     "native_normalize": ("documents", lambda rows: _digest(rows, native)),
     "spoken_claims": ("documents", spoken_claims),
+    "special_tokens": ("documents", special_tokens),
+    "longest_replacement": ("documents", longest_replacement),
+    "vietnamese_text": ("documents", vietnamese_text),
     "text_chunks": ("documents", text_chunks),
     "word_error_rate": ("conversations", word_error_rate),
     "normalize_english": ("documents", lambda rows: _digest([r for r in rows if r["lang"] == "en"], english)),
