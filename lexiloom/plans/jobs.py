@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from lexiloom.operators import jobs as J
 from lexiloom.plans.registry import query, table
 from lexiloom.streaming.jobs import latest_states, stream_job_states, stream_table, work_folder
+from lexiloom.streaming.queue import current_jobs, run_queue, write_progress
 
 _STATUS = "case event_type when 'signup' then 'queued' when 'view' then 'running' when 'click' then 'running' when 'purchase' then 'done' else 'error' end"
 _JOBS = f"e as (select event_id // 4 as job, ts, {_STATUS} as status from events)"
@@ -68,3 +69,42 @@ def stream_job_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream_job_states(jobs, out, work_folder(spark, "stream"))
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     return latest_states(spark, out).select("job", "status", micros("created_at").alias("created_us"), micros("finished_at").alias("finished_us"))
+
+
+_QUEUE = """
+with recursive e as (
+  select event_id, epoch_ms(ts) as t0, event_type, value from events
+), c as (
+  select event_id - 2 as job, min(t0) as stop from e where event_type = 'error' group by 1
+), j as (
+  select (event_id // 64) % 4 as pool, event_id as job, t0, floor(value * 48000)::bigint as takes, coalesce(stop, 1::bigint << 61) as stop,
+         row_number() over (partition by (event_id // 64) % 4 order by t0, event_id) as k
+  from e left join c on c.job = e.event_id where event_type in ('signup', 'view')
+), r as (
+  select distinct pool, 0::bigint as k, 0::bigint as job, 0::bigint as t0, 0::bigint as stop, 0::bigint as start, 0::bigint as finish, 0::bigint as a, 0::bigint as b from j
+  union all
+  select pool, k, job, t0, stop, start, start + takes,
+         case when stop <= start or a > b then a else least(start + takes, stop) end,
+         case when stop <= start or a <= b then b else least(start + takes, stop) end
+  from (select j.*, r.a, r.b, greatest(j.t0, least(r.a, r.b)) as start from r join j on j.pool = r.pool and j.k = r.k + 1)
+), u as (
+  select max(epoch_ms(ts)) - 1 as until from events where event_type in ('signup', 'view', 'error')
+)
+select pool, job,
+       case when stop <= start and greatest(t0, stop) <= until then 'cancelled' when start > until then 'queued' when stop <= start then 'queued'
+            when finish <= stop and finish <= until then 'done' when stop < finish and stop <= until then 'cancelled' else 'running' end as status
+from r, u where k > 0
+"""
+
+
+@query(_QUEUE)
+def job_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each job's state after all events, from two streams in one stateful operator: four pools of two slots each."""
+    events = lambda: stream_table(spark, sf_dir, "events")
+    pool = lambda job: F.floor(job / 64) % 4
+    job = F.col("event_id")
+    submitted = events().where(F.col("event_type").isin("signup", "view")).select(pool(job).alias("pool"), job.alias("job"), "ts", F.floor(F.col("value") * 48000).alias("takes_ms"))
+    stopped = events().where("event_type = 'error'").select(pool(job - 2).alias("pool"), (job - 2).alias("job"), "ts")
+    out = work_folder(spark, "job-queue")
+    write_progress(run_queue(submitted, stopped), out, work_folder(spark, "queue"))
+    return current_jobs(spark, out).select("pool", "job", "status")
