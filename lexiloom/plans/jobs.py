@@ -108,3 +108,42 @@ def job_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = work_folder(spark, "job-queue")
     write_progress(run_queue(submitted, stopped), out, work_folder(spark, "queue"))
     return current_jobs(spark, out).select("pool", "job", "status")
+
+
+_FILES = "f as (select 'results/' || (event_id // 3) || case event_id % 5 when 0 then '.wav' when 1 then '.mp3' when 2 then '.txt' when 3 then '.mp3' else '.wav.part' end as path, ts as modified from events)"
+
+
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A listing: each event is a file of a job's result, written at its time."""
+    suffix = F.element_at(F.array(*map(F.lit, (".wav", ".mp3", ".txt", ".mp3", ".wav.part"))), (F.col("event_id") % 5 + 1).cast("int"))
+    return table(spark, sf_dir, "events").select(F.concat(F.lit("results/"), F.floor(F.col("event_id") / 3).cast("string"), suffix).alias("path"), F.col("ts").alias("modified"))
+
+
+@query(
+    f"""
+    with {_FILES}, m as (select max(ts) as now from events)
+    select path, regexp_extract(path, '/(.+)\\.(wav|mp3)$', 1) as job, epoch_us(modified) as modified_us, epoch_us(now) - epoch_us(modified) > 7::bigint * 86400000000 as deleted
+    from f, m where regexp_matches(path, '\\.(wav|mp3)$')
+    """
+)
+def disk_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which results a clean-up at the last event's time would delete, after seven days."""
+    now = table(spark, sf_dir, "events").agg(F.max("ts").cast("timestamp").alias("now")).first().now
+    plan = J.deletion_plan(_files(spark, sf_dir), F.lit(now), 7)
+    return plan.select("path", "job", F.unix_micros(F.col("modified").cast("timestamp")).alias("modified_us"), "deleted")
+
+
+@query(
+    f"""
+    with {_FILES}, {_JOBS}, s as (select job, coalesce(arg_min(status, (ts, status)) filter (status in ('done', 'error')), arg_max(status, (ts, status))) as status, min(ts) as a, min(ts) filter (status in ('done', 'error')) as b from e group by 1),
+    r as (select regexp_extract(path, '/(.+)\\.(wav|mp3)$', 1) as job, path, modified, path like '%.wav' as w from f where regexp_matches(path, '\\.(wav|mp3)$')),
+    l as (select job, arg_max(path, (w, modified, path)) as path, arg_max(modified, (w, modified, path)) as modified from r group by 1)
+    select job::varchar as job, status, epoch_us(a) as created_us, epoch_us(b) as finished_us, null::varchar as path from s where job % 2 = 0
+    union all select job, 'done', null, epoch_us(modified), path from l where job not in (select job::varchar from s where job % 2 = 0)
+    """
+)
+def restored_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every other job is lost and comes back from its file, if it has one."""
+    jobs = _states(spark, sf_dir).where("job % 2 = 0")
+    micros = lambda c: F.unix_micros(F.col(c)).alias(c.replace("_at", "_us"))
+    return J.restored(jobs, _files(spark, sf_dir)).select("job", "status", micros("created_at"), micros("finished_at"), "path")

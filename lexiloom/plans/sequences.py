@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
-from lexiloom.operators import sequences as S
+from lexiloom.operators import intervals as I, sequences as S
 from lexiloom.plans.registry import query, table
 
 
@@ -200,3 +200,28 @@ def cross_fade(spark: SparkSession, sf_dir: str) -> DataFrame:
     faded = even.join(odd, "vec_id").select("vec_id", S.cross_fade(F.col("x"), F.col("y"), 8).alias("f"))
     middle = F.transform(F.slice("f", F.lit(57), F.lit(8)), lambda v, i: v * (i + 1))
     return faded.select("vec_id", F.size("f").alias("n"), F.round(F.aggregate(middle, F.lit(0.0), lambda a, v: a + v), 5).alias("weighted"))
+
+
+@query(
+    """
+    with e as (select user_id as audio, event_id % 5 as speaker, floor(epoch(ts))::bigint - 1704067200 as start, value from events where user_id % 7 <> 3 or event_id % 5 <> 1),
+    t as (select audio, speaker, start, start + value * 30 as stop from e where speaker in (0, 1)),
+    c as (select audio, k.range as chunk, k.range * 100000 as o, 100000 - 5000 * (k.range % 2) as n from (select distinct user_id as audio from events), range(27) k),
+    b as (select audio from t group by 1 having count(distinct speaker) = 2),
+    s as (select audio, speaker, start as a, floor(stop)::bigint as z from t join b using (audio)),
+    m as (
+      select s.audio, s.speaker, a, z, chunk, o, greatest(a, o) as lo, least(z, o + n) as hi from s join c on s.audio = c.audio and a < o + n and o < z
+      union all select audio, speaker, 0, o + n, chunk, o, o, o + n from c anti join b using (audio), (values (0), (1)) v(speaker)
+    )
+    select audio, speaker::int as speaker, row_number() over (partition by audio, speaker order by a, z, lo, chunk)::int as place, chunk, lo - o as first, hi - o as last from m where lo < hi
+    """
+)
+def diarization_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's events are turns of an audio of a month, one sample a second, that is stored in chunks with gaps."""
+    events = table(spark, sf_dir, "events").where("user_id % 7 <> 3 or event_id % 5 <> 1")
+    start = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000) - 1_704_067_200
+    turns = events.select(F.col("user_id").alias("audio"), (F.col("event_id") % 5).alias("speaker"), start.alias("start"), (start + F.col("value") * 30).alias("end"))
+    audios = table(spark, sf_dir, "events").select(F.col("user_id").alias("audio")).distinct()
+    k = F.col("chunk")
+    chunks = audios.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(26).cast("long")))).select("audio", "chunk", (k * 100_000).alias("offset"), (100_000 - 5000 * (k % 2)).alias("samples"))
+    return I.speaker_slices(turns, chunks, width=50_000)

@@ -298,6 +298,13 @@ def vietnamese_text(rows):
     return _digest(rows, made)
 
 
+def moment_eigenvalues(rows):
+    import numpy as np
+
+    x = np.array([r["embedding"] for r in rows], float)
+    return {"columns": ["k", "value"], "rows": [(k, round(float(v), 6)) for k, v in enumerate(np.linalg.eigvalsh(x.T @ x / len(x))[::-1])]}
+
+
 TWINS = {
     "normalize_full": ("documents", lambda rows: _digest(rows, normalized)),
     "native_normalize": ("documents", lambda rows: _digest(rows, native)),
@@ -305,6 +312,7 @@ TWINS = {
     "special_tokens": ("documents", special_tokens),
     "longest_replacement": ("documents", longest_replacement),
     "vietnamese_text": ("documents", vietnamese_text),
+    "moment_eigenvalues": ("embeddings", moment_eigenvalues),
     "text_chunks": ("documents", text_chunks),
     "word_error_rate": ("conversations", word_error_rate),
     "normalize_english": ("documents", lambda rows: _digest([r for r in rows if r["lang"] == "en"], english)),
