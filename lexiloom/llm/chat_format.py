@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from lexiloom.llm.common import free_names
+
 #: Marks of a turn (fixed values of the template), and the role whose words count.
 BEGIN, END, ROLE = "<|im_start|>", "<|im_end|>", "assistant"
 #: A mark's opening inside a text is parted, so that no text can forge a turn.
@@ -62,13 +64,15 @@ def format_preferences(pairs: DataFrame) -> DataFrame:
     """``pairs`` (chosen, rejected: arrays of (role, text)) with prompt, completions and masks instead.
 
     New columns: n_prompt_turns, prompt, chosen, rejected, chosen_mask, rejected_mask; the
-    others stay.
+    others stay. A further column that has the name of a new one gets underscores before it.
 
     Defined cases: null roles, texts and conversations are empty; of equal conversations all is
     prompt and both completions are empty; where one conversation begins the other, its
     completion is empty; an empty table gives no rows.
     """
     empty = F.array().cast("array<struct<role:string,text:string>>")
+    clash = [c for c in pairs.columns if c.lower() in ("n_prompt_turns", "prompt", "chosen_mask", "rejected_mask")]
+    pairs = pairs.withColumnsRenamed(dict(zip(clash, free_names(pairs, *clash))))
     whole = pairs.withColumns({c: F.coalesce(turns_of(F.col(c)), empty) for c in ("chosen", "rejected")})
     whole = whole.withColumn("n_prompt_turns", common_turns(F.col("chosen"), F.col("rejected")))
     rest = lambda c: F.slice(c, F.col("n_prompt_turns") + 1, F.greatest(F.size(c) - F.col("n_prompt_turns"), F.lit(0)))

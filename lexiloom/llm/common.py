@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -31,9 +34,26 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_SCOPES = threading.local()
+
+
 def new_folder(spark: SparkSession, kind: str) -> str:
-    """A folder of its own below the shared one, as a URI."""
-    return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    """A folder of its own below the shared one, as a URI; it goes with the innermost ``scoped`` block of this thread."""
+    folder = f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    if open_ := getattr(_SCOPES, "open", None):
+        open_[-1].append(folder)
+    return folder
+
+
+@contextmanager
+def scoped(spark: SparkSession) -> Iterator[None]:
+    """Removes, at its end, the folders that are named inside it; what is read from them must be written by then."""
+    _SCOPES.open = [*getattr(_SCOPES, "open", []), []]
+    try:
+        yield
+    finally:
+        for folder in _SCOPES.open.pop():
+            remove_folder(spark, folder)
 
 
 def remove_folder(spark: SparkSession, folder: str) -> None:
@@ -52,10 +72,10 @@ def cut(df: DataFrame) -> DataFrame:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def kept(df: DataFrame, kind: str) -> DataFrame:
-    """``df`` written to the shared folder, as columns, and read again; its shuffle files go with the write."""
+def kept(df: DataFrame, kind: str, folder: str | None = None) -> DataFrame:
+    """``df`` written to the shared folder (or to ``folder``), as columns, and read again; its shuffle files go with the write."""
     spark = df.sparkSession
-    folder = new_folder(spark, kind)
+    folder = folder or new_folder(spark, kind)
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
@@ -88,12 +108,12 @@ def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col:
     return marked.join(gone.distinct().toDF(a, b), [a, b], "left_anti").drop(a, b)
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (a, b: long) as (node, component), component the smallest node.
 
     Alternates large-star and small-star steps (Kiverstein and others, 2014): every step is
     a grouped minimum and a join, so no component meets in one task and the number of steps
-    grows with the logarithm of the longest path. Null ends and loops are left out. An empty
+    grows with the logarithm of the longest path; it goes on until nothing changes. Null ends and loops are left out. An empty
     input gives no rows. Nodes without an edge do not appear.
     """
     edges = edges.select(F.col("a").cast("long"), F.col("b").cast("long"))
@@ -106,7 +126,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         return now.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
     state_of = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
     before = state_of(now)
-    for _ in range(rounds):
+    while True:
         # large star: each node hands its larger neighbours to the smallest of its neighbourhood
         both = now.union(now.select(F.col("lo").alias("hi"), F.col("hi").alias("lo")))
         least = both.groupBy(F.col("hi").alias("n")).agg(F.least(F.min("lo"), F.col("n")).alias("m"))
@@ -122,7 +142,5 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if state == before:
             break
         before = state
-    else:
-        raise RuntimeError("components did not settle")
     # a settled graph is a star around each component's smallest node
     return now.select(F.col("hi").alias("node"), F.col("lo").alias("component")).union(now.select("lo", "lo").distinct())

@@ -24,7 +24,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lexiloom.llm.common import components, kept
+from lexiloom.llm.common import components, kept, new_folder, scoped
 from lexiloom.llm.simhash import forest
 
 THRESHOLD = 0.9
@@ -321,7 +321,9 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     fit = rows.where(usable(F.col("v")))
     # -0.0 and 0.0 are one key here, as in any grouping
     nodes = kept(fit.groupBy("v").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies")).withColumn("node", F.monotonically_increasing_id()), "vectors")
-    found = kept(links(nodes, threshold), "links")
+    folder = new_folder(vectors.sparkSession, "links")
+    with scoped(vectors.sparkSession):
+        found = kept(links(nodes, threshold), "links", folder)
     counts = found.groupBy("node").agg(F.sum("n").alias("n"))
     joined = components(found.where("root >= 0").select(F.col("node").alias("a"), F.col("root").alias("b")))
     known = nodes.join(counts, "node", "left").join(joined, "node", "left").select("v", "least", "copies", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("component", "node").alias("component"))

@@ -430,3 +430,28 @@ def test_secrets_find_and_keep_base_spans(spark, odd, none):
     assert "crf:" in got[1000].spans and got[1001].spans == ""
     assert secret_scan.find_secrets(odd, field).count() == len(ODD) and secret_scan.find_secrets(none, field).count() == 0
     assert secret_scan.find_secrets(odd, secret_scan.train(none)).count() == len(ODD)
+
+
+def test_preferences_keep_clashing_columns(spark):
+    turn = "array<struct<role:string,text:string>>"
+    pairs = spark.createDataFrame([(1, [("user", "a")], [("user", "b")], "mine", "own", "too")], f"id int, chosen {turn}, rejected {turn}, prompt string, Chosen_Mask string, _prompt string")
+    got = chat_format.format_preferences(pairs)
+    row = got.first().asDict()
+    assert row["__prompt"] == "mine" and row["_Chosen_Mask"] == "own" and row["_prompt"] == "too" and row["prompt"] == ""
+
+
+def test_components_of_a_long_path_settle(spark):
+    n = 1 << 14
+    edges = spark.range(n - 1).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    assert components(edges).agg(F.count("*"), F.max("component"), F.count_distinct("node")).first() == (n, 0, n)
+
+
+def test_folders_of_a_scope_go_with_it(spark):
+    from lexiloom.llm.common import kept, scoped
+
+    shared = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = set(os.listdir(shared))
+    folder = new_folder(spark, "stays")
+    with scoped(spark):
+        out = kept(kept(spark.range(3), "inner"), "outer", folder)
+    assert out.count() == 3 and set(os.listdir(shared)) - before == {folder.rpartition("/")[2]}
