@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lexiloom.llm import simhash_similar, toxicity
-from lexiloom.llm.common import new_folder, remove_folder, table
+from lexiloom.llm.common import new_folder, remove_folder, scoped, table
 from lexiloom.llm.decontaminate import drop_contaminated
 from lexiloom.llm.exact_dedup import drop_exact_duplicates
 from lexiloom.llm.sentencepiece_dropout import Pieces, encode_texts
@@ -58,14 +58,15 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written to the shared folder before the next.
 
-    A stage's folder goes when the next one is written. Rows with null or repeated ids pass as
+    A stage's folder goes when the next one is written, what it keeps meanwhile when its own is. Rows with null or repeated ids pass as
     rows of their own, and further columns pass through to the last stage; an empty table
     gives no rows.
     """
     docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         folder = new_folder(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(folder)
+        with scoped(spark):
+            stage(spark, docs, sf_dir).write.parquet(folder)
         docs = spark.read.parquet(folder)
         if before:
             remove_folder(spark, before)
