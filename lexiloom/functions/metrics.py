@@ -72,13 +72,15 @@ def speakers(dialogue: Column) -> Column:
     return F.array(of(0), of(1))
 
 
-def cp_word_errors(reference: Column, hypothesis: Column) -> Column:
+def cp_word_errors(reference: Column, hypothesis: Column, clean: Callable[[Column], Column] | None = None) -> Column:
     """Of two dialogues of two speakers: struct of errors, words, swapped, reference and hypothesis.
 
     The hypothesis' speakers are taken in the order with fewer word errors, a tie as
     swapped. ``words`` counts as the marked reference is split at single spaces; the two
     texts are joined speaker after speaker, for ``word_errors`` to tell the kinds of errors.
+    ``clean`` is done to what each speaker says, before the orders are compared.
     """
+    of = lambda d: F.transform(speakers(d), clean) if clean else speakers(d)
 
     def counted(said: Column) -> Column:
         r = said["r"]
@@ -97,7 +99,7 @@ def cp_word_errors(reference: Column, hypothesis: Column) -> Column:
 
         return _once(F.array(word_distance(whole, straight), word_distance(whole, crossed)), better)
 
-    return _once(F.struct(speakers(reference).alias("r"), speakers(hypothesis).alias("h")), counted)
+    return _once(F.struct(of(reference).alias("r"), of(hypothesis).alias("h")), counted)
 
 
 def best_permutation(straight: Column, crossed: Column) -> Column:

@@ -110,6 +110,41 @@ def next_fit(sizes: Column, cap: int, blank: Column | None = None) -> Column:
     return fold_some(sizes, blank)
 
 
+def batchify(sizes: Column, cap: float, token_cost: float, row_cost: float) -> Column:
+    """Batch numbers of sequences in order: what a batch holds costs by token and by row, and the next one's tokens must fit beside it."""
+
+    def fold(own: list[int]) -> list[int]:
+        out, batch, tokens, rows = [], 0, 0, 0
+        for n in own:
+            if rows and tokens * token_cost + rows * row_cost + n * token_cost > cap:
+                batch, tokens, rows = batch + 1, 0, 0
+            tokens, rows = tokens + n, rows + 1
+            out.append(batch)
+        return out
+
+    @F.pandas_udf("array<int>")
+    def run(arrays: pd.Series) -> pd.Series:
+        return arrays.map(lambda a: None if a is None else fold(list(a)))
+
+    return run(sizes)
+
+
+def merged_rows(parts: DataFrame, group: str, place: str, text: str, is_run: str, taken_in: int) -> DataFrame:
+    """(group, place, text, is_run): rows of a group in order, with a text of at most ``taken_in`` words between two runs taken in by them, and neighbouring texts made one.
+
+    The windows hold one group's rows (a document's segments).
+    """
+    by = Window.partitionBy(group).orderBy(place)
+    run, words = F.col(is_run), F.size(F.split(F.trim(F.col(text)), r"\s+"))
+    seen = parts.withColumns({"_before": F.coalesce(F.lag(is_run).over(by), F.lit(False)), "_after": F.coalesce(F.lead(is_run).over(by), F.lit(False)), "_first": F.lag(is_run).over(by).isNull()})
+    short = seen.withColumn("_short", ~run & F.col("_before") & F.col("_after") & (words <= taken_in))
+    joined = F.col("_short") | (run & F.coalesce(F.lag("_short").over(by), F.lit(False))) | (~run & ~F.col("_before") & ~F.col("_first"))
+    grouped = short.withColumn("_joined", joined).withColumn("_n", F.sum(F.when(F.col("_joined"), 0).otherwise(1)).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    ordered = F.array_sort(F.collect_list(F.struct(F.col(place).alias("p"), F.col(text).alias("t"))))
+    made = grouped.groupBy(group, "_n").agg(F.array_join(F.transform(ordered, lambda s: s["t"]), " ").alias(text), F.min_by(is_run, place).alias(is_run))
+    return made.select(group, (F.col("_n") - 1).cast("int").alias(place), text, is_run)
+
+
 def sentences(text: Column) -> Column:
     """Parts that end after sentence punctuation and the white space behind it."""
     return F.regexp_extract_all(text, F.lit(r"[^.!?]*[.!?]+\s*|[^.!?]+$"), F.lit(0))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
-from lexiloom.functions import arrays as X, metrics as M
+from lexiloom.functions import arrays as X, metrics as M, text as T
 from lexiloom.operators import aggregates as A
 from lexiloom.plans.registry import query, table
 
@@ -98,6 +98,33 @@ def cp_corpus_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _dialogues(spark, sf_dir).agg(F.round(errors / words * 100, 2).alias("rate"), errors.alias("errors"), words.alias("words"))
 
 
+def _kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two turns as a dialogue of at most 1,500 characters, with asides and marks; its hypothesis lacks some words, has others changed, and every other one has the speakers swapped."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("r"))
+    after = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("r").alias("h"))
+    pairs = turns.join(after, ["conv_id", "turn"]).where("turn % 2 = 0 and char_length(r) + char_length(h) <= 1500")
+    heard = lambda c: F.regexp_replace(F.regexp_replace(c, r"(?U)\b[a-z]{4}\b", ""), r"(?U)\b([a-z])([a-z]{6})\b", "$2$1 $1")
+    marked = lambda a, b: F.concat(F.lit("[S1] (laughs) "), a, F.lit(" [S2] <noise> "), b)
+    said = F.when(F.col("conv_id") % 2 == 0, marked(heard("r"), heard("h"))).otherwise(marked(heard("h"), heard("r")))
+    rows = pairs.select("conv_id", "turn", M.cp_word_errors(marked(F.col("r"), F.col("h")), said, T.clean_for_dialog).alias("e"))
+    return rows.withColumn("k", M.word_errors(F.col("e.reference"), F.col("e.hypothesis")))
+
+
+@query()
+def cp_error_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kinds of errors under the better order of speakers, after each speaker's words are cleaned. A plain twin is in the tests."""
+    rows = _kinds(spark, sf_dir)
+    return rows.select("conv_id", "turn", F.col("e.swapped").alias("swapped"), F.col("e.words").alias("words"), "k.substitutions", "k.deletions", "k.insertions")
+
+
+@query()
+def cp_error_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus' rate and its kinds of errors. A plain twin is in the tests."""
+    kinds = ("substitutions", "deletions", "insertions")
+    totals = _kinds(spark, sf_dir).agg(*(F.sum(f"k.{k}").alias(k) for k in kinds), F.sum("e.words").cast("long").alias("words"))
+    return totals.withColumn("rate", F.round(sum(F.col(k) for k in kinds) / F.col("words") * 100, 2))
+
+
 @query(f"with {_VECS}, r as (select vec_id, x, sqrt(list_sum(list_transform(x, lambda v: v * v)) / 64) as l from v) select vec_id, round(l, 6) as level, round(sqrt(list_sum(list_transform(x, lambda v: pow(v * case when l < 0.125 then 0.125 / l else 1 end, 2))) / 64), 6) as raised, round(list_max(list_transform(x, lambda v: v * case when l < 0.125 then 0.125 / l else 1 end)), 6) as peak from r")
 def rms_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = _vecs(spark, sf_dir).select("vec_id", X.rms(F.col("x")).alias("level"), X.raise_level(F.col("x"), 0.125).alias("y"))

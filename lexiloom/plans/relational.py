@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 from lexiloom.operators import relational as R
+from lexiloom.operators.requests import answered
 from lexiloom.plans.registry import query, table
+from lexiloom.streaming.jobs import work_folder
 
 _BLANK = R.BLANK
 
@@ -71,12 +73,12 @@ def vocab_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """
     select doc_id, lang, w::double as weight, round(-ln((('0x' || substr(md5(doc_id::varchar), 1, 8))::ubigint + 1) / 4294967297.0) / w, 6) as mix_key
-    from documents join (values ('en', 0.5), ('de', 0.3), ('fr', 0.2)) as v(lang, w) using (lang)
+    from documents join (values ('en', 0.4), ('de', 0.3), ('fr', 0.2), ('es', 0.1)) as v(lang, w) using (lang)
     """
 )
 def mux_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
-    parts = [(docs.where(F.col("lang") == k).withColumn("weight", F.lit(w)), w) for k, w in (("en", 0.5), ("de", 0.3), ("fr", 0.2))]
+    parts = [(docs.where(F.col("lang") == k).withColumn("weight", F.lit(w)), w) for k, w in (("en", 0.4), ("de", 0.3), ("fr", 0.2), ("es", 0.1))]
     return R.weighted_mix(parts, "doc_id").withColumn("mix_key", F.round("mix_key", 6))
 
 
@@ -177,3 +179,42 @@ def speakable_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 def batches_of_thirty(spark: SparkSession, sf_dir: str) -> DataFrame:
     batches = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(R.fixed_batches(F.split("text", " "))).alias("batch", "w"))
     return batches.select("doc_id", "batch", F.size("w").cast("long").alias("n_words"), F.md5(F.array_join("w", " ")).alias("words_md5"))
+
+
+_TOKENS = (
+    "w as (select doc_id, unnest(string_split_regex(trim(regexp_replace(text, '[^a-z]+', ' ', 'g')), ' ')) as token, generate_subscripts(string_split_regex(trim(regexp_replace(text, '[^a-z]+', ' ', 'g')), ' '), 1) as pos from documents), "
+    "v as (select token, row_number() over (order by count(*) desc, token) - 1 as id from w where token <> '' group by 1 having count(*) >= 20)"
+)
+
+
+@query(f"with {_TOKENS}, i as (select doc_id, count(*) as n, md5(string_agg(id::varchar, ',' order by pos)) as h from w join v using (token) group by 1) select doc_id, coalesce(n, 0) as n_ids, coalesce(h, md5('')) as ids_md5 from documents left join i using (doc_id)")
+def token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's words as ids in their order; the inventory holds words that occur at least 20 times."""
+    bare = F.trim(F.regexp_replace("text", "[^a-z]+", " "))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.split(bare, " ").alias("tokens"))
+    counts = docs.select(F.explode("tokens").alias("token")).where("token <> ''").groupBy("token").agg(F.count("*").alias("n")).where("n >= 20")
+    vocab = counts.select("token", (F.row_number().over(Window.orderBy(F.desc("n"), "token")) - 1).cast("int").alias("id"))
+    made = R.lookup_ids(docs, "tokens", vocab)
+    return made.select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.md5(F.array_join("ids", ",")).alias("ids_md5"))
+
+
+def shouting(prompt: str) -> str:
+    """A stand-in for a model: each token in upper case; nothing for those of five letters, far too much for those of seven."""
+    said = lambda t: "" if len(t) == 5 else t * 11 if len(t) == 7 else t.upper()
+    return "\n".join(f"[{k}] {said(line.split('] ', 1)[1])}" for k, line in enumerate(prompt.split("\n")))
+
+
+@query(
+    """
+    with w as (select doc_id, unnest(regexp_extract_all(substr(text, 1, length(text)), '[a-z]+')) as token from documents),
+    n as (select doc_id, token, count(*) as n from w group by 1, 2)
+    select doc_id, token, n, case when length(token) in (5, 7) then token else upper(token) end as said from n
+    """
+)
+def request_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's words, asked for once each, in two batches that share a cache."""
+    each = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[a-z]+"), F.lit(0))).alias("token"))
+    words = each.groupBy("doc_id", "token").agg(F.count("*").alias("n"))
+    folder = work_folder(spark, "answers")
+    halves = [answered(words.where(F.col("doc_id") % 2 == k), folder, k, shouting, batch=200) for k in (0, 1)]
+    return halves[0].unionByName(halves[1]).select("doc_id", "token", "n", "said")

@@ -127,6 +127,26 @@ def next_fit_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.select("shard", F.posexplode(zipped).alias("place", "s")).select("s.doc_id", "shard", "s.batch", "place")
 
 
+@query(
+    """
+    with recursive s as (
+      select doc_id // 128 as shard, list(n_chars order by n_chars, doc_id) as n, list(doc_id order by n_chars, doc_id) as d from documents group by 1
+    ), f as (
+      select shard, n, d, 1 as k, 0 as batch, n[1] as filled, 1 as rows_in from s
+      union all
+      select shard, n, d, k + 1, case when full_ then batch + 1 else batch end, case when full_ then n[k + 1] else filled + n[k + 1] end, case when full_ then 1 else rows_in + 1 end
+      from (select *, filled * 0.25 + rows_in * 50.0 + n[k + 1] * 0.25 > 4000 as full_ from f where k < len(n))
+    )
+    select d[k] as doc_id, shard, batch, k - 1 as place from f
+    """
+)
+def prompt_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``next_fit_batches``, where each row of a batch also costs its prompt."""
+    shards = table(spark, sf_dir, "documents").groupBy(F.floor(F.col("doc_id") / 128).alias("shard")).agg(F.array_sort(F.collect_list(F.struct("n_chars", "doc_id"))).alias("d"))
+    zipped = F.arrays_zip(F.transform("d", lambda s: s["doc_id"]).alias("doc_id"), S.batchify(F.transform("d", lambda s: s["n_chars"]), 4000.0, 0.25, 50.0).alias("batch"))
+    return shards.select("shard", F.posexplode(zipped).alias("place", "s")).select("s.doc_id", "shard", "s.batch", "place")
+
+
 @query("select l_orderkey, l_linenumber, l_partkey, l_suppkey, round(sum(l_quantity) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity rows unbounded preceding) / sum(l_quantity) over (partition by l_orderkey), 6) as done from lineitem")
 def progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     by = Window.partitionBy("l_orderkey")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lexiloom.functions import lexicon, normalizer, spell as N, text as X
 from lexiloom.functions.special_tokens import special_tokens as tokens_of
-from lexiloom.operators import vietnamese
+from lexiloom.operators import sequences as S, vietnamese
 from lexiloom.operators.jobs import voice_gender, voice_region
 from lexiloom.operators.relational import spread
 from lexiloom.plans.registry import query, table
@@ -198,13 +198,14 @@ def bracket_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     "select doc_id, n::int - 1 as place, string_agg(s, ' ' order by place) as segment, arg_min(b, place) as is_bracket from j group by doc_id, n"
 )
 def segment_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _segments(spark, sf_dir, X.merged_segments(F.col("s")))
+    """A row for each segment, and windows within a document."""
+    return S.merged_rows(_segments(spark, sf_dir, F.col("s")), "doc_id", "place", "segment", "is_bracket", X.TAKEN_IN)
 
 
 def _segments(spark: SparkSession, sf_dir: str, made: Column) -> DataFrame:
     """Twice, as neighbouring words share a blank."""
     mark = lambda c: F.regexp_replace(c, " ([a-z]{2,3})([ ,.])", " 【$1】$2")
-    docs = table(spark, sf_dir, "documents").withColumn("t", mark(mark("text")))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumn("t", mark(mark("text")))
     parts = docs.withColumn("s", X.marked_segments(F.col("t"))).select("doc_id", F.posexplode(made).alias("place", "p"))
     return parts.select("doc_id", "place", F.col("p.text").alias("segment"), F.col("p.is_bracket").alias("is_bracket"))
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import string
 import unicodedata
 
 from lexiloom.functions import normalizer, spell, text as X
@@ -305,6 +306,44 @@ def moment_eigenvalues(rows):
     return {"columns": ["k", "value"], "rows": [(k, round(float(v), 6)) for k, v in enumerate(np.linalg.eigvalsh(x.T @ x / len(x))[::-1])]}
 
 
+def _cleaned(text):
+    text = re.sub(r"\[.*?\]|<.*?>|\(.*?\)", "", text)
+    return re.sub(r"\s+", " ", "".join(c for c in text if c == "'" or c not in string.punctuation)).strip().lower()
+
+
+def _two_speakers(dialogue):
+    parts = [p.strip() for p in re.split(r"\[S[1-9]\]", dialogue)]
+    return [_cleaned(" ".join(parts[::2])), _cleaned(" ".join(parts[1::2]))]
+
+
+def _cp_rows(rows):
+    by = {(r["conv_id"], r["turn"]): r["text"] for r in rows}
+    heard = lambda t: re.sub(r"\b([a-z])([a-z]{6})\b", r"\2\1 \1", re.sub(r"\b[a-z]{4}\b", "", t))
+    marked = lambda a, b: f"[S1] (laughs) {a} [S2] <noise> {b}"
+    for (conv, turn), r in sorted(by.items()):
+        h = by.get((conv, turn + 1))
+        if turn % 2 or h is None or len(r) + len(h) > 1500:
+            continue
+        truth = _two_speakers(marked(r, h))
+        said = _two_speakers(marked(heard(r), heard(h)) if conv % 2 == 0 else marked(heard(h), heard(r)))
+        words = lambda a, b: f"{a} {b}".split()
+        straight, crossed = edits(words(*truth), words(*said)), edits(words(*truth), words(*said[::-1]))
+        swapped = not sum(straight) < sum(crossed)
+        n = len(re.sub(r"\s+", " ", f"[S1] {truth[0]} [S2] {truth[1]}").split(" ")) - 2
+        yield conv, turn, swapped, n, crossed if swapped else straight
+
+
+def cp_error_kinds(rows):
+    return {"columns": ["conv_id", "deletions", "insertions", "substitutions", "swapped", "turn", "words"], "rows": [(c, d, i, s, w, t, n) for c, t, w, n, (s, d, i) in _cp_rows(rows)]}
+
+
+def cp_error_totals(rows):
+    own = list(_cp_rows(rows))
+    s, d, i = (sum(k[j] for *_, k in own) for j in range(3))
+    n = sum(r[3] for r in own)
+    return {"columns": ["deletions", "insertions", "rate", "substitutions", "words"], "rows": [(d, i, round((s + d + i) / n * 100, 2), s, n)]}
+
+
 TWINS = {
     "normalize_full": ("documents", lambda rows: _digest(rows, normalized)),
     "native_normalize": ("documents", lambda rows: _digest(rows, native)),
@@ -313,6 +352,8 @@ TWINS = {
     "longest_replacement": ("documents", longest_replacement),
     "vietnamese_text": ("documents", vietnamese_text),
     "moment_eigenvalues": ("embeddings", moment_eigenvalues),
+    "cp_error_kinds": ("conversations", cp_error_kinds),
+    "cp_error_totals": ("conversations", cp_error_totals),
     "text_chunks": ("documents", text_chunks),
     "word_error_rate": ("conversations", word_error_rate),
     "normalize_english": ("documents", lambda rows: _digest([r for r in rows if r["lang"] == "en"], english)),
