@@ -4,27 +4,37 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F
 
 
 def edit_counts(reference: list[str], hypothesis: list[str]) -> tuple[int, int, int]:
-    """(substitutions, deletions, insertions) of a shortest alignment; ties prefer a substitution, then a deletion."""
-    row = [(k, 0, 0, k) for k in range(len(hypothesis) + 1)]
-    for i, r in enumerate(reference, 1):
-        now = [(i, 0, i, 0)]
-        for j, h in enumerate(hypothesis, 1):
-            cost, s, d, n = row[j - 1]
-            if r == h:
-                now.append((cost, s, d, n))
-                continue
-            sub = (cost + 1, 0, (s + 1, d, n))
-            dele = (row[j][0] + 1, 1, (row[j][1], row[j][2] + 1, row[j][3]))
-            ins = (now[-1][0] + 1, 2, (now[-1][1], now[-1][2], now[-1][3] + 1))
-            best = min(sub, dele, ins)
-            now.append((best[0], *best[2]))
-        row = now
-    return row[-1][1:]
+    """(substitutions, deletions, insertions) of a shortest alignment; ties prefer a substitution, then a deletion.
+
+    A row of the table of costs is one vector step: insertions are a running minimum of what
+    stands before them. The alignment is read back from the end.
+    """
+    codes: dict[str, int] = {}
+    r, h = (np.array([codes.setdefault(w, len(codes)) for w in words], np.int64) for words in (reference, hypothesis))
+    places = np.arange(len(h) + 1)
+    cost = np.empty((len(r) + 1, len(h) + 1), np.int32)
+    cost[0] = places
+    for i in range(1, len(r) + 1):
+        above = cost[i - 1] + 1
+        above[1:] = np.minimum(above[1:], cost[i - 1, :-1] + (h != r[i - 1]))
+        cost[i] = np.minimum.accumulate(above - places) + places
+    i, j, substitutions, deletions, insertions = len(r), len(h), 0, 0, 0
+    while i or j:
+        if i and j and r[i - 1] == h[j - 1]:
+            i, j = i - 1, j - 1
+        elif i and j and cost[i, j] == cost[i - 1, j - 1] + 1:
+            i, j, substitutions = i - 1, j - 1, substitutions + 1
+        elif i and cost[i, j] == cost[i - 1, j] + 1:
+            i, deletions = i - 1, deletions + 1
+        else:
+            j, insertions = j - 1, insertions + 1
+    return substitutions, deletions, insertions
 
 
 def word_errors(reference: Column, hypothesis: Column) -> Column:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from lexiloom.operators.training import moment_matrix
+
 
 def finite(x: Column) -> Column:
     """``x`` where it is a finite number, else null."""
@@ -56,12 +60,11 @@ def tensor_stats(cells: DataFrame) -> DataFrame:
 def second_moments(df: DataFrame, array: str) -> DataFrame:
     """(i, j, total): sums over rows of x_i * x_j, for i <= j.
 
-    A row's products are made from the row itself, so only dim x dim partial sums are shuffled.
+    Each task multiplies its rows as one matrix; what is added up has the size of one matrix.
     """
-    x = df.select(F.col(array).cast("array<double>").alias("x"))
-    row = x.select("x", F.posexplode("x").alias("i", "xi"))
-    pairs = row.select("i", "xi", F.posexplode("x").alias("j", "xj")).where("i <= j")
-    return pairs.groupBy("i", "j").agg(F.sum(F.col("xi") * F.col("xj")).alias("total"))
+    _, total = moment_matrix(df, array)
+    cells = [(i, j, float(total[i, j])) for i in range(len(total)) for j in range(i, len(total))]
+    return df.sparkSession.createDataFrame(cells, "i int, j int, total double")
 
 
 def whitening(moments: DataFrame) -> DataFrame:
@@ -71,29 +74,81 @@ def whitening(moments: DataFrame) -> DataFrame:
     return out.select((F.col("squares") * (F.col("last") + 1) / (F.col("trace") * F.col("trace"))).alias("metric"))
 
 
-def tenths_by_floor(values: Column) -> Column:
-    """Eleven values of a sorted array, at i * n // 10, the last one clamped."""
-    n = F.size(values)
-    return F.transform(F.sequence(F.lit(0), F.lit(10)), lambda i: F.element_at(values, F.least(F.floor(i * n / 10).cast("int"), n - 1) + 1))
+def tenths(df: DataFrame, group: str, x: str) -> DataFrame:
+    """(group, tenth, by_floor, by_rank): eleven of a group's sorted values, by two rules of place.
+
+    ``by_floor`` is at i * n // 10, the last one clamped, ``by_rank`` at i * (n - 1) // 10. Values
+    are numbered by a sort that can spill; a group is never one array.
+    """
+    over = Window.partitionBy(group)
+    rows = df.select(group, x, (F.row_number().over(over.orderBy(x)) - 1).alias("_k"), F.count("*").over(over).alias("_n"))
+    every = F.sequence(F.lit(0), F.lit(10))
+    by_floor = F.filter(every, lambda i: F.least(F.floor(i * F.col("_n") / 10), F.col("_n") - 1) == F.col("_k"))
+    by_rank = F.filter(every, lambda i: F.floor(i * (F.col("_n") - 1) / 10) == F.col("_k"))
+    met = rows.select(group, x, by_floor.alias("f"), by_rank.alias("r")).where("size(f) > 0 or size(r) > 0")
+    each = met.select(group, x, F.explode(F.array_union("f", "r")).alias("tenth"), "f", "r")
+    of = lambda c: F.max(F.when(F.array_contains(c, F.col("tenth")), F.col(x)))
+    return each.groupBy(group, "tenth").agg(of("f").alias("by_floor"), of("r").alias("by_rank"))
+
+
+#: Buckets of a pass, and values that are few enough to be sorted on the driver.
+BUCKETS, FEW = 4096, 10_000
 
 
-def tenths_by_rank(values: Column) -> Column:
-    """Eleven values of a sorted array, at i * (n - 1) // 10."""
-    n = F.size(values)
-    return F.transform(F.sequence(F.lit(0), F.lit(10)), lambda i: F.element_at(values, F.floor(i * (n - 1) / 10).cast("int") + 1))
+def values_at(df: DataFrame, x: str, ranks: list[int]) -> list[float]:
+    """The values of ``x`` at places (from 0) of its sorted, non-null values; exact, in bounded memory.
+
+    Each pass counts the values of an interval in buckets and goes on with the bucket that
+    holds the place, until its values are equal or few.
+    """
+    rows = df.where(F.col(x).isNotNull()).select(F.col(x).cast("double").alias("x"))
+    first = rows.agg(F.min("x"), F.max("x"), F.count("*")).first()
+    # for each place: the least and largest value of its interval, how many come before it, how many are in it
+    spans = {r: (first[0], first[1], 0, first[2]) for r in ranks}
+    while wide := sorted({s for s in spans.values() if s[3] > FEW and s[0] < s[1]}):
+        case = F.lit(None).cast("struct<i:int,b:int>")
+        for i, (lo, hi, _, _) in enumerate(wide):
+            bucket = F.least(F.floor((F.col("x") / (hi - lo) - lo / (hi - lo)) * BUCKETS), F.lit(BUCKETS - 1)).cast("int")
+            case = F.when(F.col("x").between(lo, hi), F.struct(F.lit(i).alias("i"), bucket.alias("b"))).otherwise(case)
+        counted = rows.select("x", case.alias("s")).where("s is not null").groupBy("s.i", "s.b").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("n")).collect()
+        for rank, span in list(spans.items()):
+            if span not in wide:
+                continue
+            before = span[2]
+            for c in sorted((c for c in counted if c.i == wide.index(span)), key=lambda c: c.lo):
+                if rank < before + c.n:
+                    spans[rank] = (c.lo, c.hi, before, c.n)
+                    break
+                before += c.n
+    out = {}
+    for lo, hi, before, _ in set(spans.values()):
+        own = [lo] if lo == hi else [r.x for r in rows.where(F.col("x").between(lo, hi)).orderBy("x").collect()]
+        out |= {rank: own[0] if lo == hi else own[rank - before] for rank, s in spans.items() if s[:3] == (lo, hi, before)}
+    return [out[r] for r in ranks]
+
+
+def quantiles(df: DataFrame, x: str, shares: list[float]) -> list[float]:
+    """Exact quantiles, interpolated between neighbours; none where there are no values."""
+    n = df.where(F.col(x).isNotNull()).count()
+    if not n:
+        return []
+    at = [s * (n - 1) for s in shares]
+    ranks = sorted({k for a in at for k in (math.floor(a), math.ceil(a))})
+    value = dict(zip(ranks, values_at(df, x, ranks)))
+    ends = [(a, math.floor(a), math.ceil(a)) for a in at]
+    return [value[lo] if lo == hi else (hi - a) * value[lo] + (a - lo) * value[hi] for a, lo, hi in ends]
 
 
 def clipped_histogram(df: DataFrame, x: str, grad: str, quantile: float = 0.98, half: int = 256) -> DataFrame:
     """(bucket, n, sum_g, sum_g2, sum_abs_g): ``2 * half`` buckets of a ``half``-th of the quantile of |x|.
 
     Values go to their bucket toward zero; those beyond the range go to the outermost ones. The
-    quantile is one number, computed first and joined as one row.
+    quantile is one number, computed first.
     """
-    tick = df.agg((F.percentile(F.abs(x), F.lit(quantile)) / half).alias("tick"))
-    rows = df.join(F.broadcast(tick))
-    bucket = F.least(F.greatest((F.col(x) / F.col("tick")).cast("long"), F.lit(-half)), F.lit(half - 1))
+    tick = (quantiles(df.select(F.abs(x).alias("x")), "x", [quantile]) or [1.0])[0] / half
+    bucket = F.least(F.greatest((F.col(x) / F.lit(tick)).cast("long"), F.lit(-half)), F.lit(half - 1))
     g = F.col(grad)
-    return rows.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"), F.sum(g).alias("sum_g"), F.sum(g * g).alias("sum_g2"), F.sum(F.abs(g)).alias("sum_abs_g"))
+    return df.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"), F.sum(g).alias("sum_g"), F.sum(g * g).alias("sum_g2"), F.sum(F.abs(g)).alias("sum_abs_g"))
 
 
 def equal_count_bins(histogram: DataFrame, bins: int = 20) -> DataFrame:

@@ -60,6 +60,11 @@ def decayed_total(x: Column, k: Column, n: Column, rate: float) -> Column:
     return F.sum(x * F.pow(F.lit(rate), n - k))
 
 
+def moving_average(x: Column, k: Column, n: Column, keep: float) -> Column:
+    """Last value of e = keep * e + (1 - keep) * x, begun at the first x, as one sum over numbered rows."""
+    return F.sum(x * F.pow(F.lit(keep), n - k) * F.when(k == 1, 1.0).otherwise(1 - keep))
+
+
 def moving_average_end(values: Column, keep: float) -> Column:
     """Last value of e = keep * e + (1 - keep) * x over an array, begun at its first element."""
     return F.aggregate(F.slice(values, F.lit(2), F.greatest(F.size(values) - 1, F.lit(0))), F.element_at(values, 1), lambda e, x: e * keep + x * (1 - keep))

@@ -86,9 +86,7 @@ def whitening_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
 )
 def percentile_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    groups = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list("value")).alias("v"))
-    both = F.arrays_zip(A.tenths_by_floor(F.col("v")).alias("by_floor"), A.tenths_by_rank(F.col("v")).alias("by_rank"))
-    return groups.select("user_id", F.posexplode(both).alias("tenth", "p")).select("user_id", "tenth", "p.by_floor", "p.by_rank")
+    return A.tenths(table(spark, sf_dir, "events"), "user_id", "value")
 
 
 _HISTOGRAM = """

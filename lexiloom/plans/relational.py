@@ -58,11 +58,12 @@ def open_end_duration(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
 )
 def vocab_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Characters as tokens; the inventory holds those that occur at least 50 times, so its size is bounded by Unicode."""
+    """Characters as tokens, counted inside each row first; the inventory holds those that occur at least 50 times, so its size is bounded by Unicode."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    chars = docs.where(F.char_length("text") > 0).select("doc_id", F.explode(F.split("text", "")).alias("token")).where("token <> ''")
-    counts = chars.groupBy("doc_id", "token").agg(F.count("*").alias("n"))
-    kept = chars.groupBy("token").agg(F.count("*").alias("n")).where("n >= 50")
+    own = F.filter(F.array_distinct(F.split("text", "")), lambda c: c != "")
+    times = F.transform(own, lambda c: F.struct(c.alias("token"), (F.char_length("text") - F.char_length(F.replace(F.col("text"), c, F.lit("")))).cast("long").alias("n")))
+    counts = R.spread(docs).select("doc_id", F.explode(times).alias("t")).select("doc_id", "t.token", "t.n")
+    kept = counts.groupBy("token").agg(F.sum("n").alias("n")).where("n >= 50")
     vocab = kept.select("token", (F.row_number().over(Window.orderBy(F.desc("n"), "token")) - 1).cast("long").alias("id"))
     met = counts.join(F.broadcast(vocab), "token", "left").groupBy("doc_id").agg(
         F.sum("n").alias("n_tokens"), F.sum(F.when(F.col("id").isNotNull(), F.col("n"))).alias("n_ids"), F.sum(F.col("n") * F.col("id")).alias("id_sum")

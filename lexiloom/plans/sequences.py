@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
+from lexiloom.operators.aggregates import quantiles
 from lexiloom.operators import intervals as I, sequences as S
 from lexiloom.plans.registry import query, table
 
@@ -61,9 +62,8 @@ def decayed_total(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select user_id, round(sum(value * pow(0.9, n - k) * case when k = 1 then 1 else 0.1 end), 5) as ema from (select *, row_number() over (partition by user_id order by ts, event_id) as k, count(*) over (partition by user_id) as n from events) group by 1")
 def ema(spark: SparkSession, sf_dir: str) -> DataFrame:
-    groups = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))).alias("v"))
-    values = F.transform("v", lambda s: s["value"])
-    return groups.select("user_id", F.round(S.moving_average_end(values, 0.9), 5).alias("ema"))
+    rows = S.numbered(table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value"), "user_id", "ts", "event_id")
+    return rows.groupBy("user_id").agg(F.round(S.moving_average(F.col("value"), F.col("k"), F.col("n"), 0.9), 5).alias("ema"))
 
 
 @query("select user_id, round(avg(value) filter (k > n // 2), 5) as mean from (select *, row_number() over (partition by user_id order by ts, event_id) as k, count(*) over (partition by user_id) as n from events) group by 1")
@@ -195,7 +195,7 @@ def drop_last_partial(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("with q as (select quantile_cont(n_chars, [0.2, 0.4, 0.6, 0.8]) as b from documents) select doc_id, n_chars, len(list_filter(b, lambda x: x < n_chars))::int as bucket from documents, q")
 def duration_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
-    bounds = docs.agg(F.percentile("n_chars", F.array(*[F.lit(k / 5) for k in range(1, 5)]))).first()[0] or []
+    bounds = quantiles(docs, "n_chars", [k / 5 for k in range(1, 5)])
     return docs.select("doc_id", "n_chars", S.buckets(F.col("n_chars"), bounds).alias("bucket"))
 
 

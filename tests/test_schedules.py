@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexiloom.operators import intervals as I, piecewise as P, training as T
+from lexiloom.operators import aggregates as A, intervals as I, piecewise as P, sequences as S, training as T
 
 
 def value(points, x):
@@ -154,3 +154,37 @@ def test_speaker_slices(spark):
         ("a", 0, 1, 0, 0, 15), ("a", 0, 2, 1, 0, 12), ("a", 1, 1, 0, 15, 20),
         ("b", 0, 1, 0, 0, 7), ("b", 1, 1, 0, 0, 7), ("c", 0, 1, 0, 0, 5), ("c", 1, 1, 0, 0, 5),
     ]
+
+
+@pytest.mark.parametrize("few", [3, 10_000])
+def test_quantiles_equal_sorting(spark, few, monkeypatch):
+    monkeypatch.setattr(A, "FEW", few)
+    monkeypatch.setattr(A, "BUCKETS", 8)
+    rng = random.Random(few)
+    values = [rng.choice([0.0, 7.0, -1e300, 1e300, 1e-300, rng.gauss(0, 1), rng.expovariate(1e-6)]) for _ in range(700)] + [7.0] * 300 + [None] * 5
+    df = spark.createDataFrame([(v,) for v in values], "x double").repartition(4)
+    own = sorted(v for v in values if v is not None)
+    places = [0, 1, 17, 500, 501, 998, 999]
+    assert A.values_at(df, "x", places) == [own[k] for k in places]
+    assert A.quantiles(df, "x", [0.0, 0.5, 1.0]) == [own[0], (own[499] + own[500]) / 2, own[-1]]
+    assert A.quantiles(df.limit(0), "x", [0.5]) == []
+
+
+def test_tenths(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice("abc"), float(rng.randint(0, 20))) for _ in range(60)] + [("z", 4.0)]
+    got = {(r.g, r.tenth): (r.by_floor, r.by_rank) for r in A.tenths(spark.createDataFrame(rows, "g string, x double"), "g", "x").collect()}
+    for g in "abcz":
+        own = sorted(x for h, x in rows if h == g)
+        for i in range(11):
+            assert got[g, i] == (own[min(i * len(own) // 10, len(own) - 1)], own[i * (len(own) - 1) // 10])
+
+
+def test_moving_average(spark):
+    values = [3.0, 1.0, 4.0, 1.0, 5.0]
+    want = values[0]
+    for v in values[1:]:
+        want = 0.9 * want + 0.1 * v
+    df = spark.createDataFrame([(k + 1, len(values), v) for k, v in enumerate(values)], "k int, n int, v double")
+    assert df.agg(S.moving_average(F.col("v"), F.col("k"), F.col("n"), 0.9)).first()[0] == pytest.approx(want)
+    assert spark.createDataFrame([(values,)], "v array<double>").select(S.moving_average_end(F.col("v"), 0.9)).first()[0] == pytest.approx(want)
