@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lexiloom.functions import lexicon, normalizer, spell as N, text as X
 from lexiloom.functions.special_tokens import special_tokens as tokens_of
+from lexiloom.functions.tokenize import add_tokens
 from lexiloom.operators import sequences as S, vietnamese
 from lexiloom.operators.jobs import voice_gender, voice_region
 from lexiloom.operators.relational import spread
@@ -242,3 +243,12 @@ def vietnamese_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     spelled = spark.createDataFrame([("AI",), ("TTS",), ("URL",)], "key string")
     learned = words.select("said", F.concat("said", F.lit(" x")).alias("again")).toDF("key", "said")
     return _digest(vietnamese.spoken(found, words, learned, spelled, "text", "out", "pairs", "acronyms", ABBREVIATED).select("doc_id", "out"))
+
+
+@query()
+def dispatched_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens by segments of several languages; some words stand for other scripts, syllables and tags. A plain twin is in the tests."""
+    stand_ins = [(" the ", " 我们，"), (" of ", "<zhong1>"), (" und ", " [laugh] "), (" der ", "<ai4>是"), (" de ", " [S1] "), (" la ", " <x "), (" y ", "<a]")]
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", X.replaced(F.col("text"), stand_ins).alias("t")))
+    made = add_tokens(docs, "dialog", "t")
+    return made.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), F.md5(F.array_join("tokens", "|")).alias("tokens_md5"))

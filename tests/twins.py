@@ -344,6 +344,53 @@ def cp_error_totals(rows):
     return {"columns": ["deletions", "insertions", "rate", "substitutions", "words"], "rows": [(d, i, round((s + d + i) / n * 100, 2), s, n)]}
 
 
+def segments(text):
+    """Characters and enclosed parts one after another, each with its language."""
+    parts = re.findall(r"[<[].*?[>\]]|.", text.replace("\n", ""))
+    closed = lambda p, a, b: len(p) > 1 and p[0] == a and p[-1] == b
+    runs = []
+    for p in parts:
+        lang = "zh" if closed(p, "<", ">") or "一" <= p <= "龥" else "en" if re.fullmatch("[A-Za-z]", p) else "other"
+        if runs and (lang == "other" or runs[-1][1] in ("other", lang)):
+            runs[-1] = (runs[-1][0] + p, runs[-1][1] if lang == "other" else lang)
+        else:
+            runs.append((p, lang))
+    out = []
+    for run, lang in runs:
+        for p in filter(None, re.split(r"([<[].*?[>\]])", run)):
+            out.append((p, "pinyin" if closed(p, "<", ">") else "tag" if closed(p, "[", "]") else lang))
+    return out
+
+
+def tokens(text):
+    out = []
+    for part, lang in segments(text):
+        if lang == "pinyin":
+            inner = part.strip("<>")
+            if inner[:-1].isalpha() and inner[-1:] in tuple("12345"):
+                initial = next((i for i in ("zh", "ch", "sh", *"bpmfdtnlgkhjqxrzcsyw") if inner.startswith(i)), "")
+                out += ([f"{initial}0"] if initial else []) + [inner[len(initial) :]]
+        elif lang == "tag":
+            out.append(part)
+        elif lang != "other":
+            out += list(part)
+    return out
+
+
+def dispatched_tokens(rows):
+    out = []
+    for r in rows:
+        t = r["text"]
+        for a, b in [(" the ", " 我们，"), (" of ", "<zhong1>"), (" und ", " [laugh] "), (" der ", "<ai4>是"), (" de ", " [S1] "), (" la ", " <x "), (" y ", "<a]")]:
+            t = t.replace(a, b)
+        t = re.sub(r"\s*(\[S[12]\])\s*", r"\1", t)
+        for a, b in [*X.WIDE, *((d, "…") for d in X.DOTS)]:
+            t = t.replace(a, b)
+        own = tokens(t)
+        out.append((r["doc_id"], len(own), hashlib.md5("|".join(own).encode()).hexdigest()))
+    return {"columns": ["doc_id", "n_tokens", "tokens_md5"], "rows": out}
+
+
 TWINS = {
     "normalize_full": ("documents", lambda rows: _digest(rows, normalized)),
     "native_normalize": ("documents", lambda rows: _digest(rows, native)),
@@ -354,6 +401,7 @@ TWINS = {
     "moment_eigenvalues": ("embeddings", moment_eigenvalues),
     "cp_error_kinds": ("conversations", cp_error_kinds),
     "cp_error_totals": ("conversations", cp_error_totals),
+    "dispatched_tokens": ("documents", dispatched_tokens),
     "text_chunks": ("documents", text_chunks),
     "word_error_rate": ("conversations", word_error_rate),
     "normalize_english": ("documents", lambda rows: _digest([r for r in rows if r["lang"] == "en"], english)),
