@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiloom.plans import aggregates, arrays, jobs, relational, sequences, text, training
+from lexiloom.plans import aggregates, arrays, jobs, manifests, relational, sequences, text, training
 from lexiloom.plans.registry import ORACLES, QUERIES, Query
 
 

@@ -391,6 +391,40 @@ def dispatched_tokens(rows):
     return {"columns": ["doc_id", "n_tokens", "tokens_md5"], "rows": out}
 
 
+def cut_silence(wave, rate, trail_ms, longest_ms, keep_ms, edge_ms, db, step_ms):
+    """Sample by sample: which are within reach of a loud step."""
+    step = max(1, rate * step_ms // 1000)
+    steps = [wave[k : k + step] for k in range(0, len(wave), step)]
+    loud = [sum(x * x for x in s) / len(s) > 10 ** (db / 10) for s in steps]
+    out = []
+    for k, x in enumerate(wave):
+        at = k // step
+        before = max((j for j in range(at + 1) if loud[j]), default=None)
+        after = min((j for j in range(at, len(loud)) if loud[j]), default=None)
+        if before is None and after is None:
+            continue
+        if before is None:
+            stays = k >= after * step - rate * edge_ms // 1000
+        elif after is None:
+            stays = k < (before + 1) * step + rate * edge_ms // 1000
+        elif (after - before - 1) * step < rate * longest_ms // 1000:
+            stays = True
+        else:
+            stays = k < (before + 1) * step + rate * keep_ms // 1000 or k >= after * step - rate * keep_ms // 1000
+        if stays:
+            out.append(x)
+    return out + [0.0] * (rate * trail_ms // 1000)
+
+
+def silence_cut(rows):
+    out = []
+    for r in rows:
+        wave = [x if (i // (r["vec_id"] % 9 + 2)) % 2 == 0 else x / 1000 for i, x in enumerate(map(float, r["embedding"]))]
+        w = cut_silence(wave, 64, 62, 125, 31, 16, -40.0, 16)
+        out.append((len(w), round(sum(w), 6), r["vec_id"]))
+    return {"columns": ["n", "total", "vec_id"], "rows": out}
+
+
 TWINS = {
     "normalize_full": ("documents", lambda rows: _digest(rows, normalized)),
     "native_normalize": ("documents", lambda rows: _digest(rows, native)),
@@ -402,6 +436,7 @@ TWINS = {
     "cp_error_kinds": ("conversations", cp_error_kinds),
     "cp_error_totals": ("conversations", cp_error_totals),
     "dispatched_tokens": ("documents", dispatched_tokens),
+    "silence_cut": ("embeddings", silence_cut),
     "text_chunks": ("documents", text_chunks),
     "word_error_rate": ("conversations", word_error_rate),
     "normalize_english": ("documents", lambda rows: _digest([r for r in rows if r["lang"] == "en"], english)),
