@@ -94,12 +94,14 @@ def contaminated(docs: DataFrame, items: DataFrame, level: float = LEVEL, n: int
     shingles = cut(item_shingles(items, n))
     sketch = cut(sketches(shingles, level))
     parts = sketch.groupBy("class").agg(F.count("*").alias("n"), F.max("h").alias("bound"), F.min("need").alias("need")).orderBy("class").collect()
-    lengths = [r.n for r in items.where("item_id is not null").select(F.least(F.size(words_of(F.col("text"))), F.lit(n)).alias("n")).where("n > 0").distinct().orderBy("n").collect()]
+    # words hold no blanks, so a shingle tells its own length
+    sizes = shingles.groupBy(F.size(F.split("shingle", " ")).alias("n")).agg(F.count("*").alias("rows")).orderBy("n").collect()
+    lengths, n_shingles = [r.n for r in sizes], sum(r.rows for r in sizes)
     n_sketch = sum(p.n for p in parts)
     side = lambda df, rows: F.broadcast(df) if rows <= broadcast_rows else df
 
-    texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), words_of(F.col("text")).alias("w"))
-    sized = texts.withColumn("size", F.greatest(F.size("w") - n, F.lit(0)) + 1)
+    texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    sized = texts.select("doc_id", words_of(F.col("text")).alias("w")).withColumn("size", F.greatest(F.size("w") - n, F.lit(0)) + 1)
     # the greatest hash that any partition asks of a document of this size
     asked = F.greatest(F.lit(-(1 << 63)), F.lit(None).cast("long"), *[F.when(F.col("size") >= p.need, F.lit(p.bound)) for p in parts])
     sent = runs_of(sized, lengths or [n], shingle_hash, "h").where(F.col("h") <= asked)
@@ -108,8 +110,8 @@ def contaminated(docs: DataFrame, items: DataFrame, level: float = LEVEL, n: int
     found = sent.join(side(sketch, n_sketch), (sent.h == sketch.h) & (sent["size"] >= sketch.need))
     candidates = cut(found.select("doc_id", "item_id").distinct())
 
-    n_shingles, n_candidates = shingles.count(), candidates.count()
-    each = runs_of(texts.join(side(candidates, n_candidates), "doc_id"), lengths or [n], shingle_text, "shingle")
+    asked_for = texts.join(side(candidates, candidates.count()), "doc_id").select("doc_id", "item_id", words_of(F.col("text")).alias("w"))
+    each = runs_of(asked_for, lengths or [n], shingle_text, "shingle")
     met = each.join(side(shingles, n_shingles), ["item_id", "shingle"]).select("doc_id", "item_id", "n_item", "h", "shingle").distinct()
     counted = met.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_shared"), F.first("n_item").alias("n_item"))
     return counted.withColumn("containment", F.col("n_shared") / F.col("n_item")).where(F.col("n_shared") >= F.ceil(F.col("n_item") * level - 1e-9))
