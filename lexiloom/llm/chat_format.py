@@ -106,3 +106,29 @@ def reply_swaps(turns: DataFrame) -> DataFrame:
         plain(F.slice("own", F.lit(1), F.col("k"))).alias("chosen"),
         F.concat(plain(F.slice("own", F.lit(1), F.col("k") - 1)), F.array(F.struct(F.lit(ROLE).alias("role"), said.alias("text")))).alias("rejected"),
     )
+
+
+def branches(turns: DataFrame) -> DataFrame:
+    """Pairs (conv_id, chosen, rejected) out of plain conversations (conv_id, turn, role, text), which part somewhere.
+
+    Chosen is the conversation up to its last assistant turn. Rejected leaves it after a number
+    of turns that hangs on the id, and goes on with the later turns, up to the last assistant
+    one, of the conversation whose id differs in the lowest bit. How much they share is left
+    to see: turns behind the parting may be equal, and the other conversation may have none.
+
+    Both conversations of a pair come together in one grouping by the id's other bits, so
+    memory goes with the longest two conversations. Conversations without an assistant turn,
+    and turns without an id, give no pair; null roles and texts are empty; turns with the same
+    number are in order of role and text; an empty table gives no rows.
+    """
+    rows = turns.where("conv_id is not null").select(
+        F.col("conv_id").cast("long").alias("conv_id"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
+    )
+    both = rows.groupBy(F.shiftright("conv_id", 1).alias("pair")).agg(F.array_sort(F.collect_list(F.struct("conv_id", "turn", "role", "text"))).alias("all"))
+    of = lambda bit: F.filter("all", lambda t: t["conv_id"].bitwiseAND(F.lit(1).cast("long")) == bit)
+    sides = both.select(F.explode(F.array(*[F.struct(F.shiftleft("pair", 1).bitwiseOR(F.lit(k).cast("long")).alias("conv_id"), of(k).alias("own"), of(1 - k).alias("other")) for k in (0, 1)])).alias("s")).select("s.*")
+    last = lambda c: F.coalesce(F.array_max(F.transform(c, lambda t, i: F.when(t["role"] == ROLE, i + 1))), F.lit(0))
+    placed = sides.withColumns({"k": last("own"), "m": last("other")}).where("k > 0").withColumn("at", F.pmod(F.col("conv_id") * 7 + 3, F.col("k")).cast("int"))
+    plain = lambda c: F.transform(c, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
+    behind = F.slice("other", F.col("at") + 1, F.greatest(F.col("m") - F.col("at"), F.lit(0)))
+    return placed.select("conv_id", plain(F.slice("own", F.lit(1), F.col("k"))).alias("chosen"), F.concat(plain(F.slice("own", F.lit(1), F.col("at"))), plain(behind)).alias("rejected"))

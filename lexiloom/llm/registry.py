@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lexiloom.llm import secret_scan, toxicity
-from lexiloom.llm.chat_format import format_preferences, reply_swaps
+from lexiloom.llm.chat_format import branches, format_preferences
 from lexiloom.llm.common import new_folder, table
 from lexiloom.llm.decontaminate import contaminated
 from lexiloom.llm.embedding_join import near_vectors
@@ -30,7 +30,7 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = format_preferences(reply_swaps(table(spark, sf_dir, "conversations")))
+    found = format_preferences(branches(table(spark, sf_dir, "conversations")))
     spans = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["begin"].cast("string"), s["stop"].cast("string"))), ",")
     return found.withColumns({c: spans(F.col(c)) for c in ("chosen_mask", "rejected_mask")})
 
@@ -126,29 +126,35 @@ from r
 _CHAT = """
 with t as (
   select conv_id, coalesce(role, '') as role, coalesce(text, '') as raw,
-         replace(coalesce(text, ''), '<|', '< |') as txt, replace(coalesce(role, ''), '<|', '< |') as who,
          row_number() over (partition by conv_id order by turn, coalesce(role, ''), coalesce(text, '')) as k
   from conversations where conv_id is not null
 ), last as (
-  select conv_id, max(k) as k from t where role = 'assistant' group by 1
-), reply as (
-  select conv_id, raw, txt from t join last using (conv_id, k)
-), prompt as (
-  select l.conv_id, count(*) filter (t.k < l.k) as n,
-         coalesce(string_agg('<|im_start|>' || who || chr(10) || txt || '<|im_end|>' || chr(10), '' order by t.k) filter (t.k < l.k), '') as prompt
-  from last l join t on t.conv_id = l.conv_id group by 1
-), joined as (
-  select p.*, a.txt as mine, coalesce(b.txt, '') as other, a.raw = coalesce(b.raw, '') as tie,
-         '<|im_start|>assistant' || chr(10) as head, '<|im_end|>' || chr(10) as tail
-  from prompt p join reply a using (conv_id) left join reply b on b.conv_id = xor(p.conv_id, 1)
+  select conv_id, max(k) as n, (conv_id * 7 + 3) % max(k) as part from t where role = 'assistant' group by 1
+), pairs as (
+  select t.conv_id, 'chosen' as side, k, role, raw from t join last using (conv_id) where k <= n
+  union all
+  select t.conv_id, 'rejected', k, role, raw from t join last using (conv_id) where k <= part
+  union all
+  select l.conv_id, 'rejected', k, role, raw
+  from last l join last o on o.conv_id = xor(l.conv_id, 1) join t on t.conv_id = o.conv_id where k > l.part and k <= o.n
+), differ as (
+  select conv_id, min(k) as k
+  from (select conv_id, k, count(*) = 2 and count(distinct role) = 1 and count(distinct raw) = 1 as same from pairs group by 1, 2) where not same group by 1
+), r as (
+  select b.*, coalesce(d.k, 1000000000) - 1 as shared, replace(role, '<|', '< |') as who, replace(raw, '<|', '< |') || '<|im_end|>' as said
+  from pairs b left join differ d using (conv_id)
+), w as (
+  select *, '<|im_start|>' || who || chr(10) as head, k <= shared as common,
+         coalesce(sum(length('<|im_start|>' || who || chr(10) || said || chr(10))) over (partition by conv_id, side, k <= shared order by k rows between unbounded preceding and 1 preceding), 0) as before
+  from r
 )
-select conv_id, (n + tie::int)::int as n_prompt_turns,
-       prompt || case when tie then head || mine || tail else '' end as prompt,
-       case when tie then '' else head || mine || tail end as chosen,
-       case when tie then '' else head || other || tail end as rejected,
-       case when tie then '' else '22-' || (32 + length(mine)) end as chosen_mask,
-       case when tie then '' else '22-' || (32 + length(other)) end as rejected_mask
-from joined
+select conv_id, (count(*) filter (side = 'chosen' and common))::int as n_prompt_turns,
+       coalesce(string_agg(head || said || chr(10), '' order by k) filter (side = 'chosen' and common), '') as prompt,
+       coalesce(string_agg(head || said || chr(10), '' order by k) filter (side = 'chosen' and not common), '') as chosen,
+       coalesce(string_agg(head || said || chr(10), '' order by k) filter (side = 'rejected' and not common), '') as rejected,
+       coalesce(string_agg((before + length(head)) || '-' || (before + length(head) + length(said)), ',' order by k) filter (side = 'chosen' and not common and role = 'assistant'), '') as chosen_mask,
+       coalesce(string_agg((before + length(head)) || '-' || (before + length(head) + length(said)), ',' order by k) filter (side = 'rejected' and not common and role = 'assistant'), '') as rejected_mask
+from w group by 1
 """
 
 _LEAKS = r"""

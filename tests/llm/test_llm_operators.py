@@ -455,3 +455,20 @@ def test_folders_of_a_scope_go_with_it(spark):
     with scoped(spark):
         out = kept(kept(spark.range(3), "inner"), "outer", folder)
     assert out.count() == 3 and set(os.listdir(shared)) - before == {folder.rpartition("/")[2]}
+
+
+def test_branches_part_at_differing_turns(spark):
+    talk = lambda conv, *said: [(conv, k, "user" if k % 2 == 0 else "assistant", t) for k, t in enumerate(said)]
+    rows = talk(2, "hi", "yes", "more", "done") + talk(3, "hi", "yes", "less", "gone", "tail") + talk(6, "a") + talk(7, "a", "b", None, "d") + [(None, 0, "assistant", "x"), (8, 0, None, None), (8, 1, "assistant", "only")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    got = {r.conv_id: r for r in chat_format.branches(turns).collect()}
+    texts = lambda c: [t.text for t in c]
+    # (2 * 7 + 3) % 4 = 1 turn is kept, the second happens to be equal
+    assert texts(got[2].chosen) == ["hi", "yes", "more", "done"] and texts(got[2].rejected) == ["hi", "yes", "less", "gone"]
+    assert texts(got[3].rejected) == ["hi", "yes", "more", "done"] and set(got) == {2, 3, 7, 8}
+    # the other has no assistant turn, so nothing follows the parting: (7 * 7 + 3) % 4 = 0, (8 * 7 + 3) % 2 = 1
+    assert texts(got[7].rejected) == [] and texts(got[8].rejected) == [""]
+    made = {r.conv_id: r for r in chat_format.format_preferences(chat_format.branches(turns)).collect()}
+    assert [made[k].n_prompt_turns for k in (2, 3, 7, 8)] == [2, 2, 0, 1]
+    assert made[7].rejected == "" and made[8].rejected == "" and made[8].chosen == "<|im_start|>assistant\nonly<|im_end|>\n"
+    assert chat_format.branches(turns.limit(0)).count() == 0
