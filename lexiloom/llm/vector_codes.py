@@ -147,7 +147,7 @@ def first_codebooks(rows: DataFrame, parts: int = PARTS, entries: int = ENTRIES)
     """The parts of the vectors with the smallest ids, ascending; equal ids by their vectors, null ids last."""
     longest = rows.agg(F.max(F.size("v"))).first()[0] or 0
     size = -(-longest // parts)
-    least = rows.orderBy(F.col("vec_id").asc_nulls_last(), F.to_json(F.struct("v"))).limit(entries).select("v").toArrow()
+    least = rows.orderBy(F.col("vec_id").asc_nulls_last(), "v").limit(entries).select("v").toArrow()
     x = np.concatenate([integer_parts(c, size, parts) for c in least["v"].chunks])
     return Codebooks(np.ascontiguousarray(x.transpose(1, 0, 2)))
 
