@@ -19,7 +19,9 @@ In each band every set is first compared with one of it, and of the many that a
 in its bands it is checked against the ``NEAREST`` closest ones: a set of a large group of copies
 is checked a few times, not once a band. What that joins needs no further check: the last
 round compares all pairs of a band that are not joined yet, and proposes a pair once only, in
-the first band that it shares.
+the first band that it shares. A key with more sets than ``KEY_SETS`` is cut into blocks, and
+each pair of blocks is a task's of its own: no task holds more than two blocks, whatever
+stands behind a key.
 """
 
 from __future__ import annotations
@@ -47,6 +49,8 @@ MISS, LEAST_BITS, FEWER = 0.005, 16, 6
 NEAREST, ROUNDS = 4, 1
 #: Shingles counted at a time, and pairs compared and sent at a time.
 BATCH, PAIRS = 1 << 13, 1 << 18
+#: Sets of a block of a key, and such keys up to which their counts are broadcast.
+KEY_SETS, LARGE_KEYS = 2048, 100_000
 #: Hashes that a task which checks links remembers.
 REMEMBERED = 1 << 22
 _MASK = (1 << 64) - 1
@@ -171,17 +175,18 @@ def shingled(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.mapInArrow(each, ", ".join(f"{c} bigint" for c in ("doc_id", "t", "node", "n", *_FP, *_ODD)))
 
 
-_COLUMNS = ["key", "band", "node", "n", "part", *_FP, *_ODD]
+_COLUMNS = ["key", "band", "node", "n", "part", "block", *_FP, *_ODD]
 
 
 def near(a: list[np.ndarray], b: list[np.ndarray], level: float, masks: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
     """Candidate pairs of rows in ``_COLUMNS``: sizes and parities that allow the level, different parts, fingerprints within the radius.
 
-    With ``masks`` only those whose first shared band this is.
+    Blocks below zero are compared with each other, others only with another block. With
+    ``masks`` only those pairs whose first shared band this is.
     """
-    _, band, node_a, n_a, part_a, *words_a = a
-    _, _, node_b, n_b, part_b, *words_b = b
-    ok = (np.minimum(n_a, n_b) >= level * np.maximum(n_a, n_b)) & (part_a != part_b)
+    _, band, node_a, n_a, part_a, block_a, *words_a = a
+    _, _, node_b, n_b, part_b, block_b, *words_b = b
+    ok = (np.minimum(n_a, n_b) >= level * np.maximum(n_a, n_b)) & (part_a != part_b) & ((block_a < 0) | (block_a != block_b))
     at = np.flatnonzero(ok)
     x = [(p[at] ^ q[at]).view(np.uint64) for p, q in zip(words_a[: len(_FP)], words_b)]
     close = np.flatnonzero(ring_close(x))
@@ -197,15 +202,35 @@ def near(a: list[np.ndarray], b: list[np.ndarray], level: float, masks: np.ndarr
         yield pa.RecordBatch.from_arrays([pa.array(np.maximum(*ends)), pa.array(np.minimum(*ends)), pa.array(bits)], names=["a", "b", "bits"])
 
 
-def star(level: float) -> Callable:
-    """Each set of a band with the band's first, which alone stays in memory."""
+def star(level: float, size: int | None = None) -> Callable:
+    """Each set of a band with the band's first, which alone stays in memory.
+
+    Keys of more than ``size`` sets are told beside the pairs: as (key, sets, -1).
+    """
+    size = KEY_SETS if size is None else size
+
+    def large(keys: list[int], counts: list[int]) -> Iterator[pa.RecordBatch]:
+        told = [(k, n) for k, n in zip(keys, counts) if n > size]
+        if told:
+            k, n = zip(*told)
+            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(n, pa.int64()), pa.array([-1] * len(told), pa.int32())], names=["a", "b", "bits"])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first: list[np.ndarray] | None = None
+        open_: tuple[int, int] | None = None
         for batch in batches:
             if not batch.num_rows:
                 continue
             rows = [batch[c].to_numpy() for c in _COLUMNS]
+            starts = np.concatenate([[0], np.flatnonzero(np.diff(rows[0])) + 1])
+            keys, counts = rows[0][starts].tolist(), np.diff(np.append(starts, len(rows[0]))).tolist()
+            if open_ is not None:
+                if open_[0] == keys[0]:
+                    counts[0] += open_[1]
+                else:
+                    keys, counts = [open_[0], *keys], [open_[1], *counts]
+            yield from large(keys[:-1], counts[:-1])
+            open_ = keys[-1], counts[-1]
             if first is not None:
                 rows = [np.concatenate([x, y]) for x, y in zip(first, rows)]
             new = np.ones(len(rows[0]), bool)
@@ -214,6 +239,8 @@ def star(level: float) -> Callable:
             first = [x[lead[-1] : lead[-1] + 1] for x in rows]
             at = np.flatnonzero(~new)
             yield from near([x[at] for x in rows], [x[lead[at]] for x in rows], level)
+        if open_ is not None:
+            yield from large([open_[0]], [open_[1]])
 
     return each
 
@@ -265,6 +292,23 @@ def crossing(level: float, masks: np.ndarray) -> Callable:
     return each
 
 
+def in_blocks(sent: DataFrame, large: DataFrame, size: int | None = None) -> DataFrame:
+    """``sent`` with ``block``; the keys of ``large`` (large, sets) are cut: a row for each pair of blocks that its own is in.
+
+    A pair of blocks gets a key of its own. Block -1 stands for whole keys and for a block met with itself.
+    """
+    n = large.count()
+    if not n:
+        return sent.withColumn("block", F.lit(-1).cast("long"))
+    cut = large.select("large", F.ceil(F.col("sets") / (size or KEY_SETS)).cast("int").alias("blocks"))
+    rows = sent.join(F.broadcast(cut) if n <= LARGE_KEYS else cut, F.col("key") == F.col("large"), "left")
+    blocks = F.coalesce("blocks", F.lit(1))
+    met = rows.withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    pair = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
+    block = F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own")).cast("long")
+    return met.withColumns({"key": F.when(F.col("blocks").isNull(), F.col("key")).otherwise(pair), "block": block}).drop("large", "blocks", "own", "other")
+
+
 def candidates(sent: DataFrame, pairs_of: Callable) -> DataFrame:
     """(a, b, bits) that ``pairs_of`` makes of the sets of each band of ``sent``; bits is how many differ."""
     rows = sent.repartition("key").sortWithinPartitions("key", "node").select(_COLUMNS)
@@ -322,9 +366,11 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         sent = now.select(F.posexplode(keys).alias("band", "key"), "node", "n", "part", *_FP, *_ODD)
         if turn < ROUNDS:
             place = F.row_number().over(Window.partitionBy("a").orderBy("bits", "b"))
-            pairs = candidates(sent, star(level)).distinct().withColumn("place", place).where(F.col("place") <= NEAREST)
+            told = kept(candidates(sent.withColumn("block", F.lit(-1).cast("long")), star(level)), "told")
+            large = told.where("bits < 0").select(F.col("a").alias("large"), F.col("b").alias("sets"))
+            pairs = told.where("bits >= 0").distinct().withColumn("place", place).where(F.col("place") <= NEAREST)
         else:
-            pairs = candidates(sent, crossing(level, masks))
+            pairs = candidates(in_blocks(sent, large), crossing(level, masks))
         more = verified(pairs.select("a", "b"), nodes, docs, text_col, level)
         edges = more if edges is None else edges.unionByName(more)
         if parts is None or not more.isEmpty():

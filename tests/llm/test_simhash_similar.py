@@ -110,3 +110,23 @@ def test_parities_never_part_sets_that_are_alike():
     assert alike > 500 and lost == 0 and below > 50 and kept_below < below / 2
     none = np.empty(0, np.uint64)
     assert simhash_similar.may_be_alike([np.zeros(1, np.uint64)] * 4, np.array([0]))[0] and simhash_similar.parities(none) == [0] * 4
+
+
+def test_large_keys_are_cut_into_blocks(spark, monkeypatch):
+    """All sets behind one key, in blocks of a few: the same components, no pair twice and none lost."""
+    monkeypatch.setattr(simhash_similar, "band_masks", lambda bits, bands: np.zeros((1, 4), np.uint64))
+    rnd = random.Random(9)
+    bases = [[f"{k}x{i}" for i in range(rnd.randint(80, 120))] for k in range(6)]
+    texts = [" ".join(w if rnd.random() > 0.01 else "edit" for w in rnd.choice(bases)) for _ in range(90)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = dict(enumerate(brute_groups(texts)))
+    proposed = []
+    verified = simhash_similar.verified
+    monkeypatch.setattr(simhash_similar, "verified", lambda pairs, *rest: verified(proposed.append(pairs) or pairs, *rest))
+    seen = []
+    for size in (7, 2048):
+        monkeypatch.setattr(simhash_similar, "KEY_SETS", size)
+        proposed.clear()
+        assert {r.doc_id: r.component_id for r in simhash_similar.similar_groups(docs).collect()} == want
+        seen.append(sorted((r.a, r.b) for r in proposed[-1].collect()))
+    assert seen[0] == seen[1] and len(set(seen[0])) == len(seen[0])
