@@ -119,6 +119,17 @@ def mix_channels(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: (x + y) / 2)
 
 
+def one_after_another(a: Column, b: Column) -> Column:
+    """Two channels as one array each: the first prompt with silence behind it, the second with silence before it."""
+    silence = lambda x: F.array_repeat(F.lit(0.0), F.size(x))
+    return F.array(F.concat(a, silence(b)), F.concat(silence(a), b))
+
+
+def channel(x: Column, width: int, second: bool = False) -> Column:
+    """One of two channels of ``width`` features that stand side by side."""
+    return F.slice(x, width + 1 if second else 1, width)
+
+
 def flow_targets(clean: Column, noise: Column, t: Column) -> tuple[Column, Column]:
     """(f * t + n * (1 - t), f - n)."""
     return F.zip_with(clean, noise, lambda f, n: f * t + n * (1 - t)), F.zip_with(clean, noise, lambda f, n: f - n)

@@ -120,3 +120,31 @@ def merged_extractions(chunks: DataFrame, key: str, place: str, reply: str) -> D
     of_names = rows.groupBy("_key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("names")))).alias("acronyms"))
     out = of_names.join(of_words, "_key", "left")
     return out.select(F.col("_key").alias(key), "acronyms", F.coalesce("pairs", F.array().cast("array<struct<word:string,said:string>>")).alias("pairs"))
+
+
+def scored(rows: DataFrame, column: str, scorer: Callable[[list[str]], list[float]], batch: int = BATCH, out: str = "score") -> DataFrame:
+    """``rows`` with what a scorer says of ``column``, asked for ``batch`` values at a time, in their order.
+
+    Null values have no score and are not asked for. A reply of another length is an error.
+    """
+
+    @F.pandas_udf("double")
+    def run(values: pd.Series) -> pd.Series:
+        own = values.dropna()
+        said = pd.Series(index=values.index, dtype="float64")
+        for at in range(0, len(own), batch):
+            part = own.iloc[at : at + batch]
+            scores = scorer(part.tolist())
+            if len(scores) != len(part):
+                raise ValueError(f"{len(scores)} scores for {len(part)} values")
+            said.loc[part.index] = scores
+        return said
+
+    return rows.withColumn(out, run(F.col(column)))
+
+
+def transformed(df: DataFrame, steps: list[Callable[[DataFrame], DataFrame]]) -> DataFrame:
+    """``df`` through a user's steps, one after another."""
+    for step in steps:
+        df = df.transform(step)
+    return df

@@ -125,6 +125,32 @@ def cp_error_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return totals.withColumn("rate", F.round(sum(F.col(k) for k in kinds) / F.col("words") * 100, 2))
 
 
+@query(
+    f"""with {_VECS}, r as (select vec_id, x, sqrt(list_sum(list_transform(x, lambda v: v * v)) / 64) as l from v),
+    u as (select vec_id, l, list_transform(x, lambda v: greatest(least(v * 16 * case when l * 16 < 2.5 then 2.5 / (l * 16) else 1 end, 1.0), -1.0)) as y, l * 16 as m from r)
+    select vec_id, round(list_sum(list_transform(y, lambda v: abs(v * case when m < 2.5 then m / 2.5 else 1 end))), 6) as total, round(list_max(y), 6) as peak from u"""
+)
+def volume_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Waves raised to a level, clamped, and scaled back to their own."""
+    waves = _vecs(spark, sf_dir).select("vec_id", F.transform("x", lambda v: v * 16).alias("w"))
+    rows = waves.select("vec_id", X.rms(F.col("w")).alias("level"), X.raise_level(F.col("w"), 2.5).alias("raised"))
+    back = rows.select("vec_id", X.restore_level(F.col("raised"), F.col("level"), 2.5).alias("back"), F.array_max(F.transform("raised", lambda v: F.greatest(F.least(v, F.lit(1.0)), F.lit(-1.0)))).alias("peak"))
+    return back.select("vec_id", F.round(F.aggregate("back", F.lit(0.0), lambda a, v: a + F.abs(v)), 6).alias("total"), F.round("peak", 6).alias("peak"))
+
+
+@query(
+    f"with {_VECS} select a.vec_id, round(list_sum(list_transform(range(1, 65), lambda k: (a.x[k] + b.x[k]) / 2)), 6) as mixed, round(a.x[1], 6) as first_left, round(b.x[64], 6) as last_right, 0.0::double as bed, round(list_sum(a.x[1:32]), 6) as first_half, round(list_sum(a.x[33:64]), 6) as second_half from v a join v b on b.vec_id = a.vec_id + 1 where a.vec_id % 2 = 0"
+)
+def prompt_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two prompts mixed, put one after another in channels of their own, and cut by channels."""
+    waves = _vecs(spark, sf_dir)
+    pairs = waves.where("vec_id % 2 = 0").join(waves.select((F.col("vec_id") - 1).alias("vec_id"), F.col("x").alias("y")), "vec_id")
+    made = pairs.select("vec_id", "x", X.mix_channels(F.col("x"), F.col("y")).alias("m"), X.one_after_another(F.col("x"), F.col("y")).alias("c"))
+    total = lambda a: F.round(F.aggregate(a, F.lit(0.0), lambda s, v: s + v), 6)
+    bed = F.aggregate(F.concat(F.slice(F.col("c")[0], 65, 64), F.slice(F.col("c")[1], 1, 64)), F.lit(0.0), lambda s, v: s + F.abs(v))
+    return made.select("vec_id", total(F.col("m")).alias("mixed"), F.round(F.col("c")[0][0], 6).alias("first_left"), F.round(F.col("c")[1][127], 6).alias("last_right"), bed.alias("bed"), total(X.channel(F.col("x"), 32)).alias("first_half"), total(X.channel(F.col("x"), 32, True)).alias("second_half"))
+
+
 @query(f"with {_VECS}, r as (select vec_id, x, sqrt(list_sum(list_transform(x, lambda v: v * v)) / 64) as l from v) select vec_id, round(l, 6) as level, round(sqrt(list_sum(list_transform(x, lambda v: pow(v * case when l < 0.125 then 0.125 / l else 1 end, 2))) / 64), 6) as raised, round(list_max(list_transform(x, lambda v: v * case when l < 0.125 then 0.125 / l else 1 end)), 6) as peak from r")
 def rms_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = _vecs(spark, sf_dir).select("vec_id", X.rms(F.col("x")).alias("level"), X.raise_level(F.col("x"), 0.125).alias("y"))

@@ -42,20 +42,32 @@ def transcript_list(spark: SparkSession, path: str) -> DataFrame:
     return _fields(spark, path).select(F.element_at("f", 1).alias("name"), F.element_at("f", -1).alias("text"))
 
 
-def synthesis_list(spark: SparkSession, path: str) -> DataFrame:
-    rows = _arity(_fields(spark, path), 4)
-    return rows.select(*[F.get("f", F.lit(k)).alias(n) for k, n in enumerate(("wav_name", "prompt_text", "prompt_wav", "text"))])
+def _lenient(rows: DataFrame, good: Column, columns: dict[str, Column]) -> DataFrame:
+    """The columns of good lines, and the text of the others in ``malformed``."""
+    return rows.select(*(F.when(good, c).alias(n) for n, c in columns.items()), F.when(~good, F.col("value")).alias("malformed"))
 
 
-def dialog_list(spark: SparkSession, path: str) -> DataFrame:
-    """(wav_name, prompt_text, prompt_wavs, text); two speakers' prompts are put together with their tags."""
-    rows = _arity(_fields(spark, path), 4, 6)
+def synthesis_list(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+    """(wav_name, prompt_text, prompt_wav, text[, malformed])."""
+    columns = {n: F.get("f", F.lit(k)) for k, n in enumerate(("wav_name", "prompt_text", "prompt_wav", "text"))}
+    rows = _fields(spark, path)
+    if not strict:
+        return _lenient(rows, F.size("f") == 4, columns)
+    return _arity(rows, 4).select(*(c.alias(n) for n, c in columns.items()))
+
+
+def dialog_list(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+    """(wav_name, prompt_text, prompt_wavs, text[, malformed]); two speakers' prompts are put together with their tags."""
     at = lambda k: F.get("f", F.lit(k))
     split = F.size("f") == 6
     text = F.when(split, at(5)).otherwise(at(3))
-    told = F.when(text.startswith("[S1]"), text).otherwise(F.raise_error(F.concat(F.lit("a dialog begins with [S1]: "), text)))
     prompt = F.when(split, F.concat(F.lit("[S1]"), at(1), F.lit("[S2]"), at(2))).otherwise(at(1))
-    return rows.select(at(0).alias("wav_name"), prompt.alias("prompt_text"), F.when(split, F.array(at(3), at(4))).otherwise(F.array(at(2))).alias("prompt_wavs"), told.alias("text"))
+    columns = {"wav_name": at(0), "prompt_text": prompt, "prompt_wavs": F.when(split, F.array(at(3), at(4))).otherwise(F.array(at(2))), "text": text}
+    rows = _fields(spark, path)
+    if not strict:
+        return _lenient(rows, F.size("f").isin(4, 6) & F.coalesce(text.startswith("[S1]"), F.lit(False)), columns)
+    told = F.when(text.startswith("[S1]"), text).otherwise(F.raise_error(F.concat(F.lit("a dialog begins with [S1]: "), text)))
+    return _arity(rows, 4, 6).select(*(c.alias(n) for n, c in (columns | {"text": told}).items()))
 
 
 def vocabulary(spark: SparkSession, path: str, pad: str = "_") -> DataFrame:
@@ -80,8 +92,11 @@ def pipe_dictionary(spark: SparkSession, path: str) -> DataFrame:
 
 
 def word_list(spark: SparkSession, path: str) -> DataFrame:
-    """(word) in upper case, without blanks and ``#`` comments, each once."""
+    """(word) in upper case, without blanks and ``#`` comments, each once; no words where there is no such file."""
     word = F.upper(F.btrim("value"))
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return spark.createDataFrame([], "word string")
     return spark.read.text(path).select(word.alias("word")).where("word <> '' and not startswith(word, '#')").distinct()
 
 
@@ -104,6 +119,14 @@ def checkpoints(spark: SparkSession, folder: str, iteration: int = 0) -> DataFra
     return kept.orderBy(F.desc("number"))
 
 
+def for_averaging(found: DataFrame, average: int) -> DataFrame:
+    """The highest ``average`` + 1 of ``checkpoints``, whose ends are averaged between; fewer raise."""
+    rows = found.orderBy(F.desc("number")).limit(average + 1)
+    if rows.count() < average + 1:
+        raise ValueError(f"fewer than {average + 1} checkpoints")
+    return rows
+
+
 def voices(spark: SparkSession, folder: str) -> DataFrame:
     """(voice_id, prompt_text, prompt_wav) of the sub-folders that hold both prompt files."""
     of = lambda name: F.regexp_extract(F.col("path"), rf"([^/]+)/{name}$", 1)

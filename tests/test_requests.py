@@ -90,3 +90,12 @@ def test_merged_rows(spark):
     rows = [(1, 0, "x", False), (1, 1, "A", True), (1, 2, "và", False), (1, 3, "B", True), (1, 4, "một hai ba", False), (1, 5, "bốn", False), (2, 0, "C", True), (2, 1, "D", True)]
     got = S.merged_rows(spark.createDataFrame(rows, "g int, k int, t string, r boolean"), "g", "k", "t", "r", 2)
     assert sorted(map(tuple, got.collect())) == [(1, 0, "x", False), (1, 1, "A và B", True), (1, 2, "một hai ba bốn", False), (2, 0, "C", True), (2, 1, "D", True)]
+
+
+def test_scores_keep_their_order(spark):
+    df = spark.createDataFrame([(k, None if k == 5 else "x" * k) for k in range(100)], "k int, v string").coalesce(1)
+    asked = lambda values: [float(len(v)) for v in values]
+    steps = [lambda d: R.scored(d, "v", asked, batch=7), lambda d: d.where("score is null or score > 2")]
+    assert {r.k: r.score for r in R.transformed(df, steps).collect()} == {k: None if k == 5 else float(k) for k in range(100) if k == 5 or k > 2}
+    with pytest.raises(Exception, match="scores for"):
+        R.scored(df, "v", lambda values: [1.0]).collect()

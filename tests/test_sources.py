@@ -85,3 +85,20 @@ def test_cut_off_stream(spark, tmp_path):
     query.awaitTermination()
     row = spark.table("cut").first()
     assert row.n == 2000 and 0.2 < row.passed / row.n < 0.4
+
+
+def test_lenient_lists_and_missing_words(spark, tmp_path):
+    rows = lists.synthesis_list(spark, put(tmp_path, "s", "w\tp\tv\thi\nbad\tline\n"), strict=False).collect()
+    assert sorted((r.wav_name or "", r.malformed or "") for r in rows) == [("", "bad\tline"), ("w", "")]
+    rows = lists.dialog_list(spark, put(tmp_path, "d", "w\tp\tv\t[S1] hi\nw\tp\tv\thi\nx\n"), strict=False).collect()
+    assert sorted(r.malformed or "" for r in rows) == ["", "w\tp\tv\thi", "x"]
+    assert lists.word_list(spark, f"file://{tmp_path}/none").count() == 0
+
+
+def test_checkpoints_for_averaging(spark, tmp_path):
+    for n in (1, 20, 300):
+        put(tmp_path, f"ck/checkpoint-{n}.pt", "x")
+    found = lists.checkpoints(spark, f"file://{tmp_path}/ck")
+    assert [r.number for r in lists.for_averaging(found, 1).collect()] == [300, 20]
+    with pytest.raises(ValueError, match="fewer than 4"):
+        lists.for_averaging(found, 3)
