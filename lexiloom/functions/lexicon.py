@@ -13,17 +13,18 @@ from collections.abc import Iterator
 from math import ceil
 
 import ahocorasick
-import pandas as pd
+import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lexiloom.functions.normalizer import rebuilt
+from lexiloom.functions.normalizer import arrays_of, pieces, rebuilt, rewritten
 from lexiloom.operators.relational import settled
 
 #: Characters of keys and values in a block, and automata that a worker keeps.
 BLOCK_CHARS, KEPT = 1 << 24, 4
 MATCHES = "array<struct<start:int,end:int,said:string,cased:boolean>>"
 _NAMES = ("start", "end", "said", "cased")
+_FIELDS = list(zip(_NAMES, (pa.int32(), pa.int32(), pa.string(), pa.bool_())))
 
 Entry = tuple[str, str, bool]
 Match = tuple[int, int, str, bool]
@@ -50,14 +51,17 @@ class Lexicon:
     def matches(self, text: str) -> list[Match]:
         """(start, end, said, cased): for each start, in order, the longest entry; of equal length the cased one."""
         found: dict[int, tuple[int, str, bool]] = {}
-        word = lambda k: 0 <= k < len(text) and (text[k].isalnum() or text[k] == "_")
-        for automaton, seen in ((self.cased, text), (self.plain, folded(text))):
+        # a blank on each side, so that every place has neighbours
+        seen, word = f" {text} ", lambda c: c.isalnum() or c == "_"
+        for automaton, own in ((self.cased, text), (self.plain, folded(text))):
             if not len(automaton):
                 continue
-            for last, (size, said) in automaton.iter(seen):
-                start, stop = last + 1 - size, last + 1
-                if word(start - 1) != word(start) and word(last) != word(stop) and stop > found.get(start, (0,))[0]:
-                    found[start] = (stop, said, automaton is self.cased)
+            cased = automaton is self.cased
+            for last, (size, said) in automaton.iter(own):
+                stop = last + 1
+                start = stop - size
+                if word(seen[start]) != word(seen[start + 1]) and word(seen[stop]) != word(seen[stop + 1]) and stop > found.get(start, (0,))[0]:
+                    found[start] = (stop, said, cased)
         return [(start, *found[start]) for start in sorted(found)]
 
 
@@ -103,22 +107,17 @@ def blocks(entries: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator[Broad
 def lexicon_matches(text: Column, block: Broadcast) -> Column:
     """For each place where an entry of the block begins, the longest one."""
 
-    @F.pandas_udf(MATCHES)
-    def run(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf(MATCHES)
+    def run(texts: pa.Array) -> pa.Array:
         of = _lexicon(block)
-        return texts.map(lambda t: [] if t is None else [dict(zip(_NAMES, m)) for m in of.matches(t)])
+        return pa.concat_arrays([arrays_of([[] if t is None else of.matches(t) for t in own], _FIELDS) for (own,) in pieces(texts)] or [arrays_of([], _FIELDS)])
 
     return run(text)
 
 
-def taken(matches: Column) -> Column:
-    """Of matches in any order, those that are replaced."""
-
-    @F.pandas_udf(MATCHES)
-    def run(rows: pd.Series) -> pd.Series:
-        return rows.map(lambda ms: [dict(zip(_NAMES, m)) for m in leftmost([tuple(m[n] for n in _NAMES) for m in ms])])
-
-    return run(matches)
+def said_by(text: str, matches: list[Match]) -> str:
+    """``text`` with those of the matches replaced that are taken."""
+    return rebuilt(text, [m[:3] for m in leftmost(matches)])
 
 
 def replaced(df: DataFrame, entries: DataFrame, text_col: str = "text", out: str = "said", block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -126,24 +125,25 @@ def replaced(df: DataFrame, entries: DataFrame, text_col: str = "text", out: str
 
     What is said is not read again. Null stays null; without entries the text stays.
     """
-    parts = [lexicon_matches(F.col(text_col), b) for b in blocks(entries, block_chars)]
-    if not parts:
+    own = list(blocks(entries, block_chars))
+    if not own:
         return df.withColumn(out, F.col(text_col))
-    names = [f"_matches_{k}" for k in range(len(parts))]
-    found = df.withColumns(dict(zip(names, parts)))
-    spans = found.withColumn("_taken", taken(F.concat(*names)))
-    return settled(spans.withColumn(out, rebuilt(F.col(text_col), F.col("_taken"))), out).drop(*names, "_taken")
+    if len(own) == 1:
+        block = own[0]
+        made = rewritten(lambda t: None if t is None else said_by(t, _lexicon(block).matches(t)), F.col(text_col))
+        return settled(df.withColumn(out, made), out)
+    names = [f"_matches_{k}" for k in range(len(own))]
+    found = df.withColumns({n: lexicon_matches(F.col(text_col), b) for n, b in zip(names, own)})
+    made = rewritten(lambda t, *of: None if t is None else said_by(t, [tuple(m[n] for n in _NAMES) for part in of for m in part]), F.col(text_col), *names)
+    return settled(found.withColumn(out, made), out).drop(*names)
 
 
-def matches_by_row(text: Column, entries: Column) -> Column:
-    """Where the row's own entries (array of key, said, cased) are replaced; null texts and entries give none."""
+def replaced_by_row(text: Column, entries: Column) -> Column:
+    """``text`` with the row's own entries (array of key, said, cased) replaced; null entries are none."""
 
-    @F.pandas_udf(MATCHES)
-    def run(texts: pd.Series, rows: pd.Series) -> pd.Series:
-        out = []
-        for t, own in zip(texts, rows):
-            found = [] if t is None or own is None or not len(own) else leftmost(Lexicon([(e["key"] or "", e["said"] or "", bool(e["cased"])) for e in own]).matches(t))
-            out.append([dict(zip(_NAMES, m)) for m in found])
-        return pd.Series(out)
+    def said(t: str | None, own: list[dict] | None) -> str | None:
+        if t is None or not own:
+            return t
+        return said_by(t, Lexicon([(e["key"] or "", e["said"] or "", bool(e["cased"])) for e in own]).matches(t))
 
-    return run(text, entries)
+    return rewritten(said, text, entries)

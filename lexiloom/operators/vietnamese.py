@@ -44,8 +44,7 @@ def spoken(
         pairs = F.col(pairs_col) if pairs_col else F.lit(None).cast("array<struct<word:string,said:string>>")
         acronyms = F.col(acronyms_col) if acronyms_col else F.lit(None).cast("array<string>")
         made = made.withColumn("_own", own_entries(pairs, acronyms, ",," if double else ","))
-        made = made.withColumn("_own", lexicon.matches_by_row(F.col(at), F.col("_own")))
-        made = settled(made.withColumn(at, normalizer.rebuilt(F.col(at), F.col("_own"))), at).drop("_own")
+        made = settled(made.withColumn(at, lexicon.replaced_by_row(F.col(at), F.col("_own"))), at).drop("_own")
     made = settled(made.withColumn(at, X.spelled_markers(F.col(at))), at)
     entries = spelled.select(F.upper("key").alias("key"), F.concat(F.lit("【"), X.spell_letters(F.col("key")), F.lit("】")).alias("said"), F.lit(True).alias("cased"))
     made = lexicon.replaced(made, entries.where(F.col("key").rlike("^[A-Z]{2,}$")), at, at)
