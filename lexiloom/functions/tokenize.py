@@ -1,17 +1,20 @@
 """Texts of several languages as tokens: typed segments, a tokenizer for each type, ids.
 
-Everything is built of Spark's own expressions. Libraries that are not here (phonemes,
+Tokens are built of Spark's own expressions. Libraries that are not here (phonemes,
 word segmentation, pinyin of characters) are stood in for by a function of the segment's text that
 users bring along; the ones given here take characters.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lexiloom.functions import text as X
+from lexiloom.functions.normalizer import arrays_of, pieces
 from lexiloom.operators.relational import lookup_ids, settled
 
 # The two alphabets that tell a segment's language, and the initials of a syllable.
@@ -56,6 +59,17 @@ def characters(text: Column) -> Column:
     return F.filter(F.split(text, ""), lambda c: c != "")
 
 
+def character_counts(text: Column) -> Column:
+    """Array of (token, n): a text's characters and how often each occurs; null gives null."""
+
+    @F.arrow_udf("array<struct<token:string,n:long>>")
+    def run(texts: pa.Array) -> pa.Array:
+        fields = [("token", pa.string()), ("n", pa.int64())]
+        return pa.concat_arrays([arrays_of([None if t is None else list(Counter(t).items()) for t in own], fields) for (own,) in pieces(texts)] or [arrays_of([], fields)])
+
+    return run(text)
+
+
 def syllable_parts(text: Column) -> Column:
     """``<zhong1>`` as its initial, marked by a 0, and its final with the tone; what is no syllable gives nothing."""
     inner = F.regexp_replace(text, r"^<+|>+$", "")

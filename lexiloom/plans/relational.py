@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
+from lexiloom.functions import tokenize as T
 from lexiloom.operators import relational as R
 from lexiloom.operators.requests import answered
 from lexiloom.plans.registry import query, table
@@ -60,9 +61,7 @@ def open_end_duration(spark: SparkSession, sf_dir: str) -> DataFrame:
 def vocab_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Characters as tokens, counted inside each row first; the inventory holds those that occur at least 50 times, so its size is bounded by Unicode."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    own = F.filter(F.array_distinct(F.split("text", "")), lambda c: c != "")
-    times = F.transform(own, lambda c: F.struct(c.alias("token"), (F.char_length("text") - F.char_length(F.replace(F.col("text"), c, F.lit("")))).cast("long").alias("n")))
-    counts = R.spread(docs).select("doc_id", F.explode(times).alias("t")).select("doc_id", "t.token", "t.n")
+    counts = R.spread(docs).select("doc_id", F.explode(T.character_counts(F.col("text"))).alias("t")).select("doc_id", "t.token", "t.n")
     kept = counts.groupBy("token").agg(F.sum("n").alias("n")).where("n >= 50")
     vocab = kept.select("token", (F.row_number().over(Window.orderBy(F.desc("n"), "token")) - 1).cast("long").alias("id"))
     met = counts.join(F.broadcast(vocab), "token", "left").groupBy("doc_id").agg(

@@ -47,3 +47,8 @@ def test_dialogue_ids(spark):
     assert T.token_ids(df, "tokens", vocab, dialog=True).first().ids == [2, 1, 3, 1]
     with pytest.raises(ValueError, match="lacks"):
         T.token_ids(df, "tokens", vocab.where("id < 3"), dialog=True)
+
+
+def test_character_counts(spark):
+    rows = spark.createDataFrame([("aßa😀\n",), ("",), (None,)], "t string").select(T.character_counts(F.col("t")).alias("c")).collect()
+    assert [r.c and {tuple(x) for x in r.c} for r in rows] == [{("a", 2), ("ß", 1), ("😀", 1), ("\n", 1)}, [], None]
