@@ -49,14 +49,17 @@ def typed_segments(text: Column) -> Column:
         # of what is enclosed only a syllable tells a language
         bare = F.regexp_replace(run, rf"(<)[^>\]]*(>)|{_MIXED}", "$1$2")
         lang = F.when(bare.rlike(f"[{CHINESE}]|<>"), "zh").when(bare.rlike(f"[{LETTERS}]"), "en").otherwise("other")
-        kind = lambda p: F.when(p.rlike(rf"^{_SYLLABLE}$"), "pinyin").when(p.rlike(r"^\[[^>\]]*\]$"), "tag").otherwise(lang)
-        return F.transform(F.regexp_extract_all(run, F.lit(_PART), F.lit(0)), lambda p: F.struct(p.alias("text"), kind(p).alias("lang")))
+        kind = lambda p, own: F.when(p.rlike(rf"^{_SYLLABLE}$"), "pinyin").when(p.rlike(r"^\[[^>\]]*\]$"), "tag").otherwise(own)
+        parts = F.regexp_extract_all(run, F.lit(_PART), F.lit(0))
+        # a run's language is found once, not for each of its parts
+        return X.once(lang, lambda own: F.transform(parts, lambda p: F.struct(p.alias("text"), kind(p, own).alias("lang"))))
 
     return F.flatten(F.transform(runs, typed))
 
 
 def characters(text: Column) -> Column:
-    return F.filter(F.split(text, ""), lambda c: c != "")
+    """An empty text has none."""
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, ""))
 
 
 def character_counts(text: Column) -> Column:

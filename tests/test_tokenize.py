@@ -1,6 +1,7 @@
 """Typed segments and their tokenizers."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -52,3 +53,14 @@ def test_dialogue_ids(spark):
 def test_character_counts(spark):
     rows = spark.createDataFrame([("aßa😀\n",), ("",), (None,)], "t string").select(T.character_counts(F.col("t")).alias("c")).collect()
     assert [r.c and {tuple(x) for x in r.c} for r in rows] == [{("a", 2), ("ß", 1), ("😀", 1), ("\n", 1)}, [], None]
+
+
+def test_characters_and_many_parts_of_a_run(spark):
+    rows = spark.createDataFrame([("aß😀 b\n",), ("",), (None,)], "t string").select(T.characters(F.col("t")).alias("c")).collect()
+    assert [r.c for r in rows] == [["a", "ß", "😀", " ", "b", "\n"], [], None]
+    # one run of 20,000 words and 20,000 tags: its language was looked for again for each part
+    text = F.expr("concat('x', repeat(' de la casa [S1] y', 20000))")
+    begin = time.perf_counter()
+    row = spark.range(1).select(T.typed_segments(text).alias("s")).select(F.size("s").alias("n"), F.array_sort(F.array_distinct(F.transform("s", lambda x: x["lang"]))).alias("langs")).first()
+    assert tuple(row) == (40001, ["en", "tag"])
+    assert time.perf_counter() - begin < 20
