@@ -23,9 +23,10 @@ def validation(recordings: DataFrame, supervisions: DataFrame) -> DataFrame:
     ``recordings`` are (recording_id, duration), ``supervisions`` (id, recording_id, start, duration).
     A recording stays if a supervision names it, a supervision if its recording is there, holds
     it, and its times are not negative. Null ids match nothing. Ids that repeat are rows of their own.
+    Rows of both sides stream past the other side's distinct ids: tasks hold ids, and sort no rows.
     """
-    known = recordings.where("recording_id is not null").groupBy("recording_id").agg(F.max("duration").alias("_whole"))
-    spoken = supervisions.where("recording_id is not null").select("recording_id").distinct().withColumn("_spoken", F.lit(True))
+    known = recordings.where("recording_id is not null").groupBy("recording_id").agg(F.max("duration").alias("_whole")).hint("shuffle_hash")
+    spoken = supervisions.where("recording_id is not null").select("recording_id").distinct().withColumn("_spoken", F.lit(True)).hint("shuffle_hash")
     r = recordings.join(spoken, "recording_id", "left").select(F.lit("recording").alias("side"), F.col("recording_id").cast("string").alias("id"), F.when(F.col("_spoken").isNull(), "no supervision").alias("reason"))
     whole, start, length = F.col("_whole"), F.col("start"), F.col("duration")
     reason = F.when(whole.isNull(), "no recording").when(F.coalesce((start < 0) | (length <= 0), F.lit(True)), "bad times").when(start + length > whole + 1e-6, "beyond its recording")

@@ -26,6 +26,15 @@ def test_validation(spark):
     )
 
 
+def test_validation_sorts_no_rows(spark, capsys):
+    r = spark.createDataFrame([(k, 5.0) for k in range(100)], "recording_id int, duration double")
+    s = spark.createDataFrame([(k, k % 150, 0.0, 1.0) for k in range(600)], "id int, recording_id int, start double, duration double")
+    out = M.validation(r, s)
+    out.explain()
+    assert "Sort" not in capsys.readouterr().out
+    assert {(x.side, x.reason): x["count"] for x in out.groupBy("side", "reason").count().collect()} == {("recording", None): 100, ("supervision", None): 400, ("supervision", "no recording"): 200}
+
+
 def test_files(spark, tmp_path):
     for name in ("a.WAV", "b.wav", "sub/c.wav", "d.txt"):
         (tmp_path / name).parent.mkdir(exist_ok=True)
