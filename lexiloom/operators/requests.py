@@ -12,6 +12,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 #: Tokens of one request, tries after a failure, and how much longer than its token, or its text, a reply may be.
 BATCH, RETRIES, LONGER, TEXT_LONGER = 30, 2, 10, 3
 
+#: Kept answers up to this number go to all executors; more of them are dealt by token.
+BROADCAST_ROWS = 1_000_000
+
 Provider = Callable[[str], str]
 
 #: What a model finds in a text.
@@ -41,7 +44,7 @@ def asked(tokens: DataFrame, provider: Provider, batch: int = BATCH, retries: in
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            own = frame["token"].tolist()
+            own, told, fine = frame["token"].tolist(), [], []
             for at in range(0, len(own), batch):
                 part = own[at : at + batch]
                 said, good = part, False
@@ -52,7 +55,9 @@ def asked(tokens: DataFrame, provider: Provider, batch: int = BATCH, retries: in
                     except Exception:  # any provider, any failure
                         if attempt < retries:
                             time.sleep(wait * 2**attempt)
-                yield pd.DataFrame({"token": part, "said": said, "answered": good})
+                told += said
+                fine += [good] * len(part)
+            yield pd.DataFrame({"token": own, "said": told, "answered": fine})
 
     return tokens.where("token is not null").select("token").distinct().mapInPandas(run, "token string, said string, answered boolean")
 
@@ -65,25 +70,30 @@ def known_answers(requests: DataFrame, folder: str, number: int | None = None) -
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
             raise
-        return spark.createDataFrame([], "token string, said string")
+        return spark.range(0).select(F.lit(None).cast("string").alias("token"), F.lit(None).cast("string").alias("said"))
     rows = rows.where("answered")
     rows = rows if number is None else rows.where(F.col("batch") != number)
     return rows.groupBy("token").agg(F.max_by("said", "batch").alias("said"))
 
 
-def answered(requests: DataFrame, folder: str, number: int, provider: Provider, **options) -> DataFrame:
+def answered(requests: DataFrame, folder: str, number: int, provider: Provider, tokens: DataFrame | None = None, **options) -> DataFrame:
     """``requests`` (token, ...) with ``said``: known answers by a join, the others asked for once and kept in ``folder``.
 
     The misses of this batch are written below their number before they are read, so a batch that
-    runs again asks for its own again and nothing twice within. Null tokens say null.
+    runs again asks for its own again and nothing twice within. Null tokens say null. ``tokens``
+    (token) may hold the requests' tokens where they are had for less than the requests themselves.
     """
     known = known_answers(requests, folder, number)
-    misses = requests.select("token").join(known, "token", "left_anti")
+    # Spark would push an anti join below the distinct
+    each = (requests if tokens is None else tokens).select("token").distinct()
+    misses = each.join(known.select("token", F.lit(True).alias("_known")), "token", "left").where("_known is null")
     here = f"{folder}/batch={number:08d}"
     asked(misses, provider, **options).write.mode("overwrite").parquet(here)
-    new = requests.sparkSession.read.parquet(here).select("token", F.col("said").alias("_new"))
-    both = requests.join(known, "token", "left").join(new, "token", "left")
-    return both.withColumn("said", F.coalesce("said", "_new", "token")).drop("_new")
+    # a miss is not known, so each token has one answer
+    spark = requests.sparkSession
+    answers = known.unionByName(spark.read.parquet(here).select("token", "said"))
+    few = spark.read.parquet(folder).count() <= BROADCAST_ROWS
+    return requests.join(answers.hint("broadcast" if few else "shuffle_hash"), "token", "left").withColumn("said", F.coalesce("said", "token"))
 
 
 def stream_answers(requests: DataFrame, folder: str, out: str, checkpoint: str, provider: Provider, **options) -> None:

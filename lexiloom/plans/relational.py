@@ -213,8 +213,11 @@ def shouting(prompt: str) -> str:
 )
 def request_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's words, asked for once each, in two batches that share a cache."""
-    each = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[a-z]+"), F.lit(0))).alias("token"))
-    words = each.groupBy("doc_id", "token").agg(F.count("*").alias("n"))
-    folder = work_folder(spark, "answers")
-    halves = [answered(words.where(F.col("doc_id") % 2 == k), folder, k, shouting, batch=200) for k in (0, 1)]
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    folder, halves = work_folder(spark, "answers"), []
+    for k in (0, 1):
+        half = docs.where(F.coalesce(F.pmod("doc_id", F.lit(2)), F.lit(0)) == k)
+        each = half.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[a-z]+"), F.lit(0))).alias("token"))
+        words = each.groupBy("doc_id", "token").agg(F.count("*").alias("n"))
+        halves.append(answered(words, folder, k, shouting, tokens=each.select("token"), batch=200))
     return halves[0].unionByName(halves[1]).select("doc_id", "token", "n", "said")

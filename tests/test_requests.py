@@ -1,8 +1,10 @@
 """Requests to a model: cache, batches, guards, replies."""
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from lexiloom import plans
 from lexiloom.operators import requests as R
 from lexiloom.operators import sequences as S
 
@@ -50,6 +52,30 @@ def test_each_token_is_asked_for_once(spark, tmp_path):
     assert R.answered(rows("a").limit(0), folder, 3, provider(str(log))).count() == 0
 
 
+@pytest.mark.parametrize("most", [0, 1_000_000])
+def test_tokens_may_come_apart_from_requests(spark, tmp_path, monkeypatch, most):
+    monkeypatch.setattr(R, "BROADCAST_ROWS", most)
+    log, folder = tmp_path / "log", f"file://{tmp_path}/cache"
+    log.mkdir()
+    rows = lambda *ts: spark.createDataFrame([(k, t) for k, t in enumerate(ts)], "k int, token string")
+    for number, ts in enumerate((["a", "b", "a", None], ["b", "c", "c"])):
+        out = R.answered(rows(*ts), folder, number, provider(str(log)), tokens=rows(*ts, *ts).select("token"))
+        assert sorted((r.k, r.token, r.said) for r in out.collect()) == [(k, t, t and f"{t}!") for k, t in enumerate(ts)]
+    assert asked_for(log) == ["a", "b", "c"]
+
+
+def test_cache_of_documents_with_odd_ids(spark, tmp_path):
+    """Ids that are null, negative or repeated keep their words, as in the SQL."""
+    rows = [(None, "a b a"), (None, "b"), (-3, "a c"), (-2, "c"), (1, "a"), (1, "a d"), (2, None), (4, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = plans.queries()["request_cache"](spark, str(tmp_path)).collect()
+    con = duckdb.connect()
+    con.sql(f"create view documents as from '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.sql(f"select doc_id, token, n, said from ({plans.oracle_sql()['request_cache']})").fetchall()
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+    assert len(got) == 7
+
+
 def test_stream_writes_answers_once(spark, tmp_path):
     log = tmp_path / "log"
     log.mkdir()
