@@ -7,6 +7,7 @@ users bring along; the ones given here take characters.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Callable
 
@@ -73,6 +74,18 @@ def character_counts(text: Column) -> Column:
     return run(text)
 
 
+def word_counts(text: Column, pattern: str) -> Column:
+    """Array of (token, n): what a pattern (Python's) finds in a text and how often; null gives null."""
+    found = re.compile(pattern).findall
+
+    @F.arrow_udf("array<struct<token:string,n:long>>")
+    def run(texts: pa.Array) -> pa.Array:
+        fields = [("token", pa.string()), ("n", pa.int64())]
+        return pa.concat_arrays([arrays_of([None if t is None else list(Counter(found(t)).items()) for t in own], fields) for (own,) in pieces(texts)] or [arrays_of([], fields)])
+
+    return run(text)
+
+
 def syllable_parts(text: Column) -> Column:
     """``<zhong1>`` as its initial, marked by a 0, and its final with the tone; what is no syllable gives nothing."""
     inner = F.regexp_replace(text, r"^<+|>+$", "")
